@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.functions import in_roi
 from rasterlark.operators import boxes, generate, raster, render
-from rasterlark.plans.fixtures import view
-from rasterlark.spec import GridSpec, SceneSpec
+from rasterlark.plans.fixtures import stream_view, view
+from rasterlark.sinks import (
+    decode_png,
+    scratch_directory,
+    write_npz,
+    write_object_files,
+    write_object_lines,
+    write_png,
+    write_points,
+)
+from rasterlark.sources import read_npz, read_objects, read_points
+from rasterlark.streaming import stream_bev
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-GRID = GridSpec()
 _QUERIES: dict[str, Query] = {}
 
 
@@ -167,3 +177,114 @@ def annotated_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_frames(
         view(spark, sf_dir, "points_v"), view(spark, sf_dir, "objects_v")
     )
+
+
+@_register
+def draw_on_bev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.draw_objects(
+        raster.points_to_bev(view(spark, sf_dir, "points_v")),
+        view(spark, sf_dir, "objects_v"),
+    )
+
+
+# -- files and tables: written to the scratch folder and read back --------------
+
+
+@_register
+def stored_bev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points stored by frame, then rasterised from the stored table."""
+    path = scratch_directory(spark, "points")
+    write_points(view(spark, sf_dir, "points_v"), path, layout="clustered")
+    return raster.points_to_bev(read_points(spark, path))
+
+
+@_register
+def npz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = scratch_directory(spark, "npz")
+    write_npz(view(spark, sf_dir, "scans_v"), directory)
+    return read_npz(spark, directory)
+
+
+@_register
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One indented document per frame."""
+    directory = scratch_directory(spark, "documents")
+    write_object_files(view(spark, sf_dir, "objects_v"), directory)
+    return read_objects(spark, directory).drop("draw_ord")
+
+
+@_register
+def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per line."""
+    path = scratch_directory(spark, "lines")
+    write_object_lines(view(spark, sf_dir, "objects_v"), path)
+    return read_objects(spark, path, multi_line=False).drop("draw_ord")
+
+
+def _shown_pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            frame_id = path.as_py().rsplit("_", 1)[-1].removesuffix(".png")
+            picture = decode_png(content.as_py())
+            rows, cols = np.nonzero(picture.any(axis=2))
+            shown = {"out_row": rows, "out_col": cols}
+            shown |= {c: picture[rows, cols, i] for i, c in enumerate("rgb")}
+            arrays = [pa.array(v.astype(np.int32)) for v in shown.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([frame_id] * len(rows), pa.string()), *arrays],
+                names=["frame_id", *shown],
+            )
+
+
+@_register
+def png_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures written and decoded again: every pixel that is not black."""
+    points = view(spark, sf_dir, "scans_v")
+    objects = view(spark, sf_dir, "objects_v")
+    directory = scratch_directory(spark, "png")
+    write_png(
+        render.render_frames(points, objects), directory, frames=raster.frames_of(points)
+    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(directory)
+    return files.select("path", "content").mapInArrow(
+        _shown_pixels, "frame_id STRING, out_row INT, out_col INT, r INT, g INT, b INT"
+    )
+
+
+@_register
+def sequential_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames drawn from the sequential stream of their seed, rasterised and
+    counted. No SQL: the stream is not expressible there."""
+    frames = view(spark, sf_dir, "frames_v")
+    bev = raster.points_to_bev(generate.generate_frames(frames, mode="sequential"))
+    return bev.groupBy("frame_id").agg(
+        F.count("*").alias("cells"),
+        F.count_if(F.col("gray") >= 102).alias("object_cells"),
+        F.min("gray").alias("min_gray"),
+        F.max("gray").alias("max_gray"),
+    )
+
+
+# -- streams ----------------------------------------------------------------------
+
+
+@_register
+def bev_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster per month-long window, as a stream over the point table run
+    until it is used up. Windows the watermark has closed are in the result."""
+    base = scratch_directory(spark, "stream")
+    running = (
+        stream_bev(
+            stream_view(spark, sf_dir, "points_v"), "scanned_at", "30 days", "1 day"
+        )
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{base}/bev")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.parquet(f"{base}/bev").withColumns(
+        {edge: F.unix_seconds(edge) for edge in ("window_start", "window_end")}
+    )

@@ -18,7 +18,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "x": "CAST(((l_orderkey*7919 + l_linenumber*104729) % 50000)/1000D AS FLOAT)",
             "y": "CAST(((l_partkey*6151 + l_suppkey*389) % 50000)/1000D - 25D AS FLOAT)",
             "intensity": "CAST(l_quantity/50D AS FLOAT)",
-            "scanned_at": "l_shipdate",
+            # The zone-less time taken as UTC, whatever the session's zone.
+            "scanned_at": "timestamp_seconds(unix_date(CAST(l_shipdate AS DATE)) * 86400L "
+            "+ hour(l_shipdate) * 3600 + minute(l_shipdate) * 60 + second(l_shipdate))",
         },
     ),
     # A frame per thousand orders, points numbered within the frame.
@@ -56,8 +58,19 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(
-        *(f"{expression} AS {column}" for column, expression in columns.items())
+def derive(table: DataFrame, name: str) -> DataFrame:
+    """The view's columns over its table, given as a batch or a stream."""
+    return table.selectExpr(
+        *(f"{expression} AS {column}" for column, expression in VIEWS[name][1].items())
     )
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return derive(spark.read.parquet(f"{sf_dir}/{VIEWS[name][0]}.parquet"), name)
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    file = f"{VIEWS[name][0]}.parquet"
+    schema = spark.read.parquet(f"{sf_dir}/{file}").schema
+    table = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(sf_dir)
+    return derive(table, name)

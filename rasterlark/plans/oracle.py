@@ -59,7 +59,7 @@ FRAMES_V = "frames_v AS (SELECT s_suppkey AS frame_id, s_suppkey + 7 AS seed FRO
 
 def located(points: str) -> str:
     return f"""located AS (
-  SELECT frame_id, x, y, intensity,
+  SELECT *,
          least(CAST(trunc((x - 0::FLOAT) / 0.1::FLOAT) AS INTEGER), 399) AS cell_row,
          least(CAST(trunc((y + 20::FLOAT) / 0.1::FLOAT) AS INTEGER), 399) AS cell_col
   FROM {points}
@@ -352,6 +352,10 @@ def all_oracles() -> dict[str, str]:
          {BACKGROUND_POINTS} + sum({COUNT}) OVER (PARTITION BY frame_id ORDER BY draw_ord) - {COUNT},
          x, y, length, width, yaw
   FROM frames_v CROSS JOIN scene)"""
+    documents = (
+        "SELECT CAST(frame_id AS VARCHAR) AS frame_id, id, class_name, x, y, z, "
+        "length, width, yaw FROM objects_v"
+    )
     return {
         "roi_filter": f"WITH {POINTS_V},\n{located('points_v')}\n"
         "SELECT frame_id, x, y, intensity FROM located",
@@ -404,4 +408,25 @@ def all_oracles() -> dict[str, str]:
         "arg_max(g, draw_ord) AS g, arg_max(r, draw_ord) AS r\n"
         "FROM outlines p JOIN colored c USING (frame_id, draw_ord) GROUP BY ALL",
         "annotated_image": f"WITH {image(gray)}\nSELECT * FROM image",
+        "draw_on_bev": f"WITH {image(gray)}\nSELECT * FROM image",
+        "stored_bev": f"WITH {gray}\nSELECT * FROM gray",
+        "npz_roundtrip": f"WITH {SCANS_V}\n"
+        "SELECT CAST(frame_id AS VARCHAR) AS frame_id, point_id, x, y, z, intensity FROM scans_v",
+        "json_roundtrip": f"WITH {OBJECTS_V}\n{documents}",
+        "json_lines_roundtrip": f"WITH {OBJECTS_V}\n{documents}",
+        "png_image": f"WITH {image(grays('scans_v', SCANS_V))}\n"
+        "SELECT CAST(frame_id AS VARCHAR) AS frame_id, out_row, out_col, b, g, r FROM image "
+        "WHERE b + g + r > 0",
+        "bev_stream": f"""WITH {POINTS_V},
+{located('points_v')},
+windowed AS (
+  SELECT *, time_bucket(INTERVAL 30 DAY, scanned_at, TIMESTAMP '1970-01-01') AS window_start,
+         max(scanned_at) OVER () - INTERVAL 1 DAY AS watermark
+  FROM located)
+SELECT CAST(epoch(window_start) AS BIGINT) AS window_start,
+       CAST(epoch(window_start) + 30 * 86400 AS BIGINT) AS window_end, frame_id, cell_row, cell_col,
+       CAST(trunc(least(255::FLOAT, greatest(0::FLOAT, max(intensity) * 255::FLOAT))) AS INTEGER) AS gray
+FROM windowed
+WHERE window_start + INTERVAL 30 DAY <= watermark
+GROUP BY ALL""",
     }

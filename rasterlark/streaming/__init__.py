@@ -1,0 +1,3 @@
+from rasterlark.streaming.raster import stream_bev
+
+__all__ = ["stream_bev"]

@@ -36,29 +36,31 @@ def pixel_col(world_y: Column, spec: GridSpec) -> Column:
     return ((world_y - F.lit(spec.y_min)) / F.lit(spec.resolution)).try_cast("int")
 
 
-def _corners() -> list[tuple[Column, Column]]:
-    half_length = F.col("length").cast("double") / F.lit(2.0)
-    half_width = F.col("width").cast("double") / F.lit(2.0)
-    return [
-        place(
-            half_length * F.lit(float(along)),
-            half_width * F.lit(float(across)),
-            F.col("x").cast("double"),
-            F.col("y").cast("double"),
-            F.cos("yaw"),
-            F.sin("yaw"),
+def _corners() -> list[tuple[str, str]]:
+    """World (x, y) of each corner of an object row, as SQL."""
+    at = "cast({} as double)".format
+    corners = []
+    for along, across in CORNER_SIGNS:
+        local_x, local_y = f"({along}D * length / 2)", f"({across}D * width / 2)"
+        corners.append(
+            (
+                f"{at('x')} + cos(yaw) * {local_x} - sin(yaw) * {local_y}",
+                f"{at('y')} + sin(yaw) * {local_x} + cos(yaw) * {local_y}",
+            )
         )
-        for along, across in CORNER_SIGNS
-    ]
+    return corners
 
 
 def corner_structs() -> Column:
     """ARRAY<STRUCT<wx, wy>> of the four corners of an object row."""
-    return F.array(
-        *(F.struct(wx.alias("wx"), wy.alias("wy")) for wx, wy in _corners())
-    )
+    corners = (f"named_struct('wx', {wx}, 'wy', {wy})" for wx, wy in _corners())
+    return F.expr(f"array({', '.join(corners)})")
+
+
+def corner_pixels(spec: GridSpec) -> list[tuple[str, str]]:
+    """(px_col, px_row) of the four corners of an object row, as SQL."""
 
+    def pixel(world: str, low: float) -> str:
+        return f"try_cast(({world} - {low!r}D) / {spec.resolution!r}D as int)"
 
-def corner_pixels(spec: GridSpec) -> list[tuple[Column, Column]]:
-    """(px_col, px_row) of the four corners of an object row."""
-    return [(pixel_col(wy, spec), pixel_row(wx, spec)) for wx, wy in _corners()]
+    return [(pixel(wy, spec.y_min), pixel(wx, spec.x_min)) for wx, wy in _corners()]

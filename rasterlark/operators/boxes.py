@@ -73,8 +73,8 @@ def box_labels(
     return with_color(objects, colors).select(
         "frame_id",
         "draw_ord",
-        anchor_col.alias("anchor_col"),
-        anchor_row.alias("anchor_row"),
+        F.expr(anchor_col).alias("anchor_col"),
+        F.expr(anchor_row).alias("anchor_row"),
         label_text().alias("label"),
         "b",
         "g",

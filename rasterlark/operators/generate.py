@@ -19,15 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlark.functions import between, place, unit_draw
 from rasterlark.functions.draws import AXES
+from rasterlark.operators.spread import spread
 from rasterlark.spec import DEFAULT_SEED, OBJECT_STRUCT, SCENE_OBJECTS, SceneSpec
 
 CHUNK_POINTS = 65536
+SPENT_COLUMNS = ("seed", "chunk_start", "chunk_points")
+CHUNK_COLUMNS = [*SPENT_COLUMNS, "block_start", "points"]
 DEFAULT_SCENE = SceneSpec()
 
 
@@ -80,29 +83,19 @@ def frame_rows(
 
 
 def _chunks(blocks: DataFrame) -> DataFrame:
-    """Cuts blocks(frame_id, block, block_start, points, ...) into chunks.
-
-    Only these descriptors are exchanged. The partition count is explicit, so
-    that AQE does not fold the few bytes of descriptors, each of which stands
-    for up to CHUNK_POINTS points, into a single task.
-    """
-    spark = blocks.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism,
-    )
+    """Cuts blocks(frame_id, block, block_start, points, ...) into chunks. Only
+    these descriptors are exchanged."""
     last = F.expr(f"(points - 1) div {CHUNK_POINTS}")
-    return (
+    chunks = (
         blocks.filter("points > 0")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .withColumn("chunk_start", F.col("chunk") * CHUNK_POINTS)
-        .withColumn(
-            "chunk_points",
-            F.least(F.lit(CHUNK_POINTS), F.col("points") - F.col("chunk_start")),
+        .selectExpr(
+            "*",
+            f"chunk * {CHUNK_POINTS} AS chunk_start",
+            f"least({CHUNK_POINTS}, points - chunk * {CHUNK_POINTS}) AS chunk_points",
         )
-        .repartition(tasks, "frame_id", "block", "chunk")
-        .drop("chunk")
     )
+    return spread(chunks, "frame_id", "block", "chunk").drop("chunk")
 
 
 def _hashed(chunks: DataFrame) -> DataFrame:
@@ -128,36 +121,69 @@ def _hashed(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _draw_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Stream:
+    """A seed's sequential stream, read at any place."""
+
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+        self._bits = np.random.PCG64(seed)
+        self._generator = np.random.Generator(self._bits)
+        self._at = 0
+
+    def read(self, place: int, count: int) -> np.ndarray:
+        if place != self._at:
+            self._bits.advance(place - self._at)
+        self._at = place + count
+        return self._generator.random(count)
+
+
+def _draw_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Draws of each chunk from its frame's sequential stream. A block takes
     4 * points numbers, one run of `points` per axis."""
-    carried = None
+    stream = None
     for batch in batches:
-        if carried is None:
-            skip = {"seed", "chunk_start", "chunk_points"}
-            carried = [c for c in batch.columns if c not in skip]
-        for _, row in batch.iterrows():
-            count = int(row.chunk_points)
-            out = {c: [row[c]] * count for c in carried}
-            out["sample"] = np.arange(count, dtype=np.int64) + int(row.chunk_start)
-            for axis, name in enumerate(AXES):
-                stream = np.random.PCG64(int(row.seed))
-                stream.advance(
-                    4 * int(row.block_start) + axis * int(row.points) + int(row.chunk_start)
-                )
-                out[name] = np.random.Generator(stream).random(count)
-            yield pd.DataFrame(out)
+        chunks = batch.select(CHUNK_COLUMNS).to_pydict()
+        carried = batch.drop_columns(list(SPENT_COLUMNS))
+        counts = chunks["chunk_points"]
+        begin = 0
+        while begin < len(counts):
+            # As many whole chunks as fit one output batch, at least one.
+            end, total = begin + 1, counts[begin]
+            while end < len(counts) and total + counts[end] <= CHUNK_POINTS:
+                total, end = total + counts[end], end + 1
+            samples = np.empty(total, np.int64)
+            units = np.empty((len(AXES), total))
+            done = 0
+            for i in range(begin, end):
+                if stream is None or stream.seed != chunks["seed"][i]:
+                    stream = _Stream(chunks["seed"][i])
+                first, count = chunks["chunk_start"][i], counts[i]
+                part = slice(done, done + count)
+                samples[part] = np.arange(first, first + count)
+                for axis in range(len(AXES)):
+                    place = 4 * chunks["block_start"][i] + axis * chunks["points"][i] + first
+                    units[axis, part] = stream.read(place, count)
+                done += count
+            rows = carried.take(pa.array(np.repeat(np.arange(begin, end), counts[begin:end])))
+            arrays = [*rows.columns, pa.array(samples), *map(pa.array, units)]
+            yield pa.RecordBatch.from_arrays(
+                arrays, names=[*rows.schema.names, "sample", *AXES]
+            )
+            begin = end
 
 
 def _sequential(chunks: DataFrame) -> DataFrame:
-    dropped = {"seed", "chunk_start", "chunk_points"}
     fields = [
         f"`{f.name}` {f.dataType.simpleString()}"
         for f in chunks.schema.fields
-        if f.name not in dropped
+        if f.name not in SPENT_COLUMNS
     ]
     fields += ["sample BIGINT", *(f"{u} DOUBLE" for u in AXES)]
-    return chunks.mapInPandas(_draw_stream, ", ".join(fields))
+    # In stream order within a task, so that reading mostly goes on from where
+    # it is.
+    return chunks.sortWithinPartitions("seed", "block_start", "chunk_start").mapInArrow(
+        _draw_stream, ", ".join(fields)
+    )
 
 
 def _draws(blocks: DataFrame, mode: str) -> DataFrame:

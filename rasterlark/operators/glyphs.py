@@ -107,11 +107,16 @@ def glyph_segments() -> list[tuple[str, int, int, int, int]]:
 
 
 def glyph_table(texts: DataFrame) -> DataFrame:
-    values = ", ".join(
-        "('{}', {}, {}, {}, {})".format(*segment) for segment in glyph_segments()
+    """(glyph, dc0, dr0, dc1, dr1) from one literal; no glyph has a space in its name
+    and strokes."""
+    words = " ".join(",".join(map(str, segment)) for segment in glyph_segments())
+    numbers = (
+        f"cast(split_part(word, ',', {i}) as int) AS {name}"
+        for i, name in enumerate(("dc0", "dr0", "dc1", "dr1"), start=2)
     )
-    return texts.sparkSession.sql(
-        f"SELECT * FROM VALUES {values} AS strokes(glyph, dc0, dr0, dc1, dr1)"
+    one_row = texts.sparkSession.range(1, numPartitions=1)
+    return one_row.selectExpr(f"explode(split('{words}', ' ')) AS word").selectExpr(
+        "split_part(word, ',', 1) AS glyph", *numbers
     )
 
 
@@ -122,23 +127,19 @@ def glyph_strokes(texts: DataFrame) -> DataFrame:
     label. The stroke table is the constant above, so it is broadcast.
     """
     keep = [c for c in texts.columns if c not in ("anchor_col", "anchor_row", "label")]
-    spelled = texts.select(
+    known = ", ".join(f"'{glyph}'" for glyph in GLYPHS)
+    spelled = texts.selectExpr(
+        *keep, "anchor_col", "anchor_row", "posexplode(split(label, '')) AS (place, letter)"
+    ).selectExpr(
         *keep,
-        "anchor_col",
-        "anchor_row",
-        F.posexplode(F.split("label", "")).alias("at", "letter"),
-    ).select(
-        *keep,
-        (F.col("anchor_col") + F.col("at") * ADVANCE).alias("pen_col"),
-        F.col("anchor_row").alias("pen_row"),
-        F.when(F.col("letter").isin(*GLYPHS), F.col("letter"))
-        .when(F.col("letter") != "", F.lit(FALLBACK))
-        .alias("glyph"),
+        f"anchor_col + place * {ADVANCE} AS pen_col",
+        "anchor_row AS pen_row",
+        f"CASE WHEN letter IN ({known}) THEN letter WHEN letter <> '' THEN '{FALLBACK}' END AS glyph",
     )
-    return spelled.join(F.broadcast(glyph_table(texts)), "glyph").select(
+    return spelled.join(F.broadcast(glyph_table(texts)), "glyph").selectExpr(
         *keep,
-        (F.col("pen_col") + F.col("dc0")).alias("c0"),
-        (F.col("pen_row") + F.col("dr0")).alias("r0"),
-        (F.col("pen_col") + F.col("dc1")).alias("c1"),
-        (F.col("pen_row") + F.col("dr1")).alias("r1"),
+        "pen_col + dc0 AS c0",
+        "pen_row + dr0 AS r0",
+        "pen_col + dc1 AS c1",
+        "pen_row + dr1 AS r1",
     )

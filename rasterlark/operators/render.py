@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlark.functions import class_color, corner_pixels, pack_bgr, unpack_bgr
@@ -26,6 +26,7 @@ from rasterlark.operators.raster import (
     rotate,
     split_cell,
 )
+from rasterlark.operators.spread import spread
 from rasterlark.spec import (
     DEFAULT_RESOLUTION,
     DEFAULT_X_RANGE,
@@ -37,29 +38,30 @@ LAYER_SHIFT = 24
 LINE_THICKNESS = 2
 
 
-def _steps_inside(start: str, delta: str, low: int, high: int) -> tuple[Column, Column]:
+def _steps_inside(start: str, delta: str, low: int, high: int) -> tuple[str, str]:
     """First and last step at which a line may lie in low..high on one axis.
 
     Generous by a step at either end; the exact test follows per pixel. It
     keeps an edge that leaves the grid from producing its outside pixels.
     """
-    a, d, n = F.col(start), F.col(delta), F.col("steps")
-    outside = (a < low) | (a > high)
-    at_low = (F.lit(low) - a - 1) * n.cast("double") / d
-    at_high = (F.lit(high) - a + 1) * n.cast("double") / d
-    first = F.when(d == 0, F.when(outside, n + 1).otherwise(F.lit(0))).otherwise(
-        F.floor(F.least(at_low, at_high)) - 1
+    at_low = f"({low} - {start} - 1) * cast(steps as double) / {delta}"
+    at_high = f"({high} - {start} + 1) * cast(steps as double) / {delta}"
+    inside = f"{start} BETWEEN {low} AND {high}"
+    first = (
+        f"CASE WHEN {delta} <> 0 THEN floor(least({at_low}, {at_high})) - 1 "
+        f"WHEN {inside} THEN 0 ELSE steps + 1 END"
     )
-    last = F.when(d == 0, F.when(outside, F.lit(-1)).otherwise(n)).otherwise(
-        F.ceil(F.greatest(at_low, at_high)) + 1
+    last = (
+        f"CASE WHEN {delta} <> 0 THEN ceil(greatest({at_low}, {at_high})) + 1 "
+        f"WHEN {inside} THEN steps ELSE -1 END"
     )
     return first, last
 
 
-def _offset(delta: str) -> Column:
+def _offset(delta: str) -> str:
     """trunc(step * delta / steps). A line longer than 2^31 pixels on both axes
     would overflow the BIGINT product and goes through DECIMAL."""
-    return F.expr(
+    return (
         f"CASE WHEN steps < 2147483648L THEN step * {delta} div steps "
         f"ELSE cast(step as decimal(19,0)) * cast({delta} as decimal(19,0)) div steps END"
     )
@@ -74,44 +76,37 @@ def trace(lines: DataFrame, spec: GridSpec, thickness: int) -> DataFrame:
     """
     ends = ("c0", "r0", "c1", "r1")
     keep = [c for c in lines.columns if c not in ends]
-    lined = (
-        lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends))
-        .withColumns({e: F.col(e).cast("bigint") for e in ends})
-        .withColumns({"dc": F.col("c1") - F.col("c0"), "dr": F.col("r1") - F.col("r0")})
-        .withColumn("steps", F.greatest(F.abs("dc"), F.abs("dr"), F.lit(1)))
-    )
     first_c, last_c = _steps_inside("c0", "dc", 1 - thickness, spec.width - 1)
     first_r, last_r = _steps_inside("r0", "dr", 0, spec.height - 1)
-    stepped = (
-        lined.withColumns(
-            {
-                "first": F.greatest(F.lit(0), first_c, first_r).cast("bigint"),
-                "last": F.least(F.col("steps"), last_c, last_r).cast("bigint"),
-            }
+    columns = ", ".join(f"px_col + {i}" for i in range(thickness))
+    return (
+        lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends))
+        .selectExpr(
+            *keep,
+            "cast(c0 as bigint) AS c0",
+            "cast(r0 as bigint) AS r0",
+            "cast(c1 as bigint) - c0 AS dc",
+            "cast(r1 as bigint) - r0 AS dr",
+        )
+        .selectExpr("*", "greatest(abs(dc), abs(dr), 1) AS steps")
+        .selectExpr(
+            "*",
+            f"cast(greatest(0, {first_c}, {first_r}) as bigint) AS first",
+            f"cast(least(steps, {last_c}, {last_r}) as bigint) AS last",
         )
         .filter("first <= last")
-        .select(
+        .selectExpr("*", "explode(sequence(first, last)) AS step")
+        .selectExpr(
             *keep,
-            "c0",
-            "r0",
-            "dc",
-            "dr",
-            "steps",
-            F.explode(F.sequence("first", "last")).alias("step"),
+            f"cast(r0 + {_offset('dr')} as int) AS px_row",
+            f"cast(c0 + {_offset('dc')} as int) AS px_col",
         )
-        .select(
-            *keep,
-            (F.col("r0") + _offset("dr")).alias("px_row"),
-            (F.col("c0") + _offset("dc")).alias("px_col"),
+        .selectExpr(*keep, "px_row", f"explode(array({columns})) AS px_col")
+        .filter(
+            f"px_row BETWEEN 0 AND {spec.height - 1} "
+            f"AND px_col BETWEEN 0 AND {spec.width - 1}"
         )
     )
-    if thickness > 1:
-        right = F.array(*(F.col("px_col") + i for i in range(thickness)))
-        stepped = stepped.select(*keep, "px_row", F.explode(right).alias("px_col"))
-    return stepped.filter(
-        F.col("px_row").between(0, spec.height - 1)
-        & F.col("px_col").between(0, spec.width - 1)
-    ).withColumns({p: F.col(p).cast("int") for p in ("px_row", "px_col")})
 
 
 def box_outline(
@@ -123,28 +118,23 @@ def box_outline(
 
     A pixel repeats where edges meet or strokes overlap.
     """
-    corners = corner_pixels(spec)
-    pixels = F.array(*(F.struct(c.alias("c"), r.alias("r")) for c, r in corners))
-    edges = F.array(
-        *(
-            F.struct(
-                F.col("pixels")[i]["c"].alias("c0"),
-                F.col("pixels")[i]["r"].alias("r0"),
-                F.col("pixels")[(i + 1) % 4]["c"].alias("c1"),
-                F.col("pixels")[(i + 1) % 4]["r"].alias("r1"),
-            )
-            for i in range(4)
-        )
+    corners = (
+        f"named_struct('c', {col}, 'r', {row})" for col, row in corner_pixels(spec)
+    )
+    edges = (
+        f"named_struct('c0', p[{i}].c, 'r0', p[{i}].r, "
+        f"'c1', p[{(i + 1) % 4}].c, 'r1', p[{(i + 1) % 4}].r)"
+        for i in range(4)
     )
     lines = (
-        objects.select(
+        spread(objects, "frame_id", "draw_ord")
+        .select(
             "frame_id",
             F.col("draw_ord").cast("bigint").alias("draw_ord"),
             class_color(F.col("class_name"), colors).alias("bgr"),
-            pixels.alias("pixels"),
+            F.expr(f"array({', '.join(corners)})").alias("p"),
         )
-        .select("frame_id", "draw_ord", "bgr", F.explode(edges).alias("edge"))
-        .select("frame_id", "draw_ord", "bgr", "edge.*")
+        .selectExpr("frame_id", "draw_ord", "bgr", f"inline(array({', '.join(edges)}))")
     )
     return trace(lines, spec, LINE_THICKNESS)
 
@@ -156,12 +146,12 @@ def label_strokes(
 ) -> DataFrame:
     """Pixels of the label texts: (frame_id, draw_ord, bgr, px_row, px_col)."""
     anchor_col, anchor_row = corner_pixels(spec)[0]
-    texts = objects.select(
+    texts = spread(objects, "frame_id", "draw_ord").select(
         "frame_id",
         F.col("draw_ord").cast("bigint").alias("draw_ord"),
         class_color(F.col("class_name"), colors).alias("bgr"),
-        anchor_col.cast("bigint").alias("anchor_col"),
-        anchor_row.cast("bigint").alias("anchor_row"),
+        F.expr(f"cast({anchor_col} as bigint)").alias("anchor_col"),
+        F.expr(f"cast({anchor_row} as bigint)").alias("anchor_row"),
         label_text().alias("label"),
     )
     return trace(glyph_strokes(texts), spec, thickness=1)

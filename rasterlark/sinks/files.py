@@ -49,11 +49,12 @@ def file_name(prefix: str, frame_id: str, start: int, suffix: str) -> str:
     """`start` is the number of the first row for the later parts of a frame
     that is too large for one file."""
     later = f"-from-{start}" if start else ""
-    return f"{prefix}_{quote(str(frame_id), safe='')}{later}.{suffix}"
+    frame = quote(str(frame_id), safe="").replace("-from-", "%2Dfrom-")
+    return f"{prefix}_{frame}{later}.{suffix}"
 
 
 def parse_file_name(path: str) -> tuple[str, int]:
     """(frame_id, start) of a name made by `file_name`."""
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    frame, _, start = stem.partition("-from-")
+    frame, start = re.fullmatch(r"(.*?)(?:-from-(\d+))?", stem, re.DOTALL).groups()
     return unquote(frame.split("_", 1)[-1]), int(start or 0)

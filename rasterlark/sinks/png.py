@@ -21,7 +21,9 @@ from rasterlark.sinks.files import create_directory, file_name, whole_file
 from rasterlark.spec import GridSpec
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+COMPRESSION = 3
 BAND_LINES = 64
+COLOR_BITS = 24
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -37,7 +39,7 @@ class _Picture:
         self._stack = ExitStack()
         self._stream = self._stack.enter_context(whole_file(directory, name))
         self._width, self._height = width, height
-        self._deflate = zlib.compressobj(6)
+        self._deflate = zlib.compressobj(COMPRESSION)
         self._top = 0
         self._band = np.zeros((BAND_LINES, width, 3), np.uint8)
         header = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
@@ -56,7 +58,10 @@ class _Picture:
         self._band[:] = 0
         self._top += count
 
-    def add(self, rows: np.ndarray, cols: np.ndarray, rgb: np.ndarray) -> None:
+    def add(self, pixels: np.ndarray) -> None:
+        places = pixels >> COLOR_BITS
+        rows, cols = places // self._width, places % self._width
+        rgb = np.stack([pixels & 255, pixels >> 8 & 255, pixels >> 16 & 255], axis=1)
         begin = 0
         while begin < len(rows):
             while rows[begin] >= self._top + BAND_LINES:
@@ -83,28 +88,24 @@ def _writer(
         current, picture, files = None, None, 0
         try:
             for batch in batches:
-                frames = np.array(batch.column("frame_id").to_pylist(), dtype=object)
-                rows, cols = (
-                    batch.column(c).to_numpy(zero_copy_only=False)
-                    for c in ("out_row", "out_col")
-                )
-                rgb = np.stack(
-                    [batch.column(c).to_numpy(zero_copy_only=False) for c in "rgb"], axis=1
-                ).astype(np.uint8)
-                starts = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1), len(frames)]
+                frames = batch.column("frame_id").dictionary_encode()
+                codes = frames.indices.to_numpy()
+                pixels = batch.column("pixel").to_numpy()
+                starts = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(codes)]
                 for start, stop in zip(starts, starts[1:]):
                     if start == stop:
                         continue
-                    if frames[start] != current:
+                    frame = frames.dictionary[codes[start]].as_py()
+                    if frame != current:
                         if picture is not None:
                             picture.close()
-                        current, files = frames[start], files + 1
+                        current, files = frame, files + 1
                         name = file_name("bev_frame", current, 0, "png")
                         picture = _Picture(directory, name, width, height)
-                    # A frame marker has row -1 and sorts first.
-                    while start < stop and rows[start] < 0:
+                    # A frame marker is -1 and sorts first.
+                    while start < stop and pixels[start] < 0:
                         start += 1
-                    picture.add(rows[start:stop], cols[start:stop], rgb[start:stop])
+                    picture.add(pixels[start:stop])
             if picture is not None:
                 picture.close()
         except BaseException as error:
@@ -126,17 +127,21 @@ def write_png(
     returns the number of files. `frames` adds pictures for frames without
     pixels."""
     create_directory(directory)
-    pixels = image.select("frame_id", "out_row", "out_col", "b", "g", "r")
+    # Place and colour in one number: a narrow row and a single sort key.
+    pixels = image.selectExpr(
+        "frame_id",
+        f"shiftleft(cast(out_row as bigint) * {spec.height} + out_col, {COLOR_BITS})"
+        " + b * 65536 + g * 256 + r AS pixel",
+    )
     if frames is not None:
-        marker = {"out_row": -1, "out_col": 0, "b": 0, "g": 0, "r": 0}
         pixels = pixels.unionByName(
-            frames.select("frame_id", *(F.lit(v).alias(n) for n, v in marker.items()))
+            frames.select("frame_id", F.lit(-1).cast("bigint").alias("pixel"))
         )
     written = (
         pixels.withColumn("frame_id", F.col("frame_id").cast("string"))
         # A frame has at most one row per pixel of the grid, whatever its points.
         .repartition("frame_id")
-        .sortWithinPartitions("frame_id", "out_row", "out_col")
+        .sortWithinPartitions("frame_id", "pixel")
         .mapInArrow(_writer(directory, spec.height, spec.width), "files BIGINT")
     )
     return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

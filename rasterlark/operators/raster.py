@@ -32,7 +32,7 @@ from rasterlark.spec import (
 DEFAULT_GRID = GridSpec()
 
 
-def _coordinate_width(points: DataFrame) -> str:
+def coordinate_width(points: DataFrame) -> str:
     types = dict(points.dtypes)
     return "double" if "double" in (types["x"], types["y"]) else "float"
 
@@ -40,13 +40,13 @@ def _coordinate_width(points: DataFrame) -> str:
 def crop(points: DataFrame, spec: GridSpec = DEFAULT_GRID) -> DataFrame:
     """Points of the region of interest."""
     return points.filter(
-        in_roi(F.col("x"), F.col("y"), spec, _coordinate_width(points))
+        in_roi(F.col("x"), F.col("y"), spec, coordinate_width(points))
     )
 
 
 def locate(points: DataFrame, spec: GridSpec = DEFAULT_GRID) -> DataFrame:
     """Points of the region of interest with their cell."""
-    width = _coordinate_width(points)
+    width = coordinate_width(points)
     return (
         crop(points, spec)
         .withColumn("cell_row", cell_row(F.col("x"), spec, width))
@@ -70,7 +70,7 @@ def split_cell(spec: GridSpec, key: str = "cell") -> tuple[Column, Column]:
 def scatter_max(points: DataFrame, spec: GridSpec = DEFAULT_GRID) -> DataFrame:
     """Largest intensity per cell, never below 0: (frame_id, cell_row,
     cell_col, max_intensity). A NaN or NULL intensity takes no part."""
-    width = _coordinate_width(points)
+    width = coordinate_width(points)
     row, col = split_cell(spec)
     return (
         crop(points, spec)

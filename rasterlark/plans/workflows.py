@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlark.operators.generate import generate_frames, make_objects
-from rasterlark.operators.raster import frames_of
+from rasterlark.operators.generate import frame_rows, generate_frames, make_objects
 from rasterlark.operators.render import render_frames
-from rasterlark.operators.generate import frame_rows
 from rasterlark.sinks import write_npz, write_object_files, write_png
-from rasterlark.sources import read_npz, read_objects
+from rasterlark.sources import npz_frames, read_npz, read_objects
 from rasterlark.spec import DEFAULT_SEED, GridSpec
 
 SAMPLE_FRAME = "000001"
@@ -34,6 +32,5 @@ def visualize(
 ) -> int:
     """Draws every frame of `data_dir` to bev_frame_<id>.png; returns the
     number of pictures."""
-    points = read_npz(spark, data_dir)
-    image = render_frames(points, read_objects(spark, data_dir), spec)
-    return write_png(image, output_dir, spec, frames_of(points))
+    image = render_frames(read_npz(spark, data_dir), read_objects(spark, data_dir), spec)
+    return write_png(image, output_dir, spec, npz_frames(spark, data_dir))

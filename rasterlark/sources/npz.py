@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from numpy.lib import format as npy
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterlark.sinks.files import parse_file_name
 from rasterlark.spec import POINT_SCHEMA
@@ -59,12 +60,19 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start += count
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Points of every frame_<id>.npz under `path`, a file or directory."""
+def _archives(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.npz")
-        .load(path)
-        .select("path", "content")
-        .mapInArrow(_decode, POINT_SCHEMA)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
     )
+
+
+def npz_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct frame_id of the archives, from their names alone: without
+    the content column no file is opened."""
+    stem = F.regexp_extract("path", r"[^/_]*_([^/]*?)(?:-from-\d+)?\.npz$", 1)
+    return _archives(spark, path).select(F.url_decode(stem).alias("frame_id")).distinct()
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """Points of every frame_<id>.npz under `path`, a file or directory."""
+    return _archives(spark, path).select("path", "content").mapInArrow(_decode, POINT_SCHEMA)

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlark.functions import cell_col, cell_row, gray_level, usable_intensity
-from rasterlark.operators.raster import DEFAULT_GRID, crop, pack_cell, split_cell
+from rasterlark.operators.raster import (
+    DEFAULT_GRID,
+    coordinate_width,
+    crop,
+    pack_cell,
+    split_cell,
+)
 from rasterlark.spec import GridSpec
 
 
@@ -24,6 +30,7 @@ def stream_bev(
     cell in the state store; the watermark drops the cells of a closed window.
     """
     row, col = split_cell(spec)
+    width = coordinate_width(points)
     return (
         crop(points, spec)
         .filter(usable_intensity(F.col("intensity")))
@@ -32,7 +39,9 @@ def stream_bev(
             event_time,
             "frame_id",
             pack_cell(
-                cell_row(F.col("x"), spec), cell_col(F.col("y"), spec), spec
+                cell_row(F.col("x"), spec, width),
+                cell_col(F.col("y"), spec, width),
+                spec,
             ).alias("cell"),
             gray_level(F.col("intensity")).alias("gray"),
         )

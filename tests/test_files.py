@@ -20,7 +20,7 @@ from rasterlark.sinks import (
 )
 from rasterlark.sinks.documents import object_documents
 from rasterlark.sinks.files import file_name, parse_file_name, whole_file
-from rasterlark.sources import read_npz, read_objects, read_points
+from rasterlark.sources import npz_frames, read_npz, read_objects, read_points
 
 
 @pytest.fixture(scope="module")
@@ -61,8 +61,9 @@ def test_npz_is_a_plain_numpy_archive(spark, scans, tmp_path):
 
 def test_frame_ids_with_special_characters(spark, scans, tmp_path):
     odd = scans.withColumn("frame_id", F.concat(F.lit("ä/b %2F"), "frame_id"))
-    write_npz(odd, str(tmp_path))
+    write_npz(odd, str(tmp_path), rows_per_file=300)
     assert bag(read_npz(spark, str(tmp_path))) == bag(odd)
+    assert bag(npz_frames(spark, str(tmp_path))) == bag(frames_of(odd))
 
 
 def test_npz_from_elsewhere(spark, tmp_path):

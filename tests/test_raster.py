@@ -20,6 +20,7 @@ from rasterlark.operators.raster import (
     scatter_max,
     to_bgr,
 )
+from rasterlark.session import sizing
 from rasterlark.sinks import write_points
 from rasterlark.sources import read_points
 
@@ -207,3 +208,11 @@ def test_dense_plan_never_joins(points):
 def test_cells_stay_inside(points):
     located = locate(points(skewed_rows(9, 600)))
     assert located.filter("cell_row NOT BETWEEN 0 AND 399 OR cell_col NOT BETWEEN 0 AND 399").count() == 0
+
+
+def test_sizing_follows_the_input():
+    small, large = sizing(10**9), sizing(100 * 10**12)
+    assert small["spark.sql.shuffle.partitions"] == "4"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(128 * 1024**2)
+    assert large["spark.sql.shuffle.partitions"] == "50000"
+    assert int(large["spark.sql.files.maxPartitionBytes"]) == 10**9

@@ -39,67 +39,59 @@ LINE_THICKNESS = 2
 
 
 def _steps_inside(start: str, delta: str, low: int, high: int) -> tuple[str, str]:
-    """First and last step at which a line may lie in low..high on one axis.
-
-    Generous by a step at either end; the exact test follows per pixel. It
-    keeps an edge that leaves the grid from producing its outside pixels.
-    """
-    at_low = f"({low} - {start} - 1) * cast(steps as double) / {delta}"
-    at_high = f"({high} - {start} + 1) * cast(steps as double) / {delta}"
-    inside = f"{start} BETWEEN {low} AND {high}"
-    first = (
-        f"CASE WHEN {delta} <> 0 THEN floor(least({at_low}, {at_high})) - 1 "
-        f"WHEN {inside} THEN 0 ELSE steps + 1 END"
-    )
-    last = (
-        f"CASE WHEN {delta} <> 0 THEN ceil(greatest({at_low}, {at_high})) + 1 "
-        f"WHEN {inside} THEN steps ELSE -1 END"
-    )
-    return first, last
-
-
-def _offset(delta: str) -> str:
-    """trunc(step * delta / steps). A line longer than 2^31 pixels on both axes
-    would overflow the BIGINT product and goes through DECIMAL."""
-    return (
-        f"CASE WHEN steps < 2147483648L THEN step * {delta} div steps "
-        f"ELSE cast(step as decimal(19,0)) * cast({delta} as decimal(19,0)) div steps END"
-    )
+    """First and last step (DOUBLE) at which a line may lie in low..high on one
+    axis, NULL where it does not move on that axis. Generous by a step at
+    either end; the exact test follows per pixel."""
+    per_pixel = f"(steps / nullif({delta}, 0))"
+    at_low = f"({low} - {start} - 1) * {per_pixel}"
+    at_high = f"({high} - {start} + 1) * {per_pixel}"
+    return f"least({at_low}, {at_high}) - 1", f"greatest({at_low}, {at_high}) + 1"
 
 
-def trace(lines: DataFrame, spec: GridSpec, thickness: int) -> DataFrame:
+def trace(
+    lines: DataFrame, spec: GridSpec, thickness: int, short: bool = False
+) -> DataFrame:
     """Pixels of the lines (c0, r0) to (c1, r1) that lie in the grid.
 
     Adds px_row, px_col and drops the end points. Step k of a line of n steps
     is at trunc(k * delta / n) from its start; thickness adds pixels to the
     right. A line with an end that has no pixel number is not drawn.
+
+    Only the steps that can be inside the grid are expanded, except for `short`
+    lines of a few pixels. The way to the first of them is taken once per line
+    in DECIMAL, as its product may exceed a BIGINT; what is left per pixel is
+    small.
     """
     ends = ("c0", "r0", "c1", "r1")
     keep = [c for c in lines.columns if c not in ends]
-    first_c, last_c = _steps_inside("c0", "dc", 1 - thickness, spec.width - 1)
-    first_r, last_r = _steps_inside("r0", "dr", 0, spec.height - 1)
     columns = ", ".join(f"px_col + {i}" for i in range(thickness))
-    return (
-        lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends))
-        .selectExpr(
+    directed = lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends)).selectExpr(
+        *keep,
+        "bigint(c0) AS c0",
+        "bigint(r0) AS r0",
+        "bigint(c1) - c0 AS dc",
+        "bigint(r1) - r0 AS dr",
+        "greatest(abs(bigint(c1) - c0), abs(bigint(r1) - r0), 1) AS steps",
+    )
+    if short:
+        stepped = directed.selectExpr(
             *keep,
-            "cast(c0 as bigint) AS c0",
-            "cast(r0 as bigint) AS r0",
-            "cast(c1 as bigint) - c0 AS dc",
-            "cast(r1 as bigint) - r0 AS dr",
-        )
-        .selectExpr("*", "greatest(abs(dc), abs(dr), 1) AS steps")
-        .selectExpr(
-            "*",
-            f"cast(greatest(0, {first_c}, {first_r}) as bigint) AS first",
-            f"cast(least(steps, {last_c}, {last_r}) as bigint) AS last",
+            "dc",
+            "dr",
+            "steps",
+            "c0 AS col_at",
+            "r0 AS row_at",
+            "0L AS col_rest",
+            "0L AS row_rest",
+            "explode(sequence(0L, steps)) AS step",
         )
-        .filter("first <= last")
-        .selectExpr("*", "explode(sequence(first, last)) AS step")
-        .selectExpr(
+    else:
+        stepped = _cut(directed, spec, thickness, keep)
+    return (
+        stepped.selectExpr(
             *keep,
-            f"cast(r0 + {_offset('dr')} as int) AS px_row",
-            f"cast(c0 + {_offset('dc')} as int) AS px_col",
+            "int(row_at + (row_rest + dr * step) div steps) AS px_row",
+            "int(col_at + (col_rest + dc * step) div steps) AS px_col",
         )
         .selectExpr(*keep, "px_row", f"explode(array({columns})) AS px_col")
         .filter(
@@ -109,6 +101,33 @@ def trace(lines: DataFrame, spec: GridSpec, thickness: int) -> DataFrame:
     )
 
 
+def _cut(directed: DataFrame, spec: GridSpec, thickness: int, keep: list[str]) -> DataFrame:
+    """Steps from the first to the last one near the grid, with the place of
+    the first: position and remainder of the division by `steps`.
+
+    An axis without movement gives NULL, which least and greatest skip: a line
+    beside the grid expands to as many steps as the other axis allows.
+    """
+    first_c, last_c = _steps_inside("c0", "dc", 1 - thickness, spec.width - 1)
+    first_r, last_r = _steps_inside("r0", "dr", 0, spec.height - 1)
+    way = "cast(first as decimal(19,0)) * cast({} as decimal(19,0))".format
+    return directed.selectExpr(
+        "*",
+        f"bigint(least(steps + 1D, greatest(0D, {first_c}, {first_r}))) AS first",
+        f"bigint(greatest(-1D, least(double(steps), {last_c}, {last_r}))) AS last",
+    ).selectExpr(
+        *keep,
+        "dc",
+        "dr",
+        "steps",
+        f"c0 + {way('dc')} div steps AS col_at",
+        f"r0 + {way('dr')} div steps AS row_at",
+        f"bigint({way('dc')} % steps) AS col_rest",
+        f"bigint({way('dr')} % steps) AS row_rest",
+        "explode(CASE WHEN first <= last THEN sequence(0L, last - first) END) AS step",
+    )
+
+
 def box_outline(
     objects: DataFrame,
     spec: GridSpec = DEFAULT_GRID,
@@ -118,23 +137,25 @@ def box_outline(
 
     A pixel repeats where edges meet or strokes overlap.
     """
-    corners = (
-        f"named_struct('c', {col}, 'r', {row})" for col, row in corner_pixels(spec)
-    )
+    pixels = [
+        f"{pixel} AS {axis}{i}"
+        for i, corner in enumerate(corner_pixels(spec))
+        for axis, pixel in zip("cr", corner)
+    ]
     edges = (
-        f"named_struct('c0', p[{i}].c, 'r0', p[{i}].r, "
-        f"'c1', p[{(i + 1) % 4}].c, 'r1', p[{(i + 1) % 4}].r)"
-        for i in range(4)
+        f"named_struct('c0', c{i}, 'r0', r{i}, 'c1', c{j}, 'r1', r{j})"
+        for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))
     )
-    lines = (
-        spread(objects, "frame_id", "draw_ord")
-        .select(
-            "frame_id",
-            F.col("draw_ord").cast("bigint").alias("draw_ord"),
-            class_color(F.col("class_name"), colors).alias("bgr"),
-            F.expr(f"array({', '.join(corners)})").alias("p"),
-        )
-        .selectExpr("frame_id", "draw_ord", "bgr", f"inline(array({', '.join(edges)}))")
+    # Corners before the exchange: narrower than the objects, and a stage apart
+    # from the expansion, so that each is one compilable method.
+    corners = objects.select(
+        "frame_id",
+        F.col("draw_ord").cast("bigint").alias("draw_ord"),
+        class_color(F.col("class_name"), colors).alias("bgr"),
+        *map(F.expr, pixels),
+    )
+    lines = spread(corners, "frame_id", "draw_ord").selectExpr(
+        "frame_id", "draw_ord", "bgr", f"inline(array({', '.join(edges)}))"
     )
     return trace(lines, spec, LINE_THICKNESS)
 
@@ -146,15 +167,16 @@ def label_strokes(
 ) -> DataFrame:
     """Pixels of the label texts: (frame_id, draw_ord, bgr, px_row, px_col)."""
     anchor_col, anchor_row = corner_pixels(spec)[0]
-    texts = spread(objects, "frame_id", "draw_ord").select(
+    texts = objects.select(
         "frame_id",
         F.col("draw_ord").cast("bigint").alias("draw_ord"),
         class_color(F.col("class_name"), colors).alias("bgr"),
-        F.expr(f"cast({anchor_col} as bigint)").alias("anchor_col"),
-        F.expr(f"cast({anchor_row} as bigint)").alias("anchor_row"),
+        F.expr(f"bigint({anchor_col})").alias("anchor_col"),
+        F.expr(f"bigint({anchor_row})").alias("anchor_row"),
         label_text().alias("label"),
     )
-    return trace(glyph_strokes(texts), spec, thickness=1)
+    strokes = glyph_strokes(spread(texts, "frame_id", "draw_ord"))
+    return trace(strokes, spec, thickness=1, short=True)
 
 
 def layered(pixels: DataFrame, first_layer: int, spec: GridSpec) -> DataFrame:

@@ -21,6 +21,21 @@ def test_equal_to_sql(spark, name):
     assert difference(spark, SF_DIR, QUERIES[name], ORACLES[name]) is None
 
 
+@pytest.mark.parametrize(
+    "name", ["bev_gray", "bev_dense", "frame_union", "box_pixels", "annotated_image"]
+)
+def test_generated_methods_can_be_compiled(spark, name):
+    """The JVM only interprets methods of more than 8000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = QUERIES[name](spark, SF_DIR)._jdf.queryExecution()
+        stages = execution.debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+
+
 def test_sequential_frames(spark):
     rows = QUERIES["sequential_frames"](spark, SF_DIR).collect()
     assert len(rows) == 10

@@ -1,5 +1,9 @@
 """Bird's-eye-view rasters of point frames, as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from rasterlark.operators.boxes import (
     box_corners_bev,
     box_labels,
@@ -18,6 +22,9 @@ from rasterlark.plans.workflows import save_sample, visualize
 from rasterlark.session import build_session
 from rasterlark.spec import CLASS_COLORS, GridSpec, SceneSpec
 
+# Tasks carry the code they run, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "CLASS_COLORS",
     "GridSpec",

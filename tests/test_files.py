@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rasterlark import GridSpec, make_objects, points_to_bev, save_sample, visualize
+from rasterlark.operators.generate import _draw_stream
 from rasterlark.operators.raster import frames_of
 from rasterlark.sinks import (
     decode_png,
@@ -18,9 +23,13 @@ from rasterlark.sinks import (
     write_png,
     write_points,
 )
+from rasterlark.sinks.documents import _writer as document_writer
 from rasterlark.sinks.documents import object_documents
 from rasterlark.sinks.files import file_name, parse_file_name, whole_file
+from rasterlark.sinks.npz import _writer as npz_writer
+from rasterlark.sinks.png import _writer as png_writer
 from rasterlark.sources import npz_frames, read_npz, read_objects, read_points
+from rasterlark.sources.npz import _decode
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +193,12 @@ def test_sample_to_picture(spark, tmp_path):
         assert picture[out_row, out_col, 0] == bev.get((out_col, 399 - out_row), 0)
     # Second object's first corner: column 153, row 265; red, green, blue of a car.
     assert list(picture[399 - 153, 265]) == [0, 220, 0]
+
+
+def test_tasks_run_where_the_package_is_not_installed(tmp_path):
+    for task in (_decode, npz_writer("d", 10), document_writer("d"), png_writer("d", 4, 4), _draw_stream):
+        file = tmp_path / "task.pkl"
+        file.write_bytes(cloudpickle.dumps(task))
+        code = f"import pickle, sys; pickle.load(open({str(file)!r}, 'rb')); assert 'rasterlark' not in sys.modules"
+        environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, check=True)

@@ -185,11 +185,16 @@ def points_to_bev(
     y_range: tuple[float, float] = DEFAULT_Y_RANGE,
     resolution: float = DEFAULT_RESOLUTION,
     dense: bool = False,
+    frames: DataFrame | None = None,
 ) -> DataFrame:
     """Raster of every frame: (frame_id, cell_row, cell_col, gray).
 
-    Sparse by default; `dense` adds the empty cells of every frame in `points`.
+    Sparse by default; `dense` adds the empty cells of `frames`, distinct
+    frame_id values. Without that list a second scan of the frame_id column of
+    `points` finds them.
     """
     spec = GridSpec.of(x_range, y_range, resolution)
     bev = quantize(scatter_max(points, spec))
-    return densify(bev, frames_of(points), spec) if dense else bev
+    if not dense:
+        return bev
+    return densify(bev, frames_of(points) if frames is None else frames, spec)

@@ -167,6 +167,9 @@ def test_dense_has_every_cell_of_every_frame(points):
     full = {(f, r, c): 0 for f in "fg" for r in range(4) for c in range(3)}
     full |= {("f", 0, 0): 51, ("f", 0, 2): 102, ("f", 3, 1): 153}
     assert dense == full
+    listed = frames_of(table).union(frames_of(points([(0.0, 0.0, 0.0, "h")])))
+    more = points_to_bev(table, (0.0, 2.0), (0.0, 1.5), 0.5, dense=True, frames=listed)
+    assert cells(more) == full | {("h", r, c): 0 for r in range(4) for c in range(3)}
     assert densify(points_to_bev(table.limit(0)), frames_of(table.limit(0)), spec).count() == 0
 
 

@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm import languages
+from rasterlark.llm import languages, lattice
 from rasterlark.llm.common import fold, table
 
+TOKENIZERS = None  # folder of public vocabulary files; None: the installed one
+
+
+def vocabulary(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from six folds in seven, scores every document."""
+    documents = table(spark, sf_dir, "documents")
+    rows = documents.select("doc_id", "text", (fold(F.col("doc_id"), 7) != 2).alias("trains"))
+    pieces = lattice.read_pieces(vocabulary("piece_bpe_32k.model"))
+    scored = lattice.score_texts(rows, pieces)
+    return scored.withColumn("held_out", ~F.col("trains")).drop("trains")
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two folds in three, predicts for every document."""
     documents = table(spark, sf_dir, "documents")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm import languages, lattice
+from rasterlark.llm import languages, lattice, packing, token_files
 from rasterlark.llm.common import fold, table
+from rasterlark.sinks.scratch import scratch_directory
 
 TOKENIZERS = None  # folder of public vocabulary files; None: the installed one
 
@@ -33,6 +34,20 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("trains")).drop("trains")
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1
+    )
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files to the shared scratch folder and reads them back."""
+    directory = scratch_directory(spark, "token-files")
+    documents = table(spark, sf_dir, "documents")
+    token_files.write_tokens(documents, directory, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(spark, directory)
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two folds in three, predicts for every document."""
     documents = table(spark, sf_dir, "documents")

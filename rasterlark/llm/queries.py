@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm import languages, lattice, packing, token_files
+from rasterlark.llm import languages, lattice, packing, search, token_files, url_rules
 from rasterlark.llm.common import fold, table
 from rasterlark.sinks.scratch import scratch_directory
 
@@ -25,6 +25,11 @@ def vocabulary(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from six folds in seven, scores every document."""
     documents = table(spark, sf_dir, "documents")
@@ -48,6 +53,32 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, directory)
 
 
+LISTED = [
+    url_rules.HostRule("net", "/", "block"),
+    url_rules.HostRule("example.net", "/en/", "allow"),
+    url_rules.HostRule("example.com", "/de/", "block"),
+    url_rules.HostRule("org", "/fr/", "allow"),
+]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the label of its number says toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages")
+    labels = (
+        table(spark, sf_dir, "labels")
+        .groupBy(F.col("doc_id").alias("page_id"))
+        .agg(F.max(F.expr("coalesce(toxic = 1 OR quality = 0, false)")).alias("bad"))
+    )
+    url = F.col("url")
+    tokens = url_rules.url_tokens(url, url_rules.host_of(url), url_rules.path_of(url))
+    baskets = (
+        pages.where("instr(url, '://') > 0")
+        .join(labels, "page_id")
+        .select(tokens.alias("tokens"), "bad")
+    )
+    return url_rules.judge_urls(pages, url_rules.mine_rules(baskets), LISTED)
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two folds in three, predicts for every document."""
     documents = table(spark, sf_dir, "documents")

@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from rasterlark.llm.common import stored
 
-WORDS_IN_MEMORY = 400_000  # distinct words a task counts before it hands them on
-FREQUENT = 200_000  # words that are scored from a broadcast table
+WORDS_IN_MEMORY = 150_000  # distinct words a task counts before it hands them on
+FREQUENT = 100_000  # at most so many words are scored from a broadcast table
 ROUNDS = 2  # of expectation-maximisation
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 4_000
+ROWS_AT_ONCE = 500
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 1 << 21
+_SLOTS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -297,8 +298,8 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
     (log10). A null text counts as empty: one token, the end. Rows with the same
     doc_id and text are told apart by number only, so each comes back.
 
-    The FREQUENT most frequent words, so every hot one, are scored from a
-    broadcast table of that many rows; only other words are exchanged, as one
+    The most frequent words, FREQUENT at most, so every hot one, are scored from
+    a broadcast table; only other words are exchanged, as one
     row per document and word, so no join key is hot.
     """
     spark = documents.sparkSession
@@ -345,45 +346,61 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
         counts.mapInArrow(spell, "word binary, known boolean, base double, log_p double"),
         "lm-scores",
     )
-    # base grows with the count: the rows of the most frequent words.
-    top = scores.orderBy(F.desc("base"), "word").limit(frequent).toPandas()
+    # Count classes of an eighth of an octave; as many of the top ones as fit.
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    classes = counts.where("n > 0").groupBy(grade.alias("grade")).count().collect()
+    least, room = None, frequent
+    for row in sorted(classes, reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.grade
+    top = scores.join(
+        counts.where(F.lit(False) if least is None else (F.col("n") > 0) & (grade >= least)),
+        "word",
+        "left_semi",
+    ).select("word", "base", "log_p").toArrow()
     hot = spark.sparkContext.broadcast(
-        {
-            bytes(w): (k, b, p)
-            for w, k, b, p in zip(top["word"], top["known"], top["base"], top["log_p"])
-        }
+        (
+            {word: i for i, word in enumerate(top.column("word").to_pylist())},
+            np.stack([top.column(c).to_numpy() for c in ("base", "log_p")]),
+        )
     )
 
     def sum_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = hot.value
-        for batch in batches:
-            tokens_, known, base, logs, rest, rest_n = [], [], [], [], [], []
-            for text in batch.column(3):
-                words = text.as_py().lower().split()
-                k, b, p, other, other_n = 0, 0.0, 0.0, [], []
-                for word, n in Counter(words).items():
-                    if hit := known_words.get(word):
-                        k, b, p = k + n * hit[0], b + n * hit[1], p + n * hit[2]
-                    else:
-                        other.append(word)
-                        other_n.append(n)
-                for column, value in zip(
-                    (tokens_, known, base, logs, rest, rest_n),
-                    (len(words), int(k), b, p, other, other_n),
-                ):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.array(tokens_, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(logs, pa.float64()),
-                    pa.array(rest, pa.list_(pa.binary())),
-                    pa.array(rest_n, pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "trains", "tokens", "known", "base", "log_p", "rest", "rest_n"],
-            )
+        numbers, logs = hot.value
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(low, ROWS_AT_ONCE)
+                sums, rest, rest_n = [], [], []
+                for text in batch.column(3):
+                    words = text.as_py().lower().split()
+                    at, times, other, other_n = [], [], [], []
+                    for word, n in Counter(words).items():
+                        number = numbers.get(word)
+                        if number is None:
+                            other.append(word)
+                            other_n.append(n)
+                        else:
+                            at.append(number)
+                            times.append(n)
+                    base, log_p = logs[:, at] @ np.array(times, float)
+                    sums.append((len(words), sum(times), base, log_p))
+                    rest.append(other)
+                    rest_n.append(other_n)
+                tokens_, known, base, log_p = zip(*sums)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.columns[:3],
+                        pa.array(tokens_, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(log_p, pa.float64()),
+                        pa.array(rest, pa.list_(pa.binary())),
+                        pa.array(rest_n, pa.list_(pa.int64())),
+                    ],
+                    ["row", "doc_id", "trains", "tokens", "known", "base", "log_p", "rest", "rest_n"],
+                )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     partial = stored(

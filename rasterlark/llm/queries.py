@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm import languages, lattice, packing, search, token_files, url_rules
+from rasterlark.llm import (
+    languages,
+    lattice,
+    near_duplicates,
+    packing,
+    search,
+    token_files,
+    url_rules,
+)
 from rasterlark.llm.common import fold, table
 from rasterlark.sinks.scratch import scratch_directory
 
@@ -79,6 +87,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.mine_rules(baskets), LISTED)
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from two folds in three, predicts for every document."""
     documents = table(spark, sf_dir, "documents")

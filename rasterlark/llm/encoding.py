@@ -1,45 +1,32 @@
-"""Token ids of whole texts, by a tokenizer file, word by word.
+"""Token ids of whole texts, by a tokenizer file, part by part.
 
 Byte-pair tokenizers split a text by a pattern before they merge. Where no
-match of the pattern can reach over a space, the ids of a text are those of its
-parts, so a task encodes every distinct part once and joins the rest.
+match of the pattern can reach over a space or line end that follows a visible
+character, nor from a letter to a full stop, the ids of a text are those of its
+parts, so a task encodes each distinct part once. Parts are handed to the
+tokenizer in groups, because a call costs more than a word.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import numpy as np
 
-CACHED = 300_000  # parts a task remembers
-CACHED_LENGTH = 64  # characters of a part that is worth remembering
-
-
-def parts_with_space(text: str) -> list[str]:
-    """Cuts before a space that follows a non-space: for patterns in which a
-    space may start a match but never stands behind another character."""
-    if not text:
-        return []
-    pieces = text.split(" ")
-    parts = [pieces[0]]
-    for piece in pieces[1:]:
-        before = parts[-1]
-        if before and not before[-1].isspace():
-            parts.append(" " + piece)
-        else:
-            parts[-1] = before + " " + piece
-    return parts
-
-
-def parts_without_space(text: str) -> list[str]:
-    """For patterns that drop white space."""
-    return [p for p in text.split(" ") if p]
+TEXTS_AT_ONCE = 2500
+REMEMBERED = 250_000  # parts a task keeps; only those that came more than once
+GROUP = 32  # parts in one call
+MARK = "\x01"  # stands between parts where the tokenizer drops white space
+TAIL = ".,;:!?"
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens in a text are ordinary text.
+    `keeps_space`: white space is part of the ids, as in byte-level vocabularies
+    whose tokens hold as many characters as bytes; else the tokenizer drops
+    white space. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, tokenizer_file: str, keeps_space: bool) -> None:
@@ -48,20 +35,124 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.split = parts_with_space if keeps_space else parts_without_space
+        self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        if keeps_space:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.bytes[i] = len(token)
+        else:
+            (self.mark,) = self._ids([MARK])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [x.ids for x in found]
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self._ids([text])[0], "<u4").tobytes()
+
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that end in a visible character."""
+        if not parts:
+            return {}
+        groups = [parts[i : i + GROUP] for i in range(0, len(parts), GROUP)]
+        if self.keeps_space:
+            texts = ["".join(g) for g in groups]
+        else:
+            texts = [f" {MARK} ".join(g) + f" {MARK}" for g in groups]
+        ids = np.concatenate([np.array(x, "<u4") for x in self._ids(texts)])
+        if self.keeps_space:
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+            reached = np.cumsum(self.bytes[ids])
+            high = np.searchsorted(reached, ends) + 1
+            sound = high[-1] == len(ids) and (reached[high - 1] == ends).all()
+            low = np.concatenate([[0], high[:-1]])
+        else:
+            high = np.flatnonzero(ids == self.mark)
+            sound = len(high) == len(parts)
+            low = np.concatenate([[0], high[:-1] + 1])
+        if not sound:
+            raise ValueError("a token reaches over a space")
+        raw = ids.tobytes()
+        return {
+            part: raw[a:b] for part, a, b in zip(parts, (4 * low).tolist(), (4 * high).tolist())
+        }
+
+    def _parts(self, text: str) -> list[str]:
+        """With `keeps_space` every part but the first starts with the space or
+        line end before it; cuts stand only after visible characters."""
+        if not self.keeps_space:
+            return text.replace("\n", " ").split(" ")
+        parts = text.replace("\n", " \n").split(" ")
+        parts[1:] = [p if p[:1] == "\n" else " " + p for p in parts[1:]]
+        return parts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(text or "") for text in texts]
-        if len(self.known) > CACHED:
+        out: list[bytes] = []
+        for low in range(0, len(texts), TEXTS_AT_ONCE):
+            out += self._some([t or "" for t in texts[low : low + TEXTS_AT_ONCE]])
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        split = [self._parts(text) for text in texts]
+        counts: Counter[str] = Counter()
+        for parts in split:
+            counts.update(parts)
+        if self.keeps_space:
+            # Behind these a cut would stand within a run of white space.
+            unsafe = {p for p in counts if not p or p[-1].isspace()}
+            for i, parts in enumerate(split if unsafe else []):
+                if not unsafe.isdisjoint(parts):
+                    counts.subtract(parts)
+                    split[i] = self._exact(texts[i])
+                    counts.update(split[i])
+            counts = +counts
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({p for parts in split for p in parts if p not in self.known})
-        ids = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        found = self.known
-        for part, encoding in zip(new, ids):
-            found[part] = np.array(encoding.ids, "<u4").tobytes()
-        joined = [b"".join([found[p] for p in parts]) for parts in split]
+        known = self.known
+        fresh = [part for part in counts if part not in known]
+        # A closing mark after a letter or digit is a part of its own.
+        tailed, plain, apart = [], [], []
+        for part in fresh:
+            last = part[-1:]
+            if last and last in TAIL:
+                stem = part.rstrip(TAIL)
+                if stem[-1:].isalnum():
+                    tailed.append((part, stem, part[len(stem) :]))
+                    part = stem
+            elif not last or last.isspace():
+                apart.append(part)
+                continue
+            plain.append(part)
+        if self.keeps_space:
+            apart += [p for p in plain if p[0] not in " \n"]
+            plain = [p for p in plain if p[0] in " \n"]
+        else:
+            apart += [p for p in plain if MARK in p]
+            plain = [p for p in plain if MARK not in p]
+        new = self._together(list(dict.fromkeys(plain)))
+        new |= {p: self._alone(p) for p in set(apart)}
+        for tail in {t for _, _, t in tailed} - self.tails.keys():
+            self.tails[tail] = self._alone(tail)
+        for part, stem, tail in tailed:
+            new[part] = new[stem] + self.tails[tail]
+        known |= new
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
         for part in new:
-            if len(part) > CACHED_LENGTH:
-                del found[part]
-        return joined
+            if counts[part] == 1:
+                del known[part]
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        return out
+
+    def _exact(self, text: str) -> list[str]:
+        """Parts cut before each space or line end after a visible character."""
+        parts, low = [], 0
+        for at in range(1, len(text)):
+            if text[at] in " \n" and not text[at - 1].isspace():
+                parts.append(text[low:at])
+                low = at
+        parts.append(text[low:])
+        return parts

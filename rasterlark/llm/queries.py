@@ -13,6 +13,7 @@ from rasterlark.llm import (
     near_duplicates,
     packing,
     search,
+    suffix_dedup,
     token_files,
     url_rules,
 )
@@ -87,6 +88,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.mine_rules(baskets), LISTED)
 
 
+def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -22,6 +22,7 @@ WORDS = 5  # of an n-gram
 ROWS_AT_ONCE = 500
 GROUP_GRAMS = 1_000_000  # n-grams of candidates that one task compares at once
 MAX_HASHES = 128
+FETCH_ROWS = 500_000  # up to so many candidates are broadcast to fetch their texts
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -296,7 +297,10 @@ def near_duplicates(
     dealt = members.join(weights, "label").withColumn(
         "chunk", F.pmod(F.xxhash64("id", F.lit(1)), "chunks")
     )
-    texts = rows.withColumnRenamed("doc_id", "id").join(dealt.select("id", "h1", "h2"), "id")
+    wanted = members.select("id", "h1", "h2")
+    if members.count() <= FETCH_ROWS:
+        wanted = F.broadcast(wanted)  # 24 bytes a row; texts then stay where they are
+    texts = rows.withColumnRenamed("doc_id", "id").join(wanted, "id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

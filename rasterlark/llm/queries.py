@@ -11,6 +11,7 @@ from rasterlark.llm import (
     languages,
     lattice,
     near_duplicates,
+    outliers,
     packing,
     search,
     suffix_dedup,
@@ -54,6 +55,19 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files to the shared scratch folder and reads them back."""
     directory = scratch_directory(spark, "token-files")

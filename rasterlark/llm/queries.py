@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterlark.llm import (
     languages,
     lattice,
+    mixing,
     near_duplicates,
     outliers,
     packing,
@@ -18,7 +19,7 @@ from rasterlark.llm import (
     token_files,
     url_rules,
 )
-from rasterlark.llm.common import fold, table
+from rasterlark.llm.common import fold, stored, table
 from rasterlark.sinks.scratch import scratch_directory
 
 TOKENIZERS = None  # folder of public vocabulary files; None: the installed one
@@ -107,6 +108,29 @@ def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Domains of the sources, by their number; sources without one have none.
+DOMAIN = "CONCAT('domain', CAST(TRY_CAST(REGEXP_EXTRACT(source, '([0-9]+)', 1) AS BIGINT) % 4 AS STRING))"
+MIX_WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2},
+    "lang": {"en": 3, "de": 2},
+    "source": {"src0": 2},
+}
+
+
+def op8_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many words as the corpus has, from at most two epochs of a source."""
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.expr(DOMAIN).alias("domain"),
+        "lang",
+        "source",
+        mixing.count_words(F.col("text")).alias("n_tokens"),
+    )
+    documents = stored(documents, "mix-documents")
+    leaves = mixing.plan(documents, MIX_WEIGHTS, share=1.0, epochs=2, seed=7)
+    return mixing.take(documents, leaves, seed=7)
+
+
 def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm import languages
+from rasterlark.llm import languages, mixing, near_duplicates, packing, suffix_dedup
 from rasterlark.llm.common import fold, stored
+from rasterlark.llm.queries import DOMAIN, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIX_SHARE = 0.9  # of the words that arrive at the mixing stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,61 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tagged.where("lang_pred <> 'und' AND score > 0.5").select(*COLUMNS)
 
 
-STAGES = [("language_id", language_id)]
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class. Rows of one
+    doc_id are one document; rows without doc_id all stay."""
+    docs = docs.select(*COLUMNS)
+    classes = near_duplicates.near_duplicates(docs)
+    gone = stored(classes.where("class_id <> doc_id").select("doc_id"), "pipeline-gone")
+    if gone.count() <= near_duplicates.FETCH_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    again = stored(again.select("doc_id"), "pipeline-again")
+    if not again.isEmpty():
+        single = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+        )
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(
+            single.select("doc_id", "row.*")
+        )
+    return kept.select(*COLUMNS)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts long repeated strings out of the texts; a character of which a part
+    is cut goes as a whole. Documents of which no visible character is left go."""
+    cut = suffix_dedup.remove_repeats(docs, ["doc_id", "lang", "source"])
+    text = F.expr("try_validate_utf8(CAST(kept AS STRING))")
+    # Cuts stand on character boundaries of almost all texts; where one does
+    # not, the broken bytes are replaced and the replacement removed.
+    whole = F.coalesce(text, F.replace(F.expr("make_valid_utf8(CAST(kept AS STRING))"), F.lit("�"), F.lit("")))
+    docs = cut.withColumn("text", whole).where(F.col("text").rlike(r"[^\s]"))
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Equal shares of words for domains, their languages and sources, as far as
+    they hold them; no document is repeated."""
+    placed = docs.select(*COLUMNS, F.expr(DOMAIN).alias("domain"))
+    counted = placed.select(
+        "doc_id", "domain", "lang", "source", mixing.count_words(F.col("text")).alias("n_tokens")
+    )
+    leaves = mixing.plan(stored(counted, "pipeline-words"), share=MIX_SHARE, epochs=1)
+    return mixing.take(placed, leaves).select(*COLUMNS)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicate_removal", near_duplicate_removal),
+    ("repeat_removal", repeat_removal),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
 
 # Tokenizers, suffix sorting and hashing in tasks have no SQL counterpart.
 ORACLE_SQL = None

@@ -10,14 +10,17 @@ tokenizer in groups, because a call costs more than a word.
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections import Counter
 
 import numpy as np
 
-TEXTS_AT_ONCE = 2500
-REMEMBERED = 250_000  # parts a task keeps; only those that came more than once
+TEXTS_AT_ONCE = 4000
+REMEMBERED = 500_000  # parts a worker process keeps
 GROUP = 32  # parts in one call
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
+FIRST = "\x00"  # stands before a part that is to be taken as it is
 TAIL = ".,;:!?"
 
 
@@ -37,6 +40,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {}
+        self.common: set[str] = set()  # known parts that came more than once
         self.tails: dict[str, bytes] = {"": b""}
         if keeps_space:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -57,14 +61,17 @@ class Encoder:
         """Ids of parts that end in a visible character."""
         if not parts:
             return {}
-        groups = [parts[i : i + GROUP] for i in range(0, len(parts), GROUP)]
         if self.keeps_space:
-            texts = ["".join(g) for g in groups]
+            whole = [p if p[0] == "\n" else " " + p for p in parts]
+            texts = ["".join(whole[i : i + GROUP]) for i in range(0, len(whole), GROUP)]
         else:
-            texts = [f" {MARK} ".join(g) + f" {MARK}" for g in groups]
+            texts = [
+                f" {MARK} ".join(parts[i : i + GROUP]) + f" {MARK}"
+                for i in range(0, len(parts), GROUP)
+            ]
         ids = np.concatenate([np.array(x, "<u4") for x in self._ids(texts)])
         if self.keeps_space:
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in whole])
             reached = np.cumsum(self.bytes[ids])
             high = np.searchsorted(reached, ends) + 1
             sound = high[-1] == len(ids) and (reached[high - 1] == ends).all()
@@ -81,13 +88,26 @@ class Encoder:
         }
 
     def _parts(self, text: str) -> list[str]:
-        """With `keeps_space` every part but the first starts with the space or
-        line end before it; cuts stand only after visible characters."""
+        """With `keeps_space` a part stands for itself with the space before it,
+        unless it starts with the line end before it; the first is marked FIRST."""
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
-        parts = text.replace("\n", " \n").split(" ")
-        parts[1:] = [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-        return parts
+        if FIRST in text:
+            return [FIRST + text]
+        return (FIRST + text).replace("\n", " \n").split(" ")
+
+    def _exact(self, text: str) -> list[str]:
+        """The same, cut only after visible characters."""
+        if FIRST in text:
+            return [FIRST + text]
+        parts, low = [], 0
+        for at in range(1, len(text)):
+            if text[at] in " \n" and not text[at - 1].isspace():
+                parts.append(text[low:at])
+                low = at
+        parts.append(text[low:])
+        literal = [FIRST + p if p.startswith(" \n") else p for p in parts[1:]]
+        return [FIRST + parts[0], *(p[1:] if p[0] == " " else p for p in literal)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -100,59 +120,57 @@ class Encoder:
         counts: Counter[str] = Counter()
         for parts in split:
             counts.update(parts)
+        known = self.known
+        fresh = [part for part in counts if part not in known]
         if self.keeps_space:
             # Behind these a cut would stand within a run of white space.
-            unsafe = {p for p in counts if not p or p[-1].isspace()}
+            unsafe = {p for p in fresh if not p or p[-1].isspace()}
             for i, parts in enumerate(split if unsafe else []):
                 if not unsafe.isdisjoint(parts):
-                    counts.subtract(parts)
                     split[i] = self._exact(texts[i])
-                    counts.update(split[i])
-            counts = +counts
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = [part for part in counts if part not in known]
+                    fresh += split[i]
+            if unsafe:
+                used = {p for parts in split for p in parts}
+                fresh = [p for p in dict.fromkeys(fresh) if p in used and p not in known]
         # A closing mark after a letter or digit is a part of its own.
         tailed, plain, apart = [], [], []
         for part in fresh:
-            last = part[-1:]
-            if last and last in TAIL:
-                stem = part.rstrip(TAIL)
-                if stem[-1:].isalnum():
-                    tailed.append((part, stem, part[len(stem) :]))
-                    part = stem
-            elif not last or last.isspace():
+            if not part or part[0] == FIRST or part[-1].isspace() or MARK in part:
                 apart.append(part)
-                continue
-            plain.append(part)
-        if self.keeps_space:
-            apart += [p for p in plain if p[0] not in " \n"]
-            plain = [p for p in plain if p[0] in " \n"]
-        else:
-            apart += [p for p in plain if MARK in p]
-            plain = [p for p in plain if MARK not in p]
+            elif part[-1] in TAIL and (stem := part.rstrip(TAIL))[-1:].isalnum():
+                tailed.append((part, stem, part[len(stem) :]))
+                plain.append(stem)
+            else:
+                plain.append(part)
         new = self._together(list(dict.fromkeys(plain)))
-        new |= {p: self._alone(p) for p in set(apart)}
+        for part in apart:
+            if part[:1] == FIRST and self.keeps_space:
+                new[part] = self._alone(part[1:])
+            else:
+                spaced = self.keeps_space and part[:1] != "\n"
+                new[part] = self._alone(" " + part if spaced else part)
         for tail in {t for _, _, t in tailed} - self.tails.keys():
             self.tails[tail] = self._alone(tail)
         for part, stem, tail in tailed:
             new[part] = new[stem] + self.tails[tail]
         known |= new
         out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for part in new:
-            if counts[part] == 1:
-                del known[part]
+        for part in apart:
+            known.pop(part, None)
+        self.common.update(p for p in new if counts[p] > 1 and p in known)
+        if len(known) > REMEMBERED:
+            self.known = {p: known[p] for p in self.common if p in known}
+            if len(self.known) > REMEMBERED // 2:
+                self.known, self.common = {}, set()
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
         return out
 
-    def _exact(self, text: str) -> list[str]:
-        """Parts cut before each space or line end after a visible character."""
-        parts, low = [], 0
-        for at in range(1, len(text)):
-            if text[at] in " \n" and not text[at - 1].isspace():
-                parts.append(text[low:at])
-                low = at
-        parts.append(text[low:])
-        return parts
+
+def encoder_for(tokenizer_file: str, keeps_space: bool) -> Encoder:
+    """One encoder for each worker process: later tasks use what it remembers."""
+    shelf = sys.modules.setdefault("rasterlark_shelf", types.ModuleType("rasterlark_shelf"))
+    made = vars(shelf).setdefault("encoders", {})
+    if (tokenizer_file, keeps_space) not in made:
+        made[tokenizer_file, keeps_space] = Encoder(tokenizer_file, keeps_space)
+    return made[tokenizer_file, keeps_space]

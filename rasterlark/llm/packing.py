@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterlark.llm.common import stored
-from rasterlark.llm.encoding import Encoder
+from rasterlark.llm.encoding import encoder_for
 
 SEQUENCE = 2048  # tokens
 WINDOW = 32 * SEQUENCE  # tokens in which the target proportions hold
@@ -130,7 +130,7 @@ def tokenize(documents: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file, keeps_space=False)
+        encoder = encoder_for(tokenizer_file, keeps_space=False)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.llm.encoding import Encoder
+from rasterlark.llm.encoding import encoder_for
 from rasterlark.sinks.files import create_directory, open_directory, whole_file
 
 ROWS_AT_ONCE = 1000
@@ -47,7 +47,7 @@ def write_tokens(
     create_directory(directory)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file, keeps_space)
+        encoder = encoder_for(tokenizer_file, keeps_space)
         end = np.array([end_id], "<u4").tobytes()
         name = f"tokens-{TaskContext.get().partitionId():06d}"
         sizes: list[int] = []

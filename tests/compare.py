@@ -18,6 +18,7 @@ TABLES = (
 
 # Spark type name -> DuckDB type name
 TYPE_NAMES = {
+    "boolean": "BOOLEAN",
     "int": "INTEGER",
     "bigint": "BIGINT",
     "float": "FLOAT",
@@ -54,6 +55,7 @@ def difference(spark, sf_dir, query, sql) -> str | None:
         return f"rows differ: {len(left)} / {len(right)}"
     for column in left.columns:
         unequal = left[column].to_numpy() != right[column].to_numpy()
+        unequal &= ~(left[column].isna() & right[column].isna()).to_numpy()
         if unequal.any():
             at = unequal.nonzero()[0]
             return f"{column} differs in {len(at)} rows, first\n{left.loc[at[0]]}\n{right.loc[at[0]]}"

@@ -1,9 +1,320 @@
-"""SQL for DuckDB that recomputes registered queries."""
+"""SQL for DuckDB that recomputes registered queries.
+
+Queries whose operator tokenizes, hashes, sorts suffixes or estimates by
+iteration over texts have none; tests compare those with brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+TOP_K = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), usual AS (
+  SELECT len(x) AS d FROM sound GROUP BY d ORDER BY count(*) DESC, d LIMIT 1
+), v AS (
+  SELECT vec_id, x FROM sound WHERE len(x) = (SELECT d FROM usual)
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM pairs WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+# -- robust outliers ----------------------------------------------------------
+
+FEATURES = [
+    "ln(word_chars / n_words) / 0.04",
+    "ln(1 + 50 * n_symbols / word_chars) / 0.1",
+    "ln(1 + n_dup_lines) / 0.7",
+    "sqrt(n_repeat_words / n_words) / 0.2",
+]
+COUNTS = f"""
+rows_ AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text
+  FROM documents
+), words AS (
+  SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word
+  FROM (SELECT r, regexp_extract_all(text, '{WORD}') AS w FROM rows_)
+), windows AS (
+  SELECT r, i, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)
+), starts AS (
+  SELECT r, i FROM windows WHERE w2 IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY r, word, w1, w2) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM starts, (VALUES (0), (1), (2)) AS t(k) GROUP BY r
+), lines AS (
+  SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows_)
+  WHERE regexp_matches(line, '{WORD}')
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r
+), sizes AS (
+  SELECT r, count(*) AS n, sum(length(word)) AS chars FROM words GROUP BY r
+), counts AS (
+  SELECT d.doc_id, d.lang, d.source,
+    coalesce(s.n, 0) AS n_words,
+    CAST(coalesce(s.chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(d.text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines,
+    coalesce(p.n, 0) AS n_repeat_words,
+    coalesce(s.n, 0) < 50 OR 100 * coalesce(p.n, 0) > 50 * coalesce(s.n, 0) AS base_failed
+  FROM rows_ d LEFT JOIN sizes s USING (r) LEFT JOIN dups l USING (r)
+    LEFT JOIN repeated p USING (r)
+)"""
+
+
+def outlier_sql(
+    least: int = 200, core: float = 0.75, factor: float = 1.4847, steps: int = 3, cut: float = 64
+) -> str:
+    """The scatter is inverted here by elimination on the rows of the group
+    table, the distance is a quadratic form with the inverse."""
+    n = len(FEATURES)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    name = "coalesce(lang, chr(0)) || chr(1) || coalesce(source, chr(0))"
+    parts = [
+        COUNTS,
+        f"""named AS (SELECT *, {name} AS own FROM counts),
+large AS (
+  SELECT own FROM named WHERE NOT base_failed GROUP BY own HAVING count(*) >= {least}
+), vectors AS (
+  SELECT unnest(CASE WHEN l.own IS NULL THEN ['*'] ELSE ['*', l.own] END) AS grp,
+    {", ".join(f"{f} AS x{i}" for i, f in enumerate(FEATURES))}
+  FROM named LEFT JOIN large l USING (own) WHERE NOT base_failed
+)""",
+    ]
+    for i in range(n):
+        parts.append(
+            f"""median{i} AS (
+  SELECT grp, (min(bin) + 0.5) / 4 AS m{i} FROM (
+    SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS upto,
+      sum(count(*)) OVER (PARTITION BY grp) AS all_
+    FROM (SELECT grp, floor(x{i} * 4) AS bin FROM vectors) GROUP BY grp, bin)
+  WHERE 2 * upto >= all_ GROUP BY grp
+)"""
+        )
+    parts.append(
+        "e0 AS (SELECT * FROM median0"
+        + "".join(f" JOIN median{i} USING (grp)" for i in range(1, n))
+        + ")"
+    )
+    parts[-1] = parts[-1].replace(
+        "SELECT *",
+        "SELECT *, " + ", ".join(f"{float(i == j)} AS c{i}{j}" for i, j in pairs),
+    )
+
+    def inverse(step: int) -> None:
+        """Adds v_ij, the inverse, by elimination: a CTE for each pivot."""
+        cell = {(i, j): f"c{max(i, j)}{min(i, j)}" for i in range(n) for j in range(n)}
+        columns = [f"{cell[i, j]} AS a{i}{j}" for i in range(n) for j in range(n)]
+        columns += [f"{float(i == j)} AS v{i}{j}" for i in range(n) for j in range(n)]
+        means = ", ".join(f"m{i}" for i in range(n))
+        parts.append(f"i{step}_0 AS (SELECT grp, {means}, {', '.join(columns)} FROM e{step})")
+        for p in range(n):
+            new = []
+            for kind in "av":
+                for i in range(n):
+                    for j in range(n):
+                        row = f"{kind}{p}{j} / a{p}{p}"
+                        value = row if i == p else f"{kind}{i}{j} - a{i}{p} * {row}"
+                        new.append(f"{value} AS {kind}{i}{j}")
+            parts.append(
+                f"i{step}_{p + 1} AS (SELECT grp, {means}, {', '.join(new)} FROM i{step}_{p})"
+            )
+
+    form = " + ".join(
+        f"v{i}{j} * (x{i} - m{i}) * (x{j} - m{j})" for i in range(n) for j in range(n)
+    )
+    for step in range(steps):
+        inverse(step)
+        parts.append(
+            f"""b{step} AS (
+  SELECT grp, {", ".join(f"x{i}" for i in range(n))}, floor(log2(0.001 + {form}) * 16) AS bin
+  FROM vectors JOIN i{step}_{n} USING (grp)
+), t{step} AS (
+  SELECT grp, min(bin) AS bound FROM (
+    SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS upto,
+      sum(count(*)) OVER (PARTITION BY grp) AS all_
+    FROM b{step} GROUP BY grp, bin)
+  WHERE upto >= {core} * all_ GROUP BY grp
+), e{step + 1} AS (
+  SELECT grp, {", ".join(f"avg(x{i}) AS m{i}" for i in range(n))},
+    {", ".join(f"{factor} * covar_pop(x{i}, x{j}) + {int(i == j)} AS c{i}{j}" for i, j in pairs)}
+  FROM b{step} JOIN t{step} USING (grp) WHERE bin <= bound GROUP BY grp
+)"""
+        )
+    inverse(steps)
+    final = ", ".join(
+        f"CASE WHEN NOT base_failed THEN {f} END AS x{i}" for i, f in enumerate(FEATURES)
+    )
+    parts.append(
+        f"""judged AS (
+  SELECT named.*, coalesce(l.own, '*') AS grp, {final} FROM named LEFT JOIN large l USING (own)
+)"""
+    )
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({form} <= {cut}, true) AS kept
+FROM judged LEFT JOIN i{steps}_{n} USING (grp)"""
+    )
+
+
+# -- association rules --------------------------------------------------------
+
+URL_TOKENS = r"""
+split AS (
+  SELECT page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), tokens AS (
+  SELECT page_id, url, list_distinct(list_filter(list_concat(
+    ['scheme:' || regexp_extract(url, '(?s)^(.*?)://', 1)],
+    list_transform(string_split(host, '.'), lambda x: 'host:' || x),
+    list_transform(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: 'path:' || x),
+    ['end:' || regexp_replace(regexp_extract(path, '\.([^./]+)$', 1), '[0-9]+', '#', 'g')],
+    list_transform(string_split(regexp_extract(url, '(?s)\?([^#]*)', 1), '&'),
+      lambda x: 'query:' || regexp_extract(x, '(?s)^([^=]*)', 1)),
+    ['part:' || regexp_replace(regexp_extract(url, '(?s)#(.*)$', 1), '[0-9]+', '#', 'g')]
+  ), lambda x: x IS NOT NULL AND NOT ends_with(x, ':'))) AS tokens
+  FROM split WHERE instr(url, '://') > 0
+)"""
+
+URL_RULES = f"""
+WITH RECURSIVE {URL_TOKENS}, marks AS (
+  SELECT doc_id AS page_id, bool_or(coalesce(toxic = 1 OR quality = 0, false)) AS bad
+  FROM labels GROUP BY doc_id
+), baskets AS (
+  SELECT DISTINCT list_sort(tokens) AS tokens, bad FROM tokens JOIN marks USING (page_id)
+  WHERE len(tokens) > 0
+), numbered AS (SELECT row_number() OVER () AS b, * FROM baskets
+), least AS (SELECT greatest(20, ceil(0.001 * count(*))) AS n FROM numbered
+), single AS (
+  SELECT token, count(*) AS n
+  FROM (SELECT unnest(tokens) AS token, bad FROM numbered)
+  GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT n FROM least)
+), items AS (
+  SELECT b, bad, token FROM (SELECT b, bad, unnest(tokens) AS token FROM numbered)
+    JOIN single USING (token)
+  QUALIFY row_number() OVER (PARTITION BY b ORDER BY n, token) <= 16
+), sets AS (
+  SELECT b, bad, [token] AS ante, token AS last FROM items
+  UNION ALL
+  SELECT s.b, s.bad, list_append(s.ante, i.token), i.token
+  FROM sets s JOIN items i ON s.b = i.b AND i.token > s.last
+), rules AS (
+  SELECT ante, count(*) FILTER (bad) / count(*) AS confidence FROM sets GROUP BY ante
+  HAVING count(*) FILTER (bad) >= (SELECT n FROM least)
+    AND count(*) FILTER (bad) / count(*) >= 0.6
+), fitting AS (
+  SELECT page_id, url, min({{'c': -confidence, 'rule': array_to_string(ante, chr(10))}}) AS best
+  FROM tokens JOIN rules ON list_has_all(tokens, ante) GROUP BY page_id, url
+), listed AS (
+  SELECT page_id, url, host, path, rule, verdict FROM split JOIN (VALUES
+    ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, p, verdict)
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    CROSS JOIN LATERAL (SELECT h || p AS rule)
+  QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY length(rule) DESC) = 1
+)
+SELECT s.page_id, s.host, s.path, l.rule,
+  coalesce(l.verdict, CASE WHEN f.best IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+  CASE WHEN l.rule IS NULL THEN f.best.rule END AS mined_rule,
+  CASE WHEN l.rule IS NULL THEN -f.best.c END AS confidence
+FROM split s
+  LEFT JOIN listed l ON s.page_id = l.page_id AND s.url IS NOT DISTINCT FROM l.url
+  LEFT JOIN fitting f ON s.page_id = f.page_id AND s.url = f.url
+"""
+
+
+# -- hierarchical budgets -----------------------------------------------------
+
+
+def budget_sql() -> str:
+    """Weights as in the query; twice the words of a source at most."""
+    weight = {
+        "domain": "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 "
+        "WHEN 'domain2' THEN 2 ELSE 1 END",
+        "lang": "CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 ELSE 1 END",
+        "source": "CASE source WHEN 'src0' THEN 2 ELSE 1 END",
+    }
+    parts = [
+        f"""d AS (
+  SELECT doc_id, 'domain' || CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)', 1), '')
+      AS BIGINT) % 4 AS VARCHAR) AS domain, lang, source,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens) AS tokens, 2 * sum(n_tokens) AS capacity
+  FROM d GROUP BY ALL
+), nodes0 AS (
+  SELECT *, least(sum(tokens) OVER (), sum(capacity) OVER ()) AS given FROM leaves
+)"""
+    ]
+    levels = ["domain", "lang", "source"]
+    for depth, level in enumerate(levels):
+        names = ", ".join(levels[: depth + 1])
+        family = f"PARTITION BY {', '.join(levels[:depth])}" if depth else ""
+        match = " AND ".join(f"n.{x} IS NOT DISTINCT FROM p.{x}" for x in levels[: depth + 1])
+        parts.append(
+            f"""ranked{depth} AS (
+  SELECT {names}, any_value(given) AS given, sum(capacity) AS room, {weight[level]} AS weight
+  FROM nodes{depth} GROUP BY {names}
+), ordered{depth} AS (
+  SELECT *, row_number() OVER ({family} ORDER BY CAST(room AS DOUBLE) / weight,
+    {level} NULLS FIRST) AS nth FROM ranked{depth}
+), left{depth} AS (
+  SELECT *, given - coalesce(sum(room) OVER ({family} ORDER BY nth
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER ({family} ORDER BY nth
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM ordered{depth}
+), level{depth} AS (
+  SELECT *, min(nth) FILTER (room * weights > rest * weight) OVER ({family}) AS halt
+  FROM left{depth}
+), part{depth} AS (
+  SELECT *, CASE WHEN halt IS NULL OR nth < halt THEN room ELSE least(room,
+    max(rest) FILTER (nth = halt) OVER ({family}) * weight
+      // max(weights) FILTER (nth = halt) OVER ({family})) END AS part
+  FROM level{depth}
+), nodes{depth + 1} AS (
+  SELECT n.* EXCLUDE (given), p.part AS given FROM nodes{depth} n JOIN part{depth} p ON {match}
+)"""
+        )
+    match = " AND ".join(f"d.{x} IS NOT DISTINCT FROM n.{x}" for x in levels)
+    parts.append(
+        f"""keyed AS (
+  SELECT d.*, n.given // n.tokens AS full_epochs, n.given % n.tokens AS room,
+    md5('7:' || CAST(CAST(n.given // n.tokens AS BIGINT) AS VARCHAR) || ':'
+      || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM d JOIN nodes3 n ON {match} WHERE n.tokens > 0
+), taken AS (
+  SELECT *, CAST(full_epochs + CASE WHEN room > 0 AND sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source ORDER BY key) <= room THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM keyed
+)"""
+    )
+    return (
+        "WITH " + ",\n".join(parts) + """
+SELECT doc_id, domain, lang, source, n_tokens, copies FROM taken WHERE copies > 0"""
+    )
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    from rasterlark.llm.outliers import CORE, core_factor
+
+    return {
+        "op1_exact_top_k": TOP_K,
+        "op4_robust_outliers": outlier_sql(factor=core_factor(CORE)),
+        "op6_url_rules": URL_RULES,
+        "op8_hierarchical_budget": budget_sql(),
+    }

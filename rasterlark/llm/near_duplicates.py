@@ -40,10 +40,9 @@ def choose_bands(threshold: float, recall: float, hashes: int = MAX_HASHES) -> B
     """The most rows per band, so the fewest chance candidates, with which pairs
     at the threshold are still found with the target recall."""
     for rows in range(hashes, 0, -1):
-        miss = 1.0 - threshold**rows
-        bands = 1 if miss <= 0 else int(np.ceil(np.log(1.0 - recall) / np.log(miss)))
-        if bands * rows <= hashes:
-            return Bands(bands, rows)
+        for bands in range(1, hashes // rows + 1):
+            if Bands(bands, rows).recall(threshold) >= recall:
+                return Bands(bands, rows)
     raise ValueError("no banding reaches that recall with so few hashes")
 
 

@@ -3,8 +3,9 @@
 Byte-pair tokenizers split a text by a pattern before they merge. Where no
 match of the pattern can reach over a space or line end that follows a visible
 character, nor from a letter to a full stop, the ids of a text are those of its
-parts, so a task encodes each distinct part once. Parts are handed to the
-tokenizer in groups, because a call costs more than a word.
+parts, so a task encodes each distinct part once. Parts are found and compared
+as arrays of bytes, and handed to the tokenizer in groups, because a call costs
+more than a word.
 """
 
 from __future__ import annotations
@@ -12,16 +13,48 @@ from __future__ import annotations
 import os
 import sys
 import types
-from collections import Counter
 
 import numpy as np
 
-TEXTS_AT_ONCE = 4000
-REMEMBERED = 500_000  # parts a worker process keeps
+BYTES_AT_ONCE = 4_000_000  # of texts
+REMEMBERED = 250_000  # parts a worker process keeps
 GROUP = 32  # parts in one call
+SLOTS = 1 << 20
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
-FIRST = "\x00"  # stands before a part that is to be taken as it is
-TAIL = ".,;:!?"
+SPACES = b" \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+# Bytes that may end a white-space character beyond ASCII, and those before it.
+WIDE_LAST = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
+WIDE_BEFORE = [0x80, 0x81, 0x9A, 0xC2]
+
+
+def _table(values: list[int] | bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+IS_SPACE, IS_LAST, IS_BEFORE = _table(SPACES), _table(WIDE_LAST), _table(WIDE_BEFORE)
+IS_CUT, IS_TAIL = _table(b" \n"), _table(b".,;:!?")
+IS_WORD = _table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bytes before `at` may be a white-space character beyond ASCII."""
+    return IS_LAST[data[at - 1]] & IS_BEFORE[data[at - 2]]
+
+
+def part_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where parts start: at each text, at each space or line end behind a
+    visible character and at each closing mark behind an ASCII letter or digit.
+    Some visible characters beyond ASCII are taken for white space; the part is
+    then longer, not wrong."""
+    starts = IS_CUT[data]
+    starts[1:] &= ~IS_SPACE[data[:-1]]
+    wide = np.flatnonzero(starts[2:]) + 2
+    starts[wide[_wide_space(data, wide)]] = False
+    starts[1:] |= IS_TAIL[data[1:]] & IS_WORD[data[:-1]]
+    starts[texts] = True
+    return np.flatnonzero(starts)
 
 
 class Encoder:
@@ -39,9 +72,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {}
-        self.common: set[str] = set()  # known parts that came more than once
-        self.tails: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+        self.common: set[bytes] = set()  # known parts that came again
+        rng = np.random.default_rng(1)
+        self._code = rng.integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
+        self._factor = 0x9E3779B97F4A7C15 | 1
+        self._powers = self._inverse = np.zeros(0, np.uint64)
         if keeps_space:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
             self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -50,28 +86,26 @@ class Encoder:
         else:
             (self.mark,) = self._ids([MARK])[0]
 
+    # -- parts and their ids --------------------------------------------------
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [x.ids for x in found]
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self._ids([text])[0], "<u4").tobytes()
+    def _alone(self, part: bytes) -> bytes:
+        return np.array(self._ids([part.decode()])[0], "<u4").tobytes()
 
-    def _together(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that end in a visible character."""
+    def _together(self, parts: list[bytes], sizes: np.ndarray) -> dict[bytes, bytes]:
+        """Ids of parts that start with a space or line end, or drop it, and end
+        in a visible character."""
         if not parts:
             return {}
-        if self.keeps_space:
-            whole = [p if p[0] == "\n" else " " + p for p in parts]
-            texts = ["".join(whole[i : i + GROUP]) for i in range(0, len(whole), GROUP)]
-        else:
-            texts = [
-                f" {MARK} ".join(parts[i : i + GROUP]) + f" {MARK}"
-                for i in range(0, len(parts), GROUP)
-            ]
+        between = b"" if self.keeps_space else f" {MARK} ".encode()
+        groups = range(0, len(parts), GROUP)
+        texts = [(between.join(parts[i : i + GROUP]) + between).decode() for i in groups]
         ids = np.concatenate([np.array(x, "<u4") for x in self._ids(texts)])
         if self.keeps_space:
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in whole])
+            ends = np.cumsum(sizes)
             reached = np.cumsum(self.bytes[ids])
             high = np.searchsorted(reached, ends) + 1
             sound = high[-1] == len(ids) and (reached[high - 1] == ends).all()
@@ -87,84 +121,116 @@ class Encoder:
             part: raw[a:b] for part, a, b in zip(parts, (4 * low).tolist(), (4 * high).tolist())
         }
 
-    def _parts(self, text: str) -> list[str]:
-        """With `keeps_space` a part stands for itself with the space before it,
-        unless it starts with the line end before it; the first is marked FIRST."""
-        if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        if FIRST in text:
-            return [FIRST + text]
-        return (FIRST + text).replace("\n", " \n").split(" ")
-
-    def _exact(self, text: str) -> list[str]:
-        """The same, cut only after visible characters."""
-        if FIRST in text:
-            return [FIRST + text]
-        parts, low = [], 0
-        for at in range(1, len(text)):
-            if text[at] in " \n" and not text[at - 1].isspace():
-                parts.append(text[low:at])
-                low = at
-        parts.append(text[low:])
-        literal = [FIRST + p if p.startswith(" \n") else p for p in parts[1:]]
-        return [FIRST + parts[0], *(p[1:] if p[0] == " " else p for p in literal)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    # -- texts ----------------------------------------------------------------
+
+    def _first_of_equals(
+        self, data: np.ndarray, start: np.ndarray, size: np.ndarray
+    ) -> np.ndarray:
+        """For each part an equal part that stands for all equal ones, by a hash
+        table; equality is checked byte by byte."""
+        n = len(data) + 1
+        if len(self._powers) < n:
+            full = np.full(n, self._factor, np.uint64)
+            full[0] = 1
+            self._powers = np.multiply.accumulate(full)
+            full[1:] = np.uint64(pow(self._factor, -1, 1 << 64))
+            self._inverse = np.multiply.accumulate(full)
+        sums = np.zeros(n, np.uint64)
+        np.cumsum(self._code[data] * self._powers[: n - 1], out=sums[1:])
+        hashed = (sums[start + size] - sums[start]) * self._inverse[start]
+        del sums
+        hashed ^= size.astype(np.uint64) << np.uint64(40)
+        slot = ((hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
+        slot = slot.astype(np.int64) % SLOTS
+        first = np.full(len(start), -1)
+        table = np.full(SLOTS, -1)
+        open_ = np.arange(len(start))
+        while len(open_):
+            at = slot[open_]
+            free = table[at] < 0
+            table[at[free][::-1]] = open_[free][::-1]
+            head = table[at]
+            hit = hashed[head] == hashed[open_]
+            first[open_[hit]] = head[hit]
+            open_ = open_[~hit]
+            slot[open_] = (slot[open_] + 1) % SLOTS
+        other = np.flatnonzero(first != np.arange(len(start)))
+        unequal = size[other] != size[first[other]]
+        if not unequal.any():
+            length = size[other]
+            inner = np.arange(length.sum(), dtype=np.int32) - np.repeat(
+                (np.cumsum(length) - length).astype(np.int32), length
+            )
+            ours = data[np.repeat(start[other].astype(np.int32), length) + inner]
+            theirs = data[np.repeat(start[first[other]].astype(np.int32), length) + inner]
+            differ = ours != theirs
+            if differ.any():
+                unequal[np.repeat(np.arange(len(other)), length)[differ]] = True
+        first[other[unequal]] = other[unequal]
+        return first
+
+    def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
+        raw = [t.encode() if isinstance(t, str) else (t or b"") for t in texts]
         out: list[bytes] = []
-        for low in range(0, len(texts), TEXTS_AT_ONCE):
-            out += self._some([t or "" for t in texts[low : low + TEXTS_AT_ONCE]])
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        split = [self._parts(text) for text in texts]
-        counts: Counter[str] = Counter()
-        for parts in split:
-            counts.update(parts)
+        low = size = 0
+        for high, text in enumerate(raw):
+            if high > low and size + len(text) > BYTES_AT_ONCE:
+                out += self._some(raw[low:high])
+                low, size = high, 0
+            size += len(text)
+        return out + self._some(raw[low:])
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        whole = b"".join(texts)
+        if not whole:
+            return [b""] * len(texts)
+        data = np.frombuffer(whole, np.uint8)
+        base = np.cumsum(sizes) - sizes
+        start = part_starts(data, base[sizes > 0])
+        size = np.diff(np.append(start, len(data)))
+        first = self._first_of_equals(data, start, size)
+        heads = np.flatnonzero(first == np.arange(len(first)))
+        parts = [
+            whole[a : a + n] for a, n in zip(start[heads].tolist(), size[heads].tolist())
+        ]
         known = self.known
-        fresh = [part for part in counts if part not in known]
+        fresh = np.array([p not in known for p in parts])
+        if not fresh.all():
+            self.common.update(p for p, new in zip(parts, fresh.tolist()) if not new)
+        # Alone: parts that end in white space or start without it.
+        ends = start[heads] + size[heads]
+        alone = IS_SPACE[data[ends - 1]]
+        alone |= (size[heads] > 2) & _wide_space(data, ends)
         if self.keeps_space:
-            # Behind these a cut would stand within a run of white space.
-            unsafe = {p for p in fresh if not p or p[-1].isspace()}
-            for i, parts in enumerate(split if unsafe else []):
-                if not unsafe.isdisjoint(parts):
-                    split[i] = self._exact(texts[i])
-                    fresh += split[i]
-            if unsafe:
-                used = {p for parts in split for p in parts}
-                fresh = [p for p in dict.fromkeys(fresh) if p in used and p not in known]
-        # A closing mark after a letter or digit is a part of its own.
-        tailed, plain, apart = [], [], []
-        for part in fresh:
-            if not part or part[0] == FIRST or part[-1].isspace() or MARK in part:
-                apart.append(part)
-            elif part[-1] in TAIL and (stem := part.rstrip(TAIL))[-1:].isalnum():
-                tailed.append((part, stem, part[len(stem) :]))
-                plain.append(stem)
-            else:
-                plain.append(part)
-        new = self._together(list(dict.fromkeys(plain)))
-        for part in apart:
-            if part[:1] == FIRST and self.keeps_space:
-                new[part] = self._alone(part[1:])
-            else:
-                spaced = self.keeps_space and part[:1] != "\n"
-                new[part] = self._alone(" " + part if spaced else part)
-        for tail in {t for _, _, t in tailed} - self.tails.keys():
-            self.tails[tail] = self._alone(tail)
-        for part, stem, tail in tailed:
-            new[part] = new[stem] + self.tails[tail]
-        known |= new
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for part in apart:
-            known.pop(part, None)
-        self.common.update(p for p in new if counts[p] > 1 and p in known)
+            alone |= ~IS_CUT[data[start[heads]]]
+        elif MARK.encode() in whole:
+            alone |= np.array([MARK.encode() in p for p in parts])
+        for i in np.flatnonzero(fresh & alone).tolist():
+            known[parts[i]] = self._alone(parts[i])
+        plain = np.flatnonzero(fresh & ~alone)
+        known |= self._together([parts[i] for i in plain.tolist()], size[heads[plain]])
+        ids = [known[p] for p in parts]
+        # Ids of all parts in order, from those of the distinct ones.
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.array([len(x) // 4 for x in ids])
+        number = np.empty(len(first), np.int64)
+        number[heads] = np.arange(len(heads))
+        number = number[first]
+        count = length[number]
+        ends = np.cumsum(count)
+        shift = (np.cumsum(length) - length)[number] - (ends - count)
+        tokens = flat[np.repeat(shift, count) + np.arange(ends[-1])]
+        # The ids of a text end with those of its last part.
+        last = np.searchsorted(start, base + sizes) - 1
+        high = np.where(last >= 0, ends[last], 0)
+        low = np.concatenate([[0], high[:-1]])
+        stream = tokens.tobytes()
         if len(known) > REMEMBERED:
             self.known = {p: known[p] for p in self.common if p in known}
             if len(self.known) > REMEMBERED // 2:
                 self.known, self.common = {}, set()
-        if len(self.tails) > 10_000:
-            self.tails = {"": b""}
-        return out
+        return [stream[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())]
 
 
 def encoder_for(tokenizer_file: str, keeps_space: bool) -> Encoder:

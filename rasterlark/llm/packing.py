@@ -134,7 +134,7 @@ def tokenize(documents: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
-                ids = [x + end for x in encoder.encode(part.column(2).to_pylist())]
+                ids = [x + end for x in encoder.encode(part.column(2).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:2],

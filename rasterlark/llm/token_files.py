@@ -62,7 +62,7 @@ def write_tokens(
                     part = first.slice(low, ROWS_AT_ONCE)
                     nulls += part.column(0).null_count
                     ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-                    whole = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                    whole = [x + end for x in encoder.encode(part.column(1).cast(pa.binary()).to_pylist())]
                     sizes += [len(x) // 4 for x in whole]
                     flat = np.frombuffer(b"".join(whole), "<u4")
                     if len(flat) and int(flat.max()) >> (8 * width):

@@ -35,6 +35,7 @@ def _table(values: list[int] | bytes) -> np.ndarray:
 
 IS_SPACE, IS_LAST, IS_BEFORE = _table(SPACES), _table(WIDE_LAST), _table(WIDE_BEFORE)
 IS_CUT, IS_TAIL = _table(b" \n"), _table(b".,;:!?")
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 IS_WORD = _table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -62,7 +63,7 @@ class Encoder:
 
     `keeps_space`: white space is part of the ids, as in byte-level vocabularies
     whose tokens hold as many characters as bytes; else the tokenizer drops
-    white space. Strings of special tokens in a text are ordinary text.
+    white space and case. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, tokenizer_file: str, keeps_space: bool) -> None:
@@ -84,18 +85,24 @@ class Encoder:
             for token, i in vocabulary.items():
                 self.bytes[i] = len(token)
         else:
+            # Lower-case ASCII needs no normalizer.
+            self.bare = Tokenizer.from_file(tokenizer_file)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = None
             (self.mark,) = self._ids([MARK])[0]
 
     # -- parts and their ids --------------------------------------------------
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [x.ids for x in found]
+    def _ids(self, texts: list[str], bare: bool = False) -> list[list[int]]:
+        tokenizer = self.bare if bare else self.tokenizer
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _alone(self, part: bytes) -> bytes:
         return np.array(self._ids([part.decode()])[0], "<u4").tobytes()
 
-    def _together(self, parts: list[bytes], sizes: np.ndarray) -> dict[bytes, bytes]:
+    def _together(
+        self, parts: list[bytes], sizes: np.ndarray, bare: bool = False
+    ) -> dict[bytes, bytes]:
         """Ids of parts that start with a space or line end, or drop it, and end
         in a visible character."""
         if not parts:
@@ -103,7 +110,7 @@ class Encoder:
         between = b"" if self.keeps_space else f" {MARK} ".encode()
         groups = range(0, len(parts), GROUP)
         texts = [(between.join(parts[i : i + GROUP]) + between).decode() for i in groups]
-        ids = np.concatenate([np.array(x, "<u4") for x in self._ids(texts)])
+        ids = np.concatenate([np.array(x, "<u4") for x in self._ids(texts, bare)])
         if self.keeps_space:
             ends = np.cumsum(sizes)
             reached = np.cumsum(self.bytes[ids])
@@ -186,6 +193,13 @@ class Encoder:
         if not whole:
             return [b""] * len(texts)
         data = np.frombuffer(whole, np.uint8)
+        if not self.keeps_space:
+            # Not a letter that the next character may be combined with: the two
+            # together may have another lower case.
+            small = LOWER[data]
+            wide = np.flatnonzero(data[1:] >= 0x80)
+            small[wide] = data[wide]
+            data, whole = small, small.tobytes()
         base = np.cumsum(sizes) - sizes
         start = part_starts(data, base[sizes > 0])
         size = np.diff(np.append(start, len(data)))
@@ -208,8 +222,14 @@ class Encoder:
             alone |= np.array([MARK.encode() in p for p in parts])
         for i in np.flatnonzero(fresh & alone).tolist():
             known[parts[i]] = self._alone(parts[i])
-        plain = np.flatnonzero(fresh & ~alone)
-        known |= self._together([parts[i] for i in plain.tolist()], size[heads[plain]])
+        plain = fresh & ~alone
+        groups = [(plain, False)]
+        if not self.keeps_space:
+            ascii_ = np.array([p.isascii() and p == p.lower() for p in parts])
+            groups = [(plain & ~ascii_, False), (plain & ascii_, True)]
+        for chosen, bare in groups:
+            at = np.flatnonzero(chosen)
+            known |= self._together([parts[i] for i in at.tolist()], size[heads[at]], bare)
         ids = [known[p] for p in parts]
         # Ids of all parts in order, from those of the distinct ones.
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -233,6 +253,11 @@ class Encoder:
         return [stream[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())]
 
 
+def forget_encoders() -> None:
+    """Frees what this worker process remembers, for steps that encode nothing."""
+    sys.modules.pop("rasterlark_shelf", None)
+
+
 def encoder_for(tokenizer_file: str, keeps_space: bool) -> Encoder:
     """One encoder for each worker process: later tasks use what it remembers."""
     shelf = sys.modules.setdefault("rasterlark_shelf", types.ModuleType("rasterlark_shelf"))

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterlark.llm.common import stored
-from rasterlark.llm.encoding import encoder_for
+from rasterlark.llm.encoding import encoder_for, forget_encoders
 
 SEQUENCE = 2048  # tokens
 WINDOW = 32 * SEQUENCE  # tokens in which the target proportions hold
 QUEUES = 64  # sources with a queue of their own; the smaller ones share one
 BUCKET_DOCUMENTS = 2000  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
+WIDTH = 2  # bytes of a stored id
 ROWS_AT_ONCE = 1000
 
 
@@ -124,8 +125,10 @@ def cut(row, start, length, place_, sequence: int = SEQUENCE):
     return row[at], start[at] + begin - place_[at], end - begin, number, begin - number * sequence
 
 
-def tokenize(documents: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """(doc_id, source, size, ids): ids as 32-bit integers, the end included."""
+def tokenize(
+    documents: DataFrame, tokenizer_file: str, end_id: int, width: int = WIDTH
+) -> DataFrame:
+    """(doc_id, source, size, ids): ids of `width` bytes each, the end included."""
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -134,12 +137,17 @@ def tokenize(documents: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
-                ids = [x + end for x in encoder.encode(part.column(2).cast(pa.binary()).to_pylist())]
+                ids = [
+                    np.frombuffer(x + end, "<u4")
+                    for x in encoder.encode(part.column(2).cast(pa.binary()).to_pylist())
+                ]
+                if any(int(x.max()) >> (8 * width) for x in ids):
+                    raise ValueError(f"an id does not fit {width} bytes")
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:2],
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([x.astype(f"<u{width}").tobytes() for x in ids], pa.binary()),
                     ],
                     ["doc_id", "source", "size", "ids"],
                 )
@@ -202,6 +210,7 @@ def pack(
     epochs = schedule(totals, shares, window)
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
@@ -211,9 +220,12 @@ def pack(
                 row, start, length, number, offset = cut(
                     *place(epochs, queues, at, size), sequence
                 )
-                ids = part.column(4).to_pylist()
+                ids = [
+                    np.frombuffer(x, f"<u{len(x) // n}").astype("<u4")
+                    for x, n in zip(part.column(4).to_pylist(), size.tolist())
+                ]
                 crc = [
-                    zlib.crc32(ids[r][4 * s : 4 * (s + n)])
+                    zlib.crc32(ids[r][s : s + n])
                     for r, s, n in zip(row.tolist(), start.tolist(), length.tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(

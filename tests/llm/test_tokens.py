@@ -33,7 +33,7 @@ def plainly(tokenizer, text):
 
 
 bits = st.sampled_from(
-    ["a", "the", "É", "ß", " ", "  ", "\n", "\n\n", "\t", "'s", "1", "23", "#", ".", ",", "\x00",
+    ["a", "the", "É", "E", "J", "\u030c", "ß", " ", "  ", "\n", "\n\n", "\t", "'s", "1", "23", "#", ".", ",", "\x00",
      "\x01", "\x1c", "\xa0", "日本", "̈", "<|endoftext|>"]
 )
 

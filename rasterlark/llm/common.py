@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import gc
+import sys
+import types
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlark.sinks.scratch import scratch_directory
 
 
+SHELF = "rasterlark_shelf"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +33,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def stored_bytes(frame: DataFrame) -> int:
-    """Size of a frame that `stored` returned, as the optimizer knows it."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def fresh_worker() -> None:
+    """Frees what earlier tasks left in this worker process: Spark keeps workers,
+    and two of them share an executor's memory with its JVM."""
+    sys.modules.pop(SHELF, None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def shelf() -> dict:
+    """What tasks keep in the worker process for later tasks of the same kind."""
+    return vars(sys.modules.setdefault(SHELF, types.ModuleType(SHELF)))

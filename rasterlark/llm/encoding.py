@@ -11,13 +11,13 @@ more than a word.
 from __future__ import annotations
 
 import os
-import sys
-import types
 
 import numpy as np
 
-BYTES_AT_ONCE = 4_000_000  # of texts
-REMEMBERED = 250_000  # parts a worker process keeps
+from rasterlark.llm.common import shelf
+
+BYTES_AT_ONCE = 5_000_000  # of texts
+REMEMBERED = 300_000  # parts a worker process keeps
 GROUP = 32  # parts in one call
 SLOTS = 1 << 20
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
@@ -253,15 +253,9 @@ class Encoder:
         return [stream[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())]
 
 
-def forget_encoders() -> None:
-    """Frees what this worker process remembers, for steps that encode nothing."""
-    sys.modules.pop("rasterlark_shelf", None)
-
-
 def encoder_for(tokenizer_file: str, keeps_space: bool) -> Encoder:
     """One encoder for each worker process: later tasks use what it remembers."""
-    shelf = sys.modules.setdefault("rasterlark_shelf", types.ModuleType("rasterlark_shelf"))
-    made = vars(shelf).setdefault("encoders", {})
+    made = shelf().setdefault("encoders", {})
     if (tokenizer_file, keeps_space) not in made:
         made[tokenizer_file, keeps_space] = Encoder(tokenizer_file, keeps_space)
     return made[tokenizer_file, keeps_space]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterlark.llm.common import fresh_worker
+
 ORDER = 3  # bytes of an n-gram
 BUCKETS = 1 << 16  # hashed n-grams
 STEPS = 10  # of expectation-maximisation
@@ -65,6 +67,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh_worker()
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         texts = batch.column(0).cast(pa.binary()).to_pylist()
@@ -165,6 +168,7 @@ def predict_languages(
     shipped = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         languages, log_p = shipped.value.languages, shipped.value.log_p
         p = np.exp(log_p)
         for batch in batches:

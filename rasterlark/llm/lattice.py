@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import stored
+from rasterlark.llm.common import fresh_worker, stored
 
 WORDS_IN_MEMORY = 150_000  # distinct words a task counts before it hands them on
 FREQUENT = 100_000  # at most so many words are scored from a broadcast table
@@ -226,6 +226,7 @@ def expected_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each text; those of held-out texts count nothing but are named."""
+    fresh_worker()
     seen: Counter[bytes] = Counter()
 
     def rows() -> pa.RecordBatch:
@@ -368,6 +369,7 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
     )
 
     def sum_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         numbers, logs = hot.value
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):

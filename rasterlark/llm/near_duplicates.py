@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import stored
+from rasterlark.llm.common import fresh_worker, stored
 
 WORDS = 5  # of an n-gram
 ROWS_AT_ONCE = 500
-GROUP_GRAMS = 1_000_000  # n-grams of candidates that one task compares at once
+GROUP_GRAMS = 500_000  # n-grams of candidates that one task compares at once
 MAX_HASHES = 128
 FETCH_ROWS = 500_000  # up to so many candidates are broadcast to fetch their texts
 _PRIME = np.uint64(0x100000001B3)
@@ -104,6 +104,7 @@ def _describe(bands: Bands):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        fresh_worker()
         shingler = Shingler()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -221,6 +222,7 @@ def _verify(threshold: float):
                 [pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "links"]
             )
 
+        fresh_worker()
         job, rows = None, []
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -304,6 +306,7 @@ def near_duplicates(
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        fresh_worker()
         shingler = Shingler()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):

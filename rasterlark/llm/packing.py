@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterlark.llm.common import stored
-from rasterlark.llm.encoding import encoder_for, forget_encoders
+from rasterlark.llm.common import fresh_worker, stored
+from rasterlark.llm.encoding import encoder_for
 
 SEQUENCE = 2048  # tokens
 WINDOW = 32 * SEQUENCE  # tokens in which the target proportions hold
@@ -32,7 +32,7 @@ QUEUES = 64  # sources with a queue of their own; the smaller ones share one
 BUCKET_DOCUMENTS = 2000  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
 WIDTH = 2  # bytes of a stored id
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 1500
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def pack(
     epochs = schedule(totals, shares, window)
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        fresh_worker()
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import stored
+from rasterlark.llm.common import fresh_worker, stored
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 64  # bytes of an anchor
-SEGMENT = 1 << 20  # bytes hashed together
-BLOCK = 1_500_000  # bytes sorted together; an anchor with more is refined
+SEGMENT = 1 << 19  # bytes hashed together
+BLOCK = 700_000  # bytes sorted together; an anchor with more is refined
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +190,7 @@ def _find_anchors(length: int, gram: int):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
+        fresh_worker()
 
         def flush(pieces: list[tuple]) -> pa.RecordBatch:
             """pieces: (doc_id, hash, offset in the document, bytes)."""
@@ -261,6 +262,7 @@ def _sort_blocks(length: int):
                 ["s1", "s2", "low", "high"],
             )
 
+        fresh_worker()
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -459,6 +461,7 @@ def remove_repeats(
     ).select(*keep, "_text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for whole in batches:
             for low_ in range(0, whole.num_rows, 500):
                 batch = whole.slice(low_, 500)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rasterlark.llm.encoding import encoder_for
 from rasterlark.sinks.files import create_directory, open_directory, whole_file
 
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 1500
 
 
 def write_tokens(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import types
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,7 @@ from rasterlark.sinks.scratch import scratch_directory
 
 
 SHELF = "rasterlark_shelf"
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +37,28 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fresh_worker() -> None:
-    """Frees what earlier tasks left in this worker process: Spark keeps workers,
-    and two of them share an executor's memory with its JVM."""
-    sys.modules.pop(SHELF, None)
+def trim(drop_shelf: bool) -> None:
+    """Gives memory that this worker process does not use back to the system."""
+    if drop_shelf:
+        sys.modules.pop(SHELF, None)
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(task: Task, drop_shelf: bool = True) -> Task:
+    """The task, with memory returned before and after it. Spark keeps worker
+    processes, idle ones too, and they share an executor's memory with its JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim(drop_shelf)
+        try:
+            yield from task(batches)
+        finally:
+            trim(drop_shelf)
+
+    return run
 
 
 def shelf() -> dict:

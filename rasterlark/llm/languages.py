@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import fresh_worker
+from rasterlark.llm.common import tidy
 
 ORDER = 3  # bytes of an n-gram
 BUCKETS = 1 << 16  # hashed n-grams
@@ -67,7 +67,6 @@ def has_letter(text: bytes) -> bool:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fresh_worker()
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         texts = batch.column(0).cast(pa.binary()).to_pylist()
@@ -99,7 +98,7 @@ def learn_languages(
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     counts = (
-        rows.mapInArrow(_count_grams, "language string, gram long, n long")
+        rows.mapInArrow(tidy(_count_grams), "language string, gram long, n long")
         .groupBy("language", "gram")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -168,7 +167,6 @@ def predict_languages(
     shipped = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
         languages, log_p = shipped.value.languages, shipped.value.log_p
         p = np.exp(log_p)
         for batch in batches:
@@ -200,7 +198,7 @@ def predict_languages(
         f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]
     )
     return kept.mapInArrow(
-        predict,
+        tidy(predict),
         f"{schema}, lang_pred string, score double, "
         "lang_set array<string>, lang_shares array<double>",
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import fresh_worker, stored
+from rasterlark.llm.common import stored, tidy
 
 WORDS_IN_MEMORY = 150_000  # distinct words a task counts before it hands them on
 FREQUENT = 100_000  # at most so many words are scored from a broadcast table
@@ -226,7 +226,6 @@ def expected_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each text; those of held-out texts count nothing but are named."""
-    fresh_worker()
     seen: Counter[bytes] = Counter()
 
     def rows() -> pa.RecordBatch:
@@ -255,7 +254,7 @@ def count_words(documents: DataFrame) -> DataFrame:
     """(word, n): every word of the texts and its count in training texts.
     Takes text and trains; tasks count before the exchange."""
     parts = documents.selectExpr("CAST(text AS BINARY) AS text", "trains").mapInArrow(
-        _count_words, "word binary, n long"
+        tidy(_count_words), "word binary, n long"
     )
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -281,7 +280,7 @@ def estimate(types: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
                 }
             )
 
-        found = types.select("word").mapInArrow(expect, "piece long, n double")
+        found = types.select("word").mapInArrow(tidy(expect), "piece long, n double")
         sums = found.groupBy("piece").agg(F.sum("n").alias("n")).toPandas().set_index("piece")["n"]
         words = float(sums.get(-1, 0.0))
         weights = np.full(len(pieces.pieces), 0.01)
@@ -344,7 +343,7 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
             )
 
     scores = stored(
-        counts.mapInArrow(spell, "word binary, known boolean, base double, log_p double"),
+        counts.mapInArrow(tidy(spell), "word binary, known boolean, base double, log_p double"),
         "lm-scores",
     )
     # Count classes of an eighth of an octave; as many of the top ones as fit.
@@ -369,7 +368,6 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
     )
 
     def sum_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
         numbers, logs = hot.value
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -407,7 +405,7 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     partial = stored(
         rows.selectExpr("xxhash64(doc_id, text) AS row", "doc_id", "trains", "text").mapInArrow(
-            sum_hot,
+            tidy(sum_hot),
             f"row long, doc_id {id_type}, trains boolean, tokens long, known long, base double, "
             "log_p double, rest array<binary>, rest_n array<long>",
         ),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import fresh_worker, stored
+from rasterlark.llm.common import stored, tidy
 
 WORDS = 5  # of an n-gram
 ROWS_AT_ONCE = 500
@@ -104,7 +104,6 @@ def _describe(bands: Bands):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        fresh_worker()
         shingler = Shingler()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -222,7 +221,6 @@ def _verify(threshold: float):
                 [pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "links"]
             )
 
-        fresh_worker()
         job, rows = None, []
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -258,7 +256,7 @@ def near_duplicates(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
     described = rows.mapInArrow(
-        _describe(bands), "doc_id long, h1 long, h2 long, size long, keys array<long>"
+        tidy(_describe(bands)), "doc_id long, h1 long, h2 long, size long, keys array<long>"
     )
     described = stored(
         described.groupBy("doc_id")
@@ -306,7 +304,6 @@ def near_duplicates(
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        fresh_worker()
         shingler = Shingler()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -325,7 +322,7 @@ def near_duplicates(
                 )
 
     grams = stored(
-        texts.mapInArrow(shingle, "id long, grams binary").dropDuplicates(["id"]), "near-grams"
+        texts.mapInArrow(tidy(shingle), "id long, grams binary").dropDuplicates(["id"]), "near-grams"
     )
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     jobs = (
@@ -344,7 +341,7 @@ def near_duplicates(
         jobs.select("label", "low", "high", "id", "copies", "side", "grams")
         .repartition("label", "low", "high")
         .sortWithinPartitions("label", "low", "high", "id")
-        .mapInArrow(_verify(threshold), "a long, b long, links long"),
+        .mapInArrow(tidy(_verify(threshold)), "a long, b long, links long"),
         "near-links",
     )
     classes = components(found.where("b IS NOT NULL").select("a", "b"), "near-classes")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterlark.llm.common import fresh_worker, stored
+from rasterlark.llm.common import stored, tidy
 from rasterlark.llm.encoding import encoder_for
 
 SEQUENCE = 2048  # tokens
@@ -141,7 +141,7 @@ def tokenize(
                     np.frombuffer(x + end, "<u4")
                     for x in encoder.encode(part.column(2).cast(pa.binary()).to_pylist())
                 ]
-                if any(int(x.max()) >> (8 * width) for x in ids):
+                if ids and int(max(map(np.max, ids))) >> (8 * width):
                     raise ValueError(f"an id does not fit {width} bytes")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -153,7 +153,7 @@ def tokenize(
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"doc_id {kind}, source string, size long, ids binary")
+    return rows.mapInArrow(tidy(encode, drop_shelf=False), f"doc_id {kind}, source string, size long, ids binary")
 
 
 def pack(
@@ -210,7 +210,6 @@ def pack(
     epochs = schedule(totals, shares, window)
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
@@ -239,7 +238,7 @@ def pack(
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     return placed.mapInArrow(
-        cut_pieces,
+        tidy(cut_pieces),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, offset long, queue long",
     )

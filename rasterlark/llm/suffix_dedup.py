@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.llm.common import fresh_worker, stored
+from rasterlark.llm.common import stored, tidy
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 64  # bytes of an anchor
@@ -190,7 +190,6 @@ def _find_anchors(length: int, gram: int):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        fresh_worker()
 
         def flush(pieces: list[tuple]) -> pa.RecordBatch:
             """pieces: (doc_id, hash, offset in the document, bytes)."""
@@ -262,7 +261,6 @@ def _sort_blocks(length: int):
                 ["s1", "s2", "low", "high"],
             )
 
-        fresh_worker()
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -333,7 +331,7 @@ def cover(items: DataFrame, length: int) -> DataFrame:
         blocks.select("anchor", "s1", "s2", "weight", "snippet")
         .repartition("anchor")
         .sortWithinPartitions("anchor", "s1", "s2")
-        .mapInArrow(_sort_blocks(length), COVER)
+        .mapInArrow(tidy(_sort_blocks(length)), COVER)
     )
     result = alone.unionByName(sorted_)
     large = dealt.where(f"kinds > 1 AND bytes > {BLOCK}")
@@ -341,7 +339,7 @@ def cover(items: DataFrame, length: int) -> DataFrame:
         return result
     children = stored(
         large.select("s1", "s2", "weight", "at", "room", "snippet").mapInArrow(
-            _refine,
+            tidy(_refine),
             "anchor long, s1 long, s2 long, weight long, size long, at long, room long, "
             "snippet binary, p1 long, p2 long, shift long",
         ),
@@ -382,7 +380,7 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     """
     anchors = stored(
         documents.select("doc_id", "th", "text").mapInArrow(
-            _find_anchors(length, gram),
+            tidy(_find_anchors(length, gram)),
             "anchor long, s1 long, s2 long, doc_id long, th long, start long, size long, at long",
         ),
         "suffix-anchors",
@@ -461,7 +459,6 @@ def remove_repeats(
     ).select(*keep, "_text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
         for whole in batches:
             for low_ in range(0, whole.num_rows, 500):
                 batch = whole.slice(low_, 500)
@@ -493,7 +490,7 @@ def remove_repeats(
         f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]
     )
     return joined.mapInArrow(
-        cut,
+        tidy(cut),
         schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
         "spans array<struct<low: long, high: long>>",
     )

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlark.llm.common import tidy
 from rasterlark.llm.encoding import encoder_for
 from rasterlark.sinks.files import create_directory, open_directory, whole_file
 
@@ -86,7 +87,7 @@ def write_tokens(
     written = (
         rows.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(write, "shard string, docs long, tokens long")
+        .mapInArrow(tidy(write, drop_shelf=False), "shard string, docs long, tokens long")
         .collect()
     )
     parts, doc, token = [], 0, 0

@@ -17,9 +17,9 @@ import numpy as np
 
 from rasterlark.llm.common import shelf
 
-BYTES_AT_ONCE = 4_500_000  # of texts
+BYTES_AT_ONCE = 8_000_000  # of texts
 REMEMBERED = 300_000  # parts a worker process keeps
-GROUP = 32  # parts in one call
+GROUP = 64  # parts in one call
 SLOTS = 1 << 20
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
 LATIN = 0xC8  # the first bytes of characters below U+0240 are no larger

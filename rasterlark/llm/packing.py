@@ -32,7 +32,7 @@ QUEUES = 64  # sources with a queue of their own; the smaller ones share one
 BUCKET_DOCUMENTS = 2000  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
 WIDTH = 2  # bytes of a stored id
-ROWS_AT_ONCE = 1500
+ROWS_AT_ONCE = 2000
 
 
 @dataclass(frozen=True)

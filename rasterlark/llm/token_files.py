@@ -27,7 +27,7 @@ from rasterlark.llm.common import tidy
 from rasterlark.llm.encoding import encoder_for
 from rasterlark.sinks.files import create_directory, open_directory, whole_file
 
-ROWS_AT_ONCE = 1500
+ROWS_AT_ONCE = 2000
 
 
 def write_tokens(

@@ -33,8 +33,9 @@ DEFAULT_GRID = GridSpec()
 
 
 def coordinate_width(points: DataFrame) -> str:
+    """FLOAT coordinates are binned as FLOAT, all other types as DOUBLE."""
     types = dict(points.dtypes)
-    return "double" if "double" in (types["x"], types["y"]) else "float"
+    return "float" if types["x"] == types["y"] == "float" else "double"
 
 
 def crop(points: DataFrame, spec: GridSpec = DEFAULT_GRID) -> DataFrame:
@@ -123,7 +124,8 @@ def densify(
 ) -> DataFrame:
     """Every cell of every frame, 0 where the sparse raster has none.
 
-    `frames` holds distinct frame_id values. Only the sparse cells and one
+    `frames` holds distinct frame_id values; a frame of the raster that is not
+    among them fails, as does a frame listed twice. Only the sparse cells and one
     marker per grid row are exchanged; each of them then fills the gap up to
     the next occupied cell of its row, so the dense domain is produced after
     the exchange and never joined or shuffled.
@@ -136,10 +138,18 @@ def densify(
     )
     # At most one row per column plus the marker in a window partition.
     along_row = Window.partitionBy("frame_id", "cell_row").orderBy("cell_col")
+    starts_row = F.lag("cell_col", 1).over(along_row).isNull()
     return (
         bev.select("frame_id", "cell_row", "cell_col", "gray")
         .unionByName(markers)
+        .withColumn("starts_row", starts_row)
         .withColumn("gap_end", F.lead("cell_col", 1, spec.width).over(along_row) - 1)
+        .withColumn(
+            "cell_col",
+            F.when(F.col("starts_row") == (F.col("cell_col") < 0), F.col("cell_col")).otherwise(
+                F.raise_error(F.lit("the list of frames lacks a frame or has one twice")).cast("int")
+            ),
+        )
         .select(
             "frame_id",
             "cell_row",

@@ -24,7 +24,7 @@ def save_sample(
     if frames is None:
         frames = frame_rows(spark, [SAMPLE_FRAME], DEFAULT_SEED)
     write_npz(generate_frames(frames, mode=mode), output_dir)
-    return write_object_files(make_objects(frames), output_dir)
+    return write_object_files(make_objects(frames), output_dir, frames)
 
 
 def visualize(

@@ -1,7 +1,6 @@
 """Writers. Each creates its directory and replaces outputs of the same name."""
 
 from rasterlark.sinks.documents import (
-    object_documents,
     write_object_files,
     write_object_lines,
 )
@@ -12,7 +11,6 @@ from rasterlark.sinks.tables import write_points
 
 __all__ = [
     "decode_png",
-    "object_documents",
     "scratch_directory",
     "write_npz",
     "write_object_files",

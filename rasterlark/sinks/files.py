@@ -14,6 +14,16 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
+
+
+def absolute(spark: SparkSession, directory: str) -> str:
+    """The directory as a URI that means the same in every task. Without a
+    scheme it belongs to Spark's default file system, relative to the driver's
+    working directory there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
 
 def open_directory(directory: str) -> tuple[pafs.FileSystem, str]:
@@ -45,16 +55,11 @@ def create_directory(directory: str) -> None:
     file_system.create_dir(path, recursive=True)
 
 
-def file_name(prefix: str, frame_id: str, start: int, suffix: str) -> str:
-    """`start` is the number of the first row for the later parts of a frame
-    that is too large for one file."""
-    later = f"-from-{start}" if start else ""
-    frame = quote(str(frame_id), safe="").replace("-from-", "%2Dfrom-")
-    return f"{prefix}_{frame}{later}.{suffix}"
+def file_name(prefix: str, frame_id: str, suffix: str) -> str:
+    return f"{prefix}_{quote(str(frame_id), safe='')}.{suffix}"
 
 
-def parse_file_name(path: str) -> tuple[str, int]:
-    """(frame_id, start) of a name made by `file_name`."""
+def parse_file_name(path: str) -> str:
+    """The frame_id of a name made by `file_name`."""
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    frame, start = re.fullmatch(r"(.*?)(?:-from-(\d+))?", stem, re.DOTALL).groups()
-    return unquote(frame.split("_", 1)[-1]), int(start or 0)
+    return unquote(stem.split("_", 1)[-1])

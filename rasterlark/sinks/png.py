@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlark.sinks.files import create_directory, file_name, whole_file
+from rasterlark.sinks.files import absolute, create_directory, file_name, whole_file
 from rasterlark.spec import GridSpec
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -100,7 +100,7 @@ def _writer(
                         if picture is not None:
                             picture.close()
                         current, files = frame, files + 1
-                        name = file_name("bev_frame", current, 0, "png")
+                        name = file_name("bev_frame", current, "png")
                         picture = _Picture(directory, name, width, height)
                     # A frame marker is -1 and sorts first.
                     while start < stop and pixels[start] < 0:
@@ -125,13 +125,21 @@ def write_png(
 ) -> int:
     """Writes image(frame_id, out_row, out_col, b, g, r), the turned picture;
     returns the number of files. `frames` adds pictures for frames without
-    pixels."""
+    pixels. A pixel outside the picture of `spec`, as from an image of another
+    grid, and a NULL frame_id fail."""
+    directory = absolute(image.sparkSession, directory)
     create_directory(directory)
+    inside = (
+        f"frame_id IS NOT NULL AND out_row BETWEEN 0 AND {spec.width - 1} "
+        f"AND out_col BETWEEN 0 AND {spec.height - 1}"
+    )
     # Place and colour in one number: a narrow row and a single sort key.
     pixels = image.selectExpr(
         "frame_id",
+        f"CASE WHEN {inside} THEN "
         f"shiftleft(cast(out_row as bigint) * {spec.height} + out_col, {COLOR_BITS})"
-        " + b * 65536 + g * 256 + r AS pixel",
+        " + b * 65536 + g * 256 + r "
+        "ELSE raise_error('a pixel lies outside the picture or has no frame') END AS pixel",
     )
     if frames is not None:
         pixels = pixels.unionByName(

@@ -219,3 +219,23 @@ def test_sizing_follows_the_input():
     assert small["spark.sql.files.maxPartitionBytes"] == str(128 * 1024**2)
     assert large["spark.sql.shuffle.partitions"] == "50000"
     assert int(large["spark.sql.files.maxPartitionBytes"]) == 10**9
+
+
+def test_a_frame_outside_the_list_fails(points):
+    table = points([(0.5, 0.5, 0.5, "a"), (0.5, 0.5, 0.5, "b")])
+    listed = frames_of(points([(0.0, 0.0, 0.0, "a")]))
+    for frames in (listed, listed.union(frames_of(table)).union(listed)):
+        with pytest.raises(Exception, match="list of frames"):
+            points_to_bev(table, dense=True, frames=frames).collect()
+
+
+@pytest.mark.parametrize("kind, row", [("FLOAT", 184), ("DOUBLE", 183), ("DECIMAL(6,3)", 183)])
+def test_other_number_types_are_binned_as_double(spark, kind, row):
+    table = spark.sql(f"SELECT 'a' AS frame_id, CAST(18.4 AS {kind}) AS x, CAST(0 AS {kind}) AS y, 0.5F AS intensity")
+    assert points_to_bev(table).first().cell_row == row
+
+
+@pytest.mark.parametrize("kind", ["INT", "BIGINT"])
+def test_whole_number_coordinates(spark, kind):
+    table = spark.sql(f"SELECT 'a' AS frame_id, CAST(12 AS {kind}) AS x, CAST(-3 AS {kind}) AS y, 0.5F AS intensity")
+    assert tuple(points_to_bev(table).first())[1:3] == (int(12 / 0.1), int(17 / 0.1))

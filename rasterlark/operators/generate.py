@@ -95,7 +95,7 @@ def _chunks(blocks: DataFrame) -> DataFrame:
             f"least({CHUNK_POINTS}, points - chunk * {CHUNK_POINTS}) AS chunk_points",
         )
     )
-    return spread(chunks, "frame_id", "block", "chunk").drop("chunk")
+    return spread(chunks, "frame_id", "block", "chunk", growth=CHUNK_POINTS // 4).drop("chunk")
 
 
 def _hashed(chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A glyph is drawn on a 5 x 9 lattice: x 0..4 to the right, y 0..8 upwards,
 baseline at y = 2. Each word of a glyph is one polyline, two digits per vertex.
-A character without a glyph is drawn as a question mark.
+Printable ASCII has glyphs; any other
+character is drawn as a question mark.
 """
 
 from __future__ import annotations
@@ -12,12 +13,39 @@ from pyspark.sql import functions as F
 
 GLYPHS = {
     " ": "",
+    "!": "2824 2222",
+    '"': "1816 3836",
+    "#": "1812 3832 0646 0444",
+    "$": "47380716053544331203 2820",
+    "%": "0248 1807061708 3433423334",
+    "&": "42173827041213244245",
+    "'": "2826",
+    "(": "38262432",
+    ")": "18262412",
+    "*": "2723 0746 0644",
+    "+": "2723 0545",
+    ",": "231211",
     "-": "0444",
     ".": "2222",
+    "/": "0248",
     ":": "2525 2323",
+    ";": "2525 231211",
+    "<": "470543",
+    "=": "0646 0444",
+    ">": "074503",
     "?": "071838474624 2222",
+    "@": "33251434334547381807031242",
+    "[": "38181232",
+    "\\": "0842",
+    "]": "18383212",
+    "^": "062846",
     "_": "0141",
-    "0": "180703123243473818",
+    "`": "1826",
+    "{": "3827260524233212",
+    "|": "2820",
+    "}": "18272645242312",
+    "~": "0516253445",
+    "0": "180703123243473818 1337",
     "1": "172822 1232",
     "2": "07183847460242",
     "3": "084825354443321203",
@@ -91,8 +119,8 @@ def _pixels(units: int) -> int:
     return int(units * SCALE[0] / SCALE[1])
 
 
-def glyph_segments() -> list[tuple[str, int, int, int, int]]:
-    """(glyph, c0, r0, c1, r1) relative to the text anchor, rows downwards."""
+def glyph_segments() -> list[tuple[int, int, int, int, int]]:
+    """(code, c0, r0, c1, r1) relative to the text anchor, rows downwards."""
     segments = []
     for glyph, strokes in GLYPHS.items():
         for stroke in strokes.split():
@@ -101,23 +129,20 @@ def glyph_segments() -> list[tuple[str, int, int, int, int]]:
                 for i in range(0, len(stroke), 2)
             ]
             segments.extend(
-                (glyph, *start, *end) for start, end in zip(vertices, vertices[1:])
+                (ord(glyph), *start, *end) for start, end in zip(vertices, vertices[1:])
             )
     return segments
 
 
 def glyph_table(texts: DataFrame) -> DataFrame:
-    """(glyph, dc0, dr0, dc1, dr1) from one literal; no glyph has a space in its name
-    and strokes."""
+    """(code, dc0, dr0, dc1, dr1) from one literal."""
     words = " ".join(",".join(map(str, segment)) for segment in glyph_segments())
     numbers = (
         f"cast(split_part(word, ',', {i}) as int) AS {name}"
-        for i, name in enumerate(("dc0", "dr0", "dc1", "dr1"), start=2)
+        for i, name in enumerate(("code", "dc0", "dr0", "dc1", "dr1"), start=1)
     )
     one_row = texts.sparkSession.range(1, numPartitions=1)
-    return one_row.selectExpr(f"explode(split('{words}', ' ')) AS word").selectExpr(
-        "split_part(word, ',', 1) AS glyph", *numbers
-    )
+    return one_row.selectExpr(f"explode(split('{words}', ' ')) AS word").selectExpr(*numbers)
 
 
 def glyph_strokes(texts: DataFrame) -> DataFrame:
@@ -127,16 +152,16 @@ def glyph_strokes(texts: DataFrame) -> DataFrame:
     label. The stroke table is the constant above, so it is broadcast.
     """
     keep = [c for c in texts.columns if c not in ("anchor_col", "anchor_row", "label")]
-    known = ", ".join(f"'{glyph}'" for glyph in GLYPHS)
     spelled = texts.selectExpr(
         *keep, "anchor_col", "anchor_row", "posexplode(split(label, '')) AS (place, letter)"
     ).selectExpr(
         *keep,
         f"anchor_col + place * {ADVANCE} AS pen_col",
         "anchor_row AS pen_row",
-        f"CASE WHEN letter IN ({known}) THEN letter WHEN letter <> '' THEN '{FALLBACK}' END AS glyph",
+        "CASE WHEN ascii(letter) BETWEEN 32 AND 126 THEN ascii(letter) "
+        f"WHEN letter <> '' THEN {ord(FALLBACK)} END AS code",
     )
-    return spelled.join(F.broadcast(glyph_table(texts)), "glyph").selectExpr(
+    return spelled.join(F.broadcast(glyph_table(texts)), "code").selectExpr(
         *keep,
         "pen_col + dc0 AS c0",
         "pen_row + dr0 AS r0",

@@ -5,7 +5,8 @@ layer, so painting is one maximum over `layer * 2^24 + colour`: the winning
 layer carries its colour along and no join back to the objects is needed.
 
 Layer 0 is the point raster. Object number n of a frame draws its outline on
-layer 2n + 1 and its label on layer 2n + 2.
+layer 2n + 1 and its label on layer 2n + 2. Numbers that are NULL, negative or
+beyond MAX_DRAW_ORD have no layer of their own and fail.
 """
 
 from __future__ import annotations
@@ -35,17 +36,10 @@ from rasterlark.spec import (
 )
 
 LAYER_SHIFT = 24
+MAX_DRAW_ORD = 2**38 - 2  # its label's layer and the colour fill a BIGINT
 LINE_THICKNESS = 2
-
-
-def _steps_inside(start: str, delta: str, low: int, high: int) -> tuple[str, str]:
-    """First and last step (DOUBLE) at which a line may lie in low..high on one
-    axis, NULL where it does not move on that axis. Generous by a step at
-    either end; the exact test follows per pixel."""
-    per_pixel = f"(steps / nullif({delta}, 0))"
-    at_low = f"({low} - {start} - 1) * {per_pixel}"
-    at_high = f"({high} - {start} + 1) * {per_pixel}"
-    return f"least({at_low}, {at_high}) - 1", f"greatest({at_low}, {at_high}) + 1"
+# Bytes of pixels per byte of an object row, roughly: what an object grows to.
+PIXEL_GROWTH = 200
 
 
 def trace(
@@ -54,17 +48,17 @@ def trace(
     """Pixels of the lines (c0, r0) to (c1, r1) that lie in the grid.
 
     Adds px_row, px_col and drops the end points. Step k of a line of n steps
-    is at trunc(k * delta / n) from its start; thickness adds pixels to the
-    right. A line with an end that has no pixel number is not drawn.
+    is at trunc(k * delta / n) from its start; thickness adds pixels below a
+    flat line and to the right of a steep one. A line with an end that has no
+    pixel number is not drawn. Places are BIGINT until they are known to be in
+    the grid, so no line can overflow.
 
     Only the steps that can be inside the grid are expanded, except for `short`
-    lines of a few pixels. The way to the first of them is taken once per line
-    in DECIMAL, as its product may exceed a BIGINT; what is left per pixel is
-    small.
+    lines of a few pixels. The way to the first of them is taken once per line;
+    what is left per pixel is small.
     """
     ends = ("c0", "r0", "c1", "r1")
     keep = [c for c in lines.columns if c not in ends]
-    columns = ", ".join(f"px_col + {i}" for i in range(thickness))
     directed = lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends)).selectExpr(
         *keep,
         "bigint(c0) AS c0",
@@ -87,17 +81,32 @@ def trace(
         )
     else:
         stepped = _cut(directed, spec, thickness, keep)
-    return (
-        stepped.selectExpr(
+    placed = stepped.selectExpr(
+        *keep,
+        "row_at + (row_rest + dr * step) div steps AS row",
+        "col_at + (col_rest + dc * step) div steps AS col",
+        "abs(dc) >= abs(dr) AS flat",
+    )
+    if thickness > 1:
+        placed = placed.selectExpr(
+            *keep, "row", "col", "flat", f"explode(sequence(0, {thickness - 1})) AS wide"
+        ).selectExpr(
             *keep,
-            "int(row_at + (row_rest + dr * step) div steps) AS px_row",
-            "int(col_at + (col_rest + dc * step) div steps) AS px_col",
-        )
-        .selectExpr(*keep, "px_row", f"explode(array({columns})) AS px_col")
-        .filter(
-            f"px_row BETWEEN 0 AND {spec.height - 1} "
-            f"AND px_col BETWEEN 0 AND {spec.width - 1}"
+            "row + CASE WHEN flat THEN wide ELSE 0 END AS row",
+            "col + CASE WHEN flat THEN 0 ELSE wide END AS col",
         )
+    return placed.filter(
+        f"row BETWEEN 0 AND {spec.height - 1} AND col BETWEEN 0 AND {spec.width - 1}"
+    ).selectExpr(*keep, "int(row) AS px_row", "int(col) AS px_col")
+
+
+def _reach(axis: str, low: int, high: int) -> str:
+    """Two steps (DOUBLE): where a line is at either end of low..high on one
+    axis, generous by a pixel; NULL where it does not move on that axis."""
+    per_pixel = f"(l.steps / nullif(l.d{axis}, 0))"
+    return (
+        f"({low} - l.{axis}0 - 1) * {per_pixel} AS {axis}_low, "
+        f"({high} - l.{axis}0 + 1) * {per_pixel} AS {axis}_high"
     )
 
 
@@ -106,77 +115,112 @@ def _cut(directed: DataFrame, spec: GridSpec, thickness: int, keep: list[str]) -
     the first: position and remainder of the division by `steps`.
 
     An axis without movement gives NULL, which least and greatest skip: a line
-    beside the grid expands to as many steps as the other axis allows.
+    beside the grid expands to as many steps as the other axis allows. The
+    arithmetic of a line is that of an array of one element: Spark would move
+    plain columns above the explode, into the work per pixel.
     """
-    first_c, last_c = _steps_inside("c0", "dc", 1 - thickness, spec.width - 1)
-    first_r, last_r = _steps_inside("r0", "dr", 0, spec.height - 1)
-    way = "cast(first as decimal(19,0)) * cast({} as decimal(19,0))".format
-    return directed.selectExpr(
-        "*",
-        f"bigint(least(steps + 1D, greatest(0D, {first_c}, {first_r}))) AS first",
-        f"bigint(greatest(-1D, least(double(steps), {last_c}, {last_r}))) AS last",
-    ).selectExpr(
+    columns = _reach("c", 1 - thickness, spec.width - 1)
+    rows = _reach("r", 1 - thickness, spec.height - 1)
+    first = ", ".join(f"least(l.{a}_low, l.{a}_high) - 1" for a in "cr")
+    last = ", ".join(f"greatest(l.{a}_low, l.{a}_high) + 1" for a in "cr")
+    way = "cast(l.first as decimal(19,0)) * cast(l.d{} as decimal(19,0))".format
+    same = "l.dc AS dc, l.dr AS dr, l.steps AS steps"
+    stages = (
+        f"{same}, l.c0 AS c0, l.r0 AS r0, {columns}, {rows}",
+        f"{same}, l.c0 AS c0, l.r0 AS r0, "
+        f"bigint(least(l.steps + 1D, greatest(0D, {first}))) AS first, "
+        f"bigint(greatest(-1D, least(double(l.steps), {last}))) AS last",
+        f"{same}, l.last - l.first AS length, "
+        f"l.c0 + {way('c')} div l.steps AS col_at, l.r0 + {way('r')} div l.steps AS row_at, "
+        f"bigint({way('c')} % l.steps) AS col_rest, bigint({way('r')} % l.steps) AS row_rest",
+    )
+    line = "array(struct(c0, r0, dc, dr, steps))"
+    for stage in stages:
+        line = f"transform({line}, l -> struct({stage}))"
+    return directed.selectExpr(*keep, f"inline(filter({line}, l -> l.length >= 0))").selectExpr(
         *keep,
-        "dc",
-        "dr",
-        "steps",
-        f"c0 + {way('dc')} div steps AS col_at",
-        f"r0 + {way('dr')} div steps AS row_at",
-        f"bigint({way('dc')} % steps) AS col_rest",
-        f"bigint({way('dr')} % steps) AS row_rest",
-        "explode(CASE WHEN first <= last THEN sequence(0L, last - first) END) AS step",
+        *("dc", "dr", "steps", "col_at", "row_at", "col_rest", "row_rest"),
+        "explode(sequence(0L, length)) AS step",
     )
 
 
-def box_outline(
-    objects: DataFrame,
-    spec: GridSpec = DEFAULT_GRID,
-    colors: Mapping[str, Color] | None = None,
+def _placed(
+    objects: DataFrame, spec: GridSpec, colors: Mapping[str, Color] | None, labels: bool
 ) -> DataFrame:
-    """Closed four-edge outlines: (frame_id, draw_ord, bgr, px_row, px_col).
+    """Corners c0, r0 .. c3, r3, colour and, if asked for, text of each object.
 
-    A pixel repeats where edges meet or strokes overlap.
+    Narrower than the objects, and a stage apart from the expansion, so that
+    each is one compilable method. Edges and letters come from one exchange.
     """
     pixels = [
         f"{pixel} AS {axis}{i}"
         for i, corner in enumerate(corner_pixels(spec))
         for axis, pixel in zip("cr", corner)
     ]
-    edges = (
-        f"named_struct('c0', c{i}, 'r0', r{i}, 'c1', c{j}, 'r1', r{j})"
-        for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))
+    order = (
+        f"CASE WHEN bigint(draw_ord) BETWEEN 0 AND {MAX_DRAW_ORD} THEN bigint(draw_ord) ELSE "
+        f"raise_error('draw_ord must be between 0 and {MAX_DRAW_ORD}') END"
     )
-    # Corners before the exchange: narrower than the objects, and a stage apart
-    # from the expansion, so that each is one compilable method.
-    corners = objects.select(
-        "frame_id",
-        F.col("draw_ord").cast("bigint").alias("draw_ord"),
+    drawn = F.struct(
         class_color(F.col("class_name"), colors).alias("bgr"),
         *map(F.expr, pixels),
+        *([label_text().alias("label")] if labels else []),
+    )
+    # As an array of one element, of which no part is pruned: then the exchange
+    # is the same for edges and letters, and Spark makes it once. Built by
+    # transform, which adds nothing to the generated method.
+    corners = objects.select(
+        "frame_id",
+        F.expr(order).alias("draw_ord"),
+        F.transform(F.array(F.lit(0)), lambda _: drawn).alias("drawn"),
+    )
+    return spread(corners, "frame_id", "draw_ord", growth=PIXEL_GROWTH).selectExpr(
+        "frame_id", "draw_ord", "inline(drawn)"
     )
-    lines = spread(corners, "frame_id", "draw_ord").selectExpr(
+
+
+def _outlines(placed: DataFrame, spec: GridSpec) -> DataFrame:
+    edges = (
+        f"named_struct('c0', c{i}, 'r0', r{i}, 'c1', c{j}, 'r1', r{j})"
+        for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))
+    )
+    lines = placed.selectExpr(
         "frame_id", "draw_ord", "bgr", f"inline(array({', '.join(edges)}))"
     )
     return trace(lines, spec, LINE_THICKNESS)
 
 
+def _letters(placed: DataFrame, spec: GridSpec) -> DataFrame:
+    texts = placed.selectExpr(
+        "frame_id",
+        "draw_ord",
+        "bgr",
+        "bigint(c0) AS anchor_col",
+        "bigint(r0) AS anchor_row",
+        "label",
+    )
+    return trace(glyph_strokes(texts), spec, thickness=1, short=True)
+
+
+def box_outline(
+    objects: DataFrame,
+    spec: GridSpec = DEFAULT_GRID,
+    colors: Mapping[str, Color] | None = None,
+) -> DataFrame:
+    """Closed four-edge outlines: (frame_id, draw_ord, bgr, px_row, px_col).
+
+    A pixel repeats where edges meet or strokes overlap.
+    """
+    return _outlines(_placed(objects, spec, colors, labels=False), spec)
+
+
 def label_strokes(
     objects: DataFrame,
     spec: GridSpec = DEFAULT_GRID,
     colors: Mapping[str, Color] | None = None,
 ) -> DataFrame:
     """Pixels of the label texts: (frame_id, draw_ord, bgr, px_row, px_col)."""
-    anchor_col, anchor_row = corner_pixels(spec)[0]
-    texts = objects.select(
-        "frame_id",
-        F.col("draw_ord").cast("bigint").alias("draw_ord"),
-        class_color(F.col("class_name"), colors).alias("bgr"),
-        F.expr(f"bigint({anchor_col})").alias("anchor_col"),
-        F.expr(f"bigint({anchor_row})").alias("anchor_row"),
-        label_text().alias("label"),
-    )
-    strokes = glyph_strokes(spread(texts, "frame_id", "draw_ord"))
-    return trace(strokes, spec, thickness=1, short=True)
+    return _letters(_placed(objects, spec, colors, labels=True), spec)
 
 
 def layered(pixels: DataFrame, first_layer: int, spec: GridSpec) -> DataFrame:
@@ -223,15 +267,15 @@ def compose(
     given `point_levels` the whole image takes a single exchange. Objects of
     frames that `gray` does not hold are drawn on an empty raster.
     """
+    placed = _placed(objects, spec, colors, labels)
     paint = gray.select(
         "frame_id",
         pack_cell(F.col("cell_row"), F.col("cell_col"), spec).alias("cell"),
         pack_bgr(F.col("gray")).cast("bigint").alias("paint"),
-    ).unionByName(layered(box_outline(objects, spec, colors), 1, spec))
+    ).unionByName(layered(_outlines(placed, spec), 1, spec))
     if labels:
-        paint = paint.unionByName(
-            layered(label_strokes(objects, spec, colors), 2, spec)
-        )
+        # The same exchange of the objects serves both.
+        paint = paint.unionByName(layered(_letters(placed, spec), 2, spec))
     row, col = split_cell(spec)
     return _top(paint).select(
         "frame_id",

@@ -21,7 +21,7 @@ from rasterlark.sinks import (
     write_points,
 )
 from rasterlark.sources import read_npz, read_objects, read_points
-from rasterlark.streaming import stream_bev
+from rasterlark.streaming import read_windows, write_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,7 +210,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One indented document per frame."""
     directory = scratch_directory(spark, "documents")
     write_object_files(view(spark, sf_dir, "objects_v"), directory)
-    return read_objects(spark, directory).drop("draw_ord")
+    return read_objects(spark, directory)
 
 
 @_register
@@ -218,7 +218,7 @@ def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per line."""
     path = scratch_directory(spark, "lines")
     write_object_lines(view(spark, sf_dir, "objects_v"), path)
-    return read_objects(spark, path, multi_line=False).drop("draw_ord")
+    return read_objects(spark, path, multi_line=False)
 
 
 def _shown_pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +253,8 @@ def png_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def sequential_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames drawn from the sequential stream of their seed, rasterised and
-    counted. No SQL: the stream is not expressible there."""
-    frames = view(spark, sf_dir, "frames_v")
-    bev = raster.points_to_bev(generate.generate_frames(frames, mode="sequential"))
-    return bev.groupBy("frame_id").agg(
-        F.count("*").alias("cells"),
-        F.count_if(F.col("gray") >= 102).alias("object_cells"),
-        F.min("gray").alias("min_gray"),
-        F.max("gray").alias("max_gray"),
-    )
+    """Every point of frames drawn from the sequential stream of their seed."""
+    return generate.generate_frames(view(spark, sf_dir, "frames_v"), mode="sequential")
 
 
 # -- streams ----------------------------------------------------------------------
@@ -270,21 +262,12 @@ def sequential_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def bev_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raster per month-long window, as a stream over the point table run
-    until it is used up. Windows the watermark has closed are in the result."""
+    """The raster of every window of 30 days, as a stream over the point table
+    run until it is used up."""
     base = scratch_directory(spark, "stream")
-    running = (
-        stream_bev(
-            stream_view(spark, sf_dir, "points_v"), "scanned_at", "30 days", "1 day"
-        )
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{base}/bev")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    points = stream_view(spark, sf_dir, "points_v")
+    running = write_windows(points, "scanned_at", "30 days", f"{base}/bev", f"{base}/checkpoint")
     running.awaitTermination()
-    return spark.read.parquet(f"{base}/bev").withColumns(
+    return read_windows(spark, f"{base}/bev").withColumns(
         {edge: F.unix_seconds(edge) for edge in ("window_start", "window_end")}
     )

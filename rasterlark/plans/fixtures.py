@@ -15,9 +15,17 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "lineitem",
         {
             "frame_id": "l_linenumber",
-            "x": "CAST(((l_orderkey*7919 + l_linenumber*104729) % 50000)/1000D AS FLOAT)",
-            "y": "CAST(((l_partkey*6151 + l_suppkey*389) % 50000)/1000D - 25D AS FLOAT)",
-            "intensity": "CAST(l_quantity/50D AS FLOAT)",
+            # No point of the last frame is in the region.
+            "x": "CAST(((l_orderkey*7919 + l_linenumber*104729) % 50000)/1000D "
+            "+ CASE WHEN l_linenumber = 7 THEN 100D ELSE 0D END AS FLOAT)",
+            # The largest FLOAT below the upper edge, whose cell number rounds up.
+            "y": "CAST(CASE WHEN l_partkey % 101 = 0 THEN 19.9999981D "
+            "ELSE ((l_partkey*6151 + l_suppkey*389) % 50000)/1000D - 25D END AS FLOAT)",
+            "intensity": "CAST(CASE WHEN l_orderkey % 97 = 1 THEN NULL "
+            "WHEN l_orderkey % 89 = 1 THEN CAST('NaN' AS DOUBLE) "
+            "WHEN l_orderkey % 7 = 1 THEN -0.5D - l_quantity/50D "
+            "WHEN l_orderkey % 83 = 1 THEN 1D + l_quantity/50D "
+            "ELSE l_quantity/50D END AS FLOAT)",
             # The zone-less time taken as UTC, whatever the session's zone.
             "scanned_at": "timestamp_seconds(unix_date(CAST(l_shipdate AS DATE)) * 86400L "
             "+ hour(l_shipdate) * 3600 + minute(l_shipdate) * 60 + second(l_shipdate))",
@@ -41,8 +49,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "frame_id": "CAST(s_suppkey % 7 + 1 AS INT)",
             "draw_ord": "s_suppkey",
             "id": "s_suppkey",
-            "class_name": "CASE s_suppkey % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'pedestrian' "
-            "WHEN 2 THEN 'cone' ELSE 'other' END",
+            "class_name": "CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CASE s_suppkey % 4 "
+            "WHEN 0 THEN 'car' WHEN 1 THEN 'pedestrian' WHEN 2 THEN 'cone' "
+            "ELSE 'bus/coach (#2)' END END",
             "x": "((s_suppkey*7919) % 48000)/1000D - 4D",
             "y": "((s_suppkey*6151) % 48000)/1000D - 24D",
             "z": "(s_suppkey % 9)/10D",
@@ -70,7 +79,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    file = f"{VIEWS[name][0]}.parquet"
-    schema = spark.read.parquet(f"{sf_dir}/{file}").schema
-    table = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(sf_dir)
+    """The table as a stream, be it one file or a folder of files."""
+    path = f"{sf_dir}/{VIEWS[name][0]}.parquet"
+    schema = spark.read.parquet(path).schema
+    # As a pattern the path may name a file.
+    table = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return derive(table, name)

@@ -7,7 +7,7 @@ DuckDB rounds in CAST, hence trunc() wherever a number is narrowed to INTEGER.
 
 from __future__ import annotations
 
-from rasterlark.operators.glyphs import ADVANCE, FALLBACK, GLYPHS, glyph_segments
+from rasterlark.operators.glyphs import ADVANCE, FALLBACK, glyph_segments
 from rasterlark.spec import (
     BACKGROUND_POINTS,
     BACKGROUND_RANGES,
@@ -23,9 +23,15 @@ from rasterlark.spec import (
 
 POINTS_V = """points_v AS (
   SELECT l_linenumber AS frame_id,
-         CAST(((l_orderkey*7919 + l_linenumber*104729) % 50000)/1000::DOUBLE AS FLOAT) AS x,
-         CAST(((l_partkey*6151 + l_suppkey*389) % 50000)/1000::DOUBLE - 25::DOUBLE AS FLOAT) AS y,
-         CAST(l_quantity/50::DOUBLE AS FLOAT) AS intensity,
+         CAST(((l_orderkey*7919 + l_linenumber*104729) % 50000)/1000::DOUBLE
+              + CASE WHEN l_linenumber = 7 THEN 100::DOUBLE ELSE 0::DOUBLE END AS FLOAT) AS x,
+         CAST(CASE WHEN l_partkey % 101 = 0 THEN 19.9999981::DOUBLE
+              ELSE ((l_partkey*6151 + l_suppkey*389) % 50000)/1000::DOUBLE - 25::DOUBLE END AS FLOAT) AS y,
+         CAST(CASE WHEN l_orderkey % 97 = 1 THEN NULL
+                   WHEN l_orderkey % 89 = 1 THEN 'NaN'::DOUBLE
+                   WHEN l_orderkey % 7 = 1 THEN -0.5::DOUBLE - l_quantity/50::DOUBLE
+                   WHEN l_orderkey % 83 = 1 THEN 1::DOUBLE + l_quantity/50::DOUBLE
+                   ELSE l_quantity/50::DOUBLE END AS FLOAT) AS intensity,
          l_shipdate AS scanned_at
   FROM lineitem)"""
 
@@ -42,8 +48,9 @@ OBJECTS_V = """objects_v AS (
   SELECT CAST(s_suppkey % 7 + 1 AS INTEGER) AS frame_id,
          s_suppkey AS draw_ord,
          s_suppkey AS id,
-         CASE s_suppkey % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'pedestrian'
-                            WHEN 2 THEN 'cone' ELSE 'other' END AS class_name,
+         CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE
+           CASE s_suppkey % 4 WHEN 0 THEN 'car' WHEN 1 THEN 'pedestrian'
+                              WHEN 2 THEN 'cone' ELSE 'bus/coach (#2)' END END AS class_name,
          ((s_suppkey*7919) % 48000)/1000::DOUBLE - 4::DOUBLE AS x,
          ((s_suppkey*6151) % 48000)/1000::DOUBLE - 24::DOUBLE AS y,
          (s_suppkey % 9)/10::DOUBLE AS z,
@@ -69,7 +76,7 @@ def located(points: str) -> str:
 MAXED = """maxed AS (
   SELECT frame_id, cell_row, cell_col,
          greatest(0::FLOAT, max(intensity)) AS max_intensity
-  FROM located GROUP BY ALL)"""
+  FROM located WHERE intensity IS NOT NULL AND NOT isnan(intensity) GROUP BY ALL)"""
 
 GRAY = """gray AS (
   SELECT frame_id, cell_row, cell_col,
@@ -239,6 +246,162 @@ SCENE = (
     + ")"
 )
 
+# -- sequential draws -------------------------------------------------------------
+# The permuted congruential generator with 128-bit state and its seeding, as in
+# NumPy's default generator. A number's place n in the stream needs the n-th
+# power of the step, which is the same for every seed: powers are built once,
+# by doubling, and joined to the frames.
+
+# Multiplier of the step, constants of the seeding.
+STEP = 47026247687942121848144207491837523525
+HASH_A, HASH_A_STEP = 0x43B0D7E5, 0x931E8875
+HASH_B, HASH_B_STEP = 0x8B51F9DD, 0x58F38DED
+MIX_LEFT, MIX_RIGHT = 0xCA01F9DD, 0x4973F715
+
+WORD, WIDE = 1 << 32, 1 << 64
+
+
+def _big(value: int) -> str:
+    return f"{value}::UHUGEINT"
+
+
+def _chain(source: str, columns: list[str]) -> str:
+    """A subquery that adds the columns one by one, each in a SELECT of its own,
+    so that no expression is repeated inside another."""
+    for column in columns:
+        source = f"(SELECT *, {column} FROM {source})"
+    return source
+
+
+def _product(name: str, x: str, y: str) -> list[str]:
+    """Columns that end in `name`, x * y modulo 2^128; x and y are prefixes of
+    columns x_hi, x_lo, y_hi, y_lo that hold 64 bits each."""
+    wide = _big(WIDE)
+    return [
+        f"{x}_lo * {y}_lo AS {name}_ll",
+        f"(({x}_hi * {y}_lo) % {wide} + ({x}_lo * {y}_hi) % {wide} + {name}_ll // {wide}) % {wide} "
+        f"AS {name}_hi",
+        f"{name}_ll % {wide} AS {name}_lo",
+    ]
+
+
+def _total(name: str, x: str, y: str) -> list[str]:
+    """The same for x + y."""
+    wide = _big(WIDE)
+    return [
+        f"{x}_lo + {y}_lo AS {name}_sum",
+        f"({x}_hi + {y}_hi + {name}_sum // {wide}) % {wide} AS {name}_hi",
+        f"{name}_sum % {wide} AS {name}_lo",
+    ]
+
+
+def _halves(name: str, value: int) -> str:
+    return f"{_big(value // WIDE)} AS {name}_hi, {_big(value % WIDE)} AS {name}_lo"
+
+
+def step_powers(numbers: int) -> str:
+    """powers(n, a_hi, a_lo, c_hi, c_lo): n steps take a state s to a * s + c * inc."""
+    ctes = [f"jump0 AS (SELECT 0::BIGINT AS n, {_halves('a', 1)}, {_halves('c', 0)})"]
+    level, factor, offset = 0, STEP, 1
+    while 1 << level < numbers:
+        columns = [f"{_halves('f', factor)}, {_halves('g', offset)}"]
+        columns += [*_product("p", "a", "f"), *_product("q", "c", "f"), *_total("t", "q", "g")]
+        ctes.append(
+            f"""jump{level + 1} AS (
+  SELECT n, a_hi, a_lo, c_hi, c_lo FROM jump{level}
+  UNION ALL
+  SELECT n + {1 << level}, p_hi, p_lo, t_hi, t_lo FROM {_chain(f"jump{level}", columns)})"""
+        )
+        offset = (offset * factor + offset) % (1 << 128)
+        factor = factor * factor % (1 << 128)
+        level += 1
+    ctes.append(f"powers AS (SELECT * FROM jump{level} WHERE n BETWEEN 1 AND {numbers})")
+    return ",\n".join(ctes)
+
+
+def start_states() -> str:
+    """starts: frames_v with the state s and increment i of each seed."""
+    columns: list[str] = []
+    word = _u(WORD)
+
+    def hashed_word(name: str, value: str, before: int, after: int) -> None:
+        columns.append(f"(xor({value}, {_u(before)}) * {_u(after)}) % {word} AS {name}_m")
+        columns.append(f"xor({name}_m, {name}_m >> 16) AS {name}")
+
+    constant, number = HASH_A, 0
+
+    def next_word(name: str, value: str) -> None:
+        nonlocal constant
+        before, constant = constant, constant * HASH_A_STEP % WORD
+        hashed_word(name, value, before, constant)
+
+    columns.append(f"CAST(seed AS UBIGINT) % {word} AS e0")
+    columns.append(f"CAST(seed AS UBIGINT) // {word} AS e1")
+    pool = []
+    for i in range(4):
+        next_word(f"k{i}", f"e{i}" if i < 2 else _u(0))
+        pool.append(f"k{i}")
+    for source in range(4):
+        for target in range(4):
+            if source == target:
+                continue
+            number += 1
+            next_word(f"h{number}", pool[source])
+            columns.append(
+                f"({_u(MIX_LEFT)} * {pool[target]} % {word} + {word} "
+                f"- {_u(MIX_RIGHT)} * h{number} % {word}) % {word} AS x{number}_m"
+            )
+            columns.append(f"xor(x{number}_m, x{number}_m >> 16) AS x{number}")
+            pool[target] = f"x{number}"
+    constant = HASH_B
+    for i in range(8):
+        before, constant = constant, constant * HASH_B_STEP % WORD
+        hashed_word(f"o{i}", pool[i % 4], before, constant)
+    for i, name in enumerate(("w_hi", "w_lo", "v_hi", "v_lo")):
+        columns.append(f"CAST(o{2 * i} + o{2 * i + 1} * {word} AS UHUGEINT) AS {name}")
+    # inc = 2 v + 1; the state starts as (w + inc) * STEP + inc.
+    columns.append(f"(v_hi * 2 + v_lo // {_big(1 << 63)}) % {_big(WIDE)} AS i_hi")
+    columns.append(f"(v_lo * 2 + 1) % {_big(WIDE)} AS i_lo")
+    columns += _total("y", "w", "i")
+    columns.append(_halves("f", STEP))
+    columns += _product("z", "y", "f")
+    columns += _total("s", "z", "i")
+    return f"starts AS (SELECT frame_id, s_hi, s_lo, i_hi, i_lo FROM {_chain('frames_v', columns)})"
+
+
+def sequential_draws() -> str:
+    """drawn(frame_id, block, point_id, u0..u3): every number of each stream is
+    assigned to its block, axis and point."""
+    sizes = [BACKGROUND_POINTS] + [
+        POINTS_BY_CLASS.get(row[1], POINTS_OTHER_CLASS) for row in SCENE_OBJECTS
+    ]
+    begins = [sum(sizes[:i]) for i in range(len(sizes))]
+    blocks = ", ".join(f"({i}, {b}, {n})" for i, (b, n) in enumerate(zip(begins, sizes)))
+    numbers = 4 * sum(sizes)
+    units = ", ".join(f"max(u) FILTER (axis = {axis}) AS u{axis}" for axis in range(4))
+    columns = [*_product("p", "a", "s"), *_product("q", "c", "i"), *_total("r", "p", "q")]
+    # Halves folded by xor, then turned right by the state's top six bits.
+    columns += [
+        "CAST(xor(CAST(r_hi AS UBIGINT), CAST(r_lo AS UBIGINT)) AS UHUGEINT) AS folded",
+        f"CAST({_u(1)} << CAST(r_hi // {_big(1 << 58)} AS UBIGINT) AS UHUGEINT) AS turn",
+    ]
+    rotated = f"(folded // turn + (folded % turn) * ({_big(WIDE)} // turn))"
+    return f"""{step_powers(numbers)},
+{start_states()},
+blocks(block, block_start, points) AS (VALUES {blocks}),
+places AS (
+  SELECT a_hi, a_lo, c_hi, c_lo, block, (n - 1 - 4 * block_start) // points AS axis,
+         block_start + (n - 1 - 4 * block_start) % points AS point_id
+  FROM powers JOIN blocks ON n > 4 * block_start AND n <= 4 * (block_start + points)),
+numbers AS (
+  SELECT frame_id, block, axis, point_id,
+         CAST({rotated} // 2048 AS DOUBLE) * (1::DOUBLE / 9007199254740992::DOUBLE) AS u
+  FROM {_chain("(SELECT * FROM starts CROSS JOIN places)", columns)}),
+drawn AS (
+  SELECT frame_id, block, CAST(point_id AS BIGINT) AS point_id, {units} FROM numbers
+  GROUP BY frame_id, block, point_id)"""
+
+
 # -- boxes ----------------------------------------------------------------------
 
 CORNERS = """corners AS (
@@ -270,12 +433,14 @@ BOXES = ",\n".join((OBJECTS_V, CORNERS, PIXELS, COLORS, COLORED))
 
 
 def traced(name: str, lines: str, thickness: int) -> str:
-    """All pixels of lines(frame_id, draw_ord, c0, r0, c1, r1), cut at the grid."""
+    """All pixels of lines(frame_id, draw_ord, c0, r0, c1, r1), cut at the grid.
+    A line that runs more along than across grows downwards, others sideways."""
+    flat = "abs(c1 - c0) >= abs(r1 - r0)"
     return f"""{name} AS (
   SELECT frame_id, draw_ord, px_row, px_col FROM (
     SELECT frame_id, draw_ord,
-           CAST(r0 + k * (r1 - r0) // steps AS INTEGER) AS px_row,
-           CAST(c0 + k * (c1 - c0) // steps + wide AS INTEGER) AS px_col
+           CAST(r0 + k * (r1 - r0) // steps + if({flat}, wide, 0) AS INTEGER) AS px_row,
+           CAST(c0 + k * (c1 - c0) // steps + if({flat}, 0, wide) AS INTEGER) AS px_col
     FROM (SELECT *, unnest(range(steps + 1)) AS k
           FROM (SELECT *, greatest(abs(c1 - c0), abs(r1 - r0), 1) AS steps FROM {lines}))
     CROSS JOIN range({thickness}) t(wide))
@@ -291,18 +456,17 @@ EDGES = """edges AS (
    AND b.corner = (a.corner + 1) % 4)"""
 
 GLYPH_LINES = (
-    "strokes(glyph, dc0, dr0, dc1, dr1) AS (VALUES "
-    + ", ".join("('{}', {}, {}, {}, {})".format(*s) for s in glyph_segments())
+    "strokes(code, dc0, dr0, dc1, dr1) AS (VALUES "
+    + ", ".join("({}, {}, {}, {}, {})".format(*s) for s in glyph_segments())
     + "),\nletters AS (\n"
     "  SELECT frame_id, draw_ord, px_col, px_row, place - 1 AS place, substr(label, place, 1) AS letter\n"
     "  FROM (SELECT *, unnest(range(1, length(label) + 1)) AS place\n"
-    "        FROM (SELECT *, class_name || ':' || id AS label FROM pixels WHERE corner = 0))),\n"
+    "        FROM (SELECT *, concat_ws(':', class_name, id) AS label FROM pixels WHERE corner = 0))),\n"
     "glyph_lines AS (\n"
     f"  SELECT frame_id, draw_ord, px_col + place * {ADVANCE} + dc0 AS c0, CAST(px_row AS BIGINT) + dr0 AS r0,\n"
     f"         px_col + place * {ADVANCE} + dc1 AS c1, CAST(px_row AS BIGINT) + dr1 AS r1\n"
-    "  FROM letters JOIN strokes ON glyph = CASE WHEN letter IN ("
-    + ", ".join(f"'{g}'" for g in GLYPHS)
-    + f") THEN letter ELSE '{FALLBACK}' END)"
+    "  FROM letters JOIN strokes ON code = CASE WHEN unicode(letter) BETWEEN 32 AND 126 "
+    f"THEN unicode(letter) ELSE {ord(FALLBACK)} END)"
 )
 
 OUTLINES = ",\n".join((BOXES, EDGES, traced("outlines", "edges", 2)))
@@ -353,7 +517,8 @@ def all_oracles() -> dict[str, str]:
          x, y, length, width, yaw
   FROM frames_v CROSS JOIN scene)"""
     documents = (
-        "SELECT CAST(frame_id AS VARCHAR) AS frame_id, id, class_name, x, y, z, "
+        "SELECT CAST(frame_id AS VARCHAR) AS frame_id, row_number() OVER (PARTITION BY frame_id "
+        "ORDER BY draw_ord) - 1 AS draw_ord, id, class_name, x, y, z, "
         "length, width, yaw FROM objects_v"
     )
     return {
@@ -363,7 +528,8 @@ def all_oracles() -> dict[str, str]:
         "SELECT frame_id, x, y, cell_row, cell_col FROM located",
         "point_intensity": f"WITH {POINTS_V},\n{located('points_v')}\n"
         "SELECT frame_id, cell_row, cell_col, CAST(trunc(least(255::FLOAT, "
-        "greatest(0::FLOAT, intensity * 255::FLOAT))) AS INTEGER) AS gray FROM located",
+        "greatest(0::FLOAT, intensity * 255::FLOAT))) AS INTEGER) AS gray FROM located "
+        "WHERE intensity IS NOT NULL AND NOT isnan(intensity)",
         "bev_max": f"WITH {POINTS_V},\n{located('points_v')},\n{MAXED}\nSELECT * FROM maxed",
         "bev_gray": f"WITH {gray}\nSELECT * FROM gray",
         "bev_dense": f"WITH {gray}\n"
@@ -389,13 +555,17 @@ def all_oracles() -> dict[str, str]:
         f"SELECT frame_id, sample AS point_id, {BACKGROUND_COLUMNS} FROM drawn WHERE block = 0\n"
         "UNION ALL\n"
         f"SELECT frame_id, CAST(block_start + sample AS BIGINT), {BOX_COLUMNS} FROM drawn WHERE block > 0",
+        "sequential_frames": f"WITH {FRAMES_V},\n{SCENE},\n{sequential_draws()}\n"
+        f"SELECT frame_id, point_id, {BACKGROUND_COLUMNS} FROM drawn WHERE block = 0\n"
+        f"UNION ALL\nSELECT frame_id, point_id, {BOX_COLUMNS} "
+        "FROM drawn JOIN scene ON block = draw_ord + 1",
         "box_corners": f"WITH {BOXES}\n"
         "SELECT frame_id, id, corner, round(wx, 6) AS wx, round(wy, 6) AS wy FROM corners",
         "box_pixels": f"WITH {BOXES}\nSELECT frame_id, id, corner, px_col, px_row FROM pixels",
         "class_colors": f"WITH {BOXES}\nSELECT frame_id, id, class_name, b, g, r FROM colored",
         "box_labels": f"WITH {BOXES}\n"
         "SELECT p.frame_id, p.draw_ord, p.px_col AS anchor_col, p.px_row AS anchor_row, "
-        "p.class_name || ':' || p.id AS label, c.b, c.g, c.r\n"
+        "concat_ws(':', p.class_name, p.id) AS label, c.b, c.g, c.r\n"
         "FROM pixels p JOIN colored c USING (id) WHERE p.corner = 0",
         "box_outline": f"WITH {OUTLINES}\n"
         "SELECT p.frame_id, p.draw_ord, c.b * 65536 + c.g * 256 + c.r AS bgr, p.px_row, p.px_col "
@@ -420,13 +590,11 @@ def all_oracles() -> dict[str, str]:
         "bev_stream": f"""WITH {POINTS_V},
 {located('points_v')},
 windowed AS (
-  SELECT *, time_bucket(INTERVAL 30 DAY, scanned_at, TIMESTAMP '1970-01-01') AS window_start,
-         max(scanned_at) OVER () - INTERVAL 1 DAY AS watermark
-  FROM located)
+  SELECT *, time_bucket(INTERVAL 30 DAY, scanned_at, TIMESTAMP '1970-01-01') AS window_start
+  FROM located WHERE intensity IS NOT NULL AND NOT isnan(intensity))
 SELECT CAST(epoch(window_start) AS BIGINT) AS window_start,
        CAST(epoch(window_start) + 30 * 86400 AS BIGINT) AS window_end, frame_id, cell_row, cell_col,
        CAST(trunc(least(255::FLOAT, greatest(0::FLOAT, max(intensity) * 255::FLOAT))) AS INTEGER) AS gray
 FROM windowed
-WHERE window_start + INTERVAL 30 DAY <= watermark
 GROUP BY ALL""",
     }

@@ -1,3 +1,3 @@
-from rasterlark.streaming.raster import stream_bev
+from rasterlark.streaming.raster import read_windows, stream_bev, write_windows
 
-__all__ = ["stream_bev"]
+__all__ = ["read_windows", "stream_bev", "write_windows"]

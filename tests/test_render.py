@@ -7,7 +7,7 @@ from conftest import plan
 
 from rasterlark import CLASS_COLORS, GridSpec, draw_objects, painted_pixels, points_to_bev, render_frames
 from rasterlark.operators.glyphs import ADVANCE, GLYPHS, glyph_segments, glyph_strokes
-from rasterlark.operators.render import box_outline, label_strokes, trace
+from rasterlark.operators.render import MAX_DRAW_ORD, box_outline, label_strokes, trace
 
 SPEC = GridSpec.of((0.0, 6.0), (-2.0, 2.0), 0.1)
 SCHEMA = (
@@ -40,10 +40,11 @@ def brute_outline(obj, spec):
             (int((wy - spec.y_min) / spec.resolution), int((wx - spec.x_min) / spec.resolution))
         )
     for start, end in zip(corners, corners[1:] + corners[:1]):
+        flat = abs(end[0] - start[0]) >= abs(end[1] - start[1])
         for row, col in line_pixels(*start, *end):
-            for c in (col, col + 1):
-                if 0 <= row < spec.height and 0 <= c < spec.width:
-                    yield row, c
+            for r, c in ((row, col), (row + flat, col + (not flat))):
+                if 0 <= r < spec.height and 0 <= c < spec.width:
+                    yield r, c
 
 
 def test_painter_order_against_brute_force(spark):
@@ -111,9 +112,76 @@ def test_huge_boxes_and_unplaceable_ones(spark):
     assert drawn == {(0, row, col) for row in range(60) for col in (10, 11, 30, 31)}
 
 
-def test_glyphs_cover_labels():
-    assert set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789:_-. ?") == set(GLYPHS)
-    assert len(glyph_segments()) < 1000
+def test_axis_parallel_boxes_have_four_edges_of_two_pixels(spark):
+    objects = spark.createDataFrame([("a", 0, 1, "car", 3.05, 0.05, 2.0, 1.0, 0.0)], SCHEMA)
+    drawn = {(r.px_row, r.px_col) for r in box_outline(objects, SPEC).collect()}
+    rows, cols = sorted({r for r, _ in drawn}), sorted({c for _, c in drawn})
+    assert (rows[0], rows[-1], cols[0], cols[-1]) == (20, 41, 15, 26)
+    middle = (rows[0] + rows[-1]) // 2, (cols[0] + cols[-1]) // 2
+    assert [c for c in cols if (middle[0], c) in drawn] == [15, 16, 25, 26]
+    assert [r for r in rows if (r, middle[1]) in drawn] == [20, 21, 40, 41]
+
+
+def test_arithmetic_of_a_line_stays_below_the_explode(spark):
+    text = plan(box_outline(spark.createDataFrame(OBJECTS, SCHEMA), SPEC))
+    above = text[: text.rindex("Generate explode(sequence")]
+    assert "decimal" in text.lower() and "decimal" not in above.lower()
+
+
+@pytest.mark.parametrize("y", [214748340.0, -214748340.0, 2.1e8])
+def test_no_place_of_a_box_fails_the_job(spark, y):
+    rows = [("a", 0, 123456789, "pedestrian", 3.0, y, 2.0, 1.0, 0.0), OBJECTS[1]]
+    objects = spark.createDataFrame(rows, SCHEMA)
+    assert {r.draw_ord for r in box_outline(objects, SPEC).collect()} == {1}
+    assert {r.draw_ord for r in label_strokes(objects, SPEC).collect()} == {1}
+
+
+def test_draw_ord_up_to_the_last_layer(spark):
+    last = MAX_DRAW_ORD
+    rows = [("a", n, n, c, 3.0, 0.0, 2.0, 1.0, 0.4) for n, c in ((last, "car"), (0, "cone"))]
+    painted = painted_pixels(spark.createDataFrame(rows, SCHEMA), SPEC).collect()
+    assert {(r.draw_ord, r.g) for r in painted} == {(last, 220)}
+
+
+@pytest.mark.parametrize("draw_ord", [MAX_DRAW_ORD + 1, 2**38, 2**62, -1, None])
+def test_other_draw_ords_are_refused(spark, draw_ord):
+    rows = [("a", draw_ord, 1, "car", 3.0, 0.0, 2.0, 1.0, 0.4), OBJECTS[1]]
+    with pytest.raises(Exception, match="draw_ord must be between"):
+        painted_pixels(spark.createDataFrame(rows, SCHEMA), SPEC).collect()
+
+
+def test_objects_are_exchanged_once_for_edges_and_letters(spark, points):
+    objects = spark.createDataFrame(OBJECTS, SCHEMA)
+    image = render_frames(points([(3.0, 0.0, 0.5, "a")]), objects, SPEC)
+    image.collect()
+    text = plan(image)
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    made = [line for line in final.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert [("ReusedExchange" in line) for line in made] == [False, True]
+
+
+def test_all_of_printable_ascii_has_a_glyph():
+    assert set(GLYPHS) == {chr(code) for code in range(32, 127)}
+    drawn = {code for code, *_ in glyph_segments()}
+    assert drawn == set(range(33, 127))
+    shapes = {}
+    for code, *line in glyph_segments():
+        shapes.setdefault(code, []).append(tuple(line))
+    assert len(set(map(tuple, shapes.values()))) == len(shapes)
+
+
+def test_letters_written_by_hand():
+    """Segments in pixels, 1.5 to a lattice unit, rows downwards from the baseline."""
+    by_code = {}
+    for code, *line in glyph_segments():
+        by_code.setdefault(chr(code), []).append(tuple(line))
+    assert by_code["L"] == [(0, -9, 0, 0), (0, 0, 6, 0)]
+    assert by_code["/"] == [(0, 0, 6, -9)]
+    assert by_code["T"] == [(0, -9, 6, -9), (3, -9, 3, 0)]
+    assert by_code["+"] == [(3, -7, 3, -1), (0, -4, 6, -4)]
+    assert by_code["-"] == [(0, -3, 6, -3)]
+    assert by_code["v"] == [(0, -6, 3, 0), (3, 0, 6, -6)]
+    assert by_code["7"] == [(0, -9, 6, -9), (6, -9, 1, 0)]
 
 
 def test_label_strokes_against_the_glyph_table(spark):
@@ -125,8 +193,8 @@ def test_label_strokes_against_the_glyph_table(spark):
     expected = sorted(
         ("t", 5 + at * ADVANCE + c0, 30 + r0, 5 + at * ADVANCE + c1, 30 + r1)
         for at, letter in enumerate("a:?")
-        for glyph, c0, r0, c1, r1 in glyph_segments()
-        if glyph == letter
+        for code, c0, r0, c1, r1 in glyph_segments()
+        if code == ord(letter)
     )
     assert got == expected
 

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import shutil
+
+import pytest
+from compare import difference
 from pyspark.sql import functions as F
 
 from rasterlark import points_to_bev
-from rasterlark.streaming import stream_bev
+from rasterlark.plans import catalog, oracle
+from rasterlark.streaming import read_windows, stream_bev, write_windows
 
 SCHEMA = "frame_id STRING, x FLOAT, y FLOAT, intensity FLOAT, at TIMESTAMP"
 
@@ -56,3 +61,40 @@ def test_closed_windows_equal_the_batch_raster_and_restarts_add_nothing(spark, t
     assert spark.read.parquet(out).filter("unix_seconds(window_start) = 0").count() == got.filter(
         "unix_seconds(window_start) = 0"
     ).count()
+
+
+def test_all_windows_whatever_the_batches(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    table = spark.range(1000).selectExpr(
+        "concat('f', id % 2) AS frame_id", "CAST(id % 13 AS FLOAT) AS x", "CAST(id % 5 AS FLOAT) AS y",
+        "CAST(id % 17 / 16D AS FLOAT) AS intensity", "timestamp_seconds(id * 7919 % 1000) AS at",
+    )
+    # Every file holds points of all times.
+    table.repartition(5).write.parquet(source)
+    for _ in range(2):
+        points = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        write_windows(points, "at", "100 seconds", out, checkpoint).awaitTermination()
+    keyed = table.withColumn("frame_id", F.concat_ws("/", "frame_id", F.expr("unix_seconds(at) div 100")))
+    expected = {tuple(r) for r in points_to_bev(keyed).collect()}
+    name = F.concat_ws("/", "frame_id", F.expr("unix_seconds(window_start) div 100"))
+    got = read_windows(spark, out).select(name, "cell_row", "cell_col", "gray").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    assert spark.read.parquet(out).select("batch").distinct().count() == 5
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_a_table_of_several_files(spark, tmp_path, files):
+    """The registered query over a folder, one file to a batch."""
+    given = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{given}/lineitem.parquet")
+    table.repartition(files).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sql = oracle.all_oracles()["bev_stream"].replace(
+        "FROM lineitem", f"FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')"
+    )
+    for name in ("supplier", "orders"):
+        shutil.copy(f"{given}/{name}.parquet", tmp_path)
+
+    def query(session, _):
+        return catalog.bev_stream(session, str(tmp_path))
+
+    assert difference(spark, given, query, sql) is None

@@ -29,7 +29,7 @@ from rasterlark.llm.encoding import encoder_for
 SEQUENCE = 2048  # tokens
 WINDOW = 32 * SEQUENCE  # tokens in which the target proportions hold
 QUEUES = 64  # sources with a queue of their own; the smaller ones share one
-BUCKET_DOCUMENTS = 2000  # documents whose order one task decides
+BUCKET_DOCUMENTS = 500  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
 WIDTH = 2  # bytes of a stored id
 ROWS_AT_ONCE = 2000

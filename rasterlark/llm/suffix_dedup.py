@@ -25,7 +25,7 @@ from rasterlark.llm.common import stored, tidy
 LENGTH = 400  # bytes of a repeated string
 GRAM = 64  # bytes of an anchor
 SEGMENT = 1 << 19  # bytes hashed together
-BLOCK = 700_000  # bytes sorted together; an anchor with more is refined
+BLOCK = 300_000  # bytes sorted together; an anchor with more is refined
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

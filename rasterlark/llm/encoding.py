@@ -21,6 +21,7 @@ BYTES_AT_ONCE = 8_000_000  # of texts
 REMEMBERED = 300_000  # parts a worker process keeps
 GROUP = 64  # parts in one call
 SLOTS = 1 << 20
+HASHED_AT_ONCE = 1 << 19  # bytes
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
 LATIN = 0xC8  # the first bytes of characters below U+0240 are no larger
 DOTTED = "İ".encode()
@@ -140,13 +141,17 @@ class Encoder:
     ) -> np.ndarray:
         """For each part an equal part that stands for all equal ones, by a hash
         table; equality is checked byte by byte."""
-        inner = np.arange(len(data), dtype=np.int32)
-        inner -= np.repeat(start.astype(np.int32), size)
-        inner &= len(self._powers) - 1
-        values = self._code[data]
-        values *= self._powers[inner]
-        hashed = np.add.reduceat(values, start)
-        del inner, values
+        hashed = np.empty(len(start), np.uint64)
+        cuts = np.unique(np.searchsorted(start, range(0, len(data), HASHED_AT_ONCE)))
+        cuts = np.append(cuts[cuts < len(start)], len(start))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low = start[a]
+            inner = np.arange(start[b - 1] + size[b - 1] - low, dtype=np.int32)
+            inner -= np.repeat((start[a:b] - low).astype(np.int32), size[a:b])
+            inner &= len(self._powers) - 1
+            values = self._code[data[low : low + len(inner)]]
+            values *= self._powers[inner]
+            hashed[a:b] = np.add.reduceat(values, start[a:b] - low)
         hashed ^= size.astype(np.uint64) << np.uint64(40)
         slot = ((hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
         slot = slot.astype(np.int64) % SLOTS
@@ -164,16 +169,18 @@ class Encoder:
             slot[open_] = (slot[open_] + 1) % SLOTS
         other = np.flatnonzero(first != np.arange(len(start)))
         unequal = size[other] != size[first[other]]
-        if not unequal.any():
-            length = size[other]
-            inner = np.arange(length.sum(), dtype=np.int32) - np.repeat(
-                (np.cumsum(length) - length).astype(np.int32), length
-            )
-            ours = data[np.repeat(start[other].astype(np.int32), length) + inner]
-            theirs = data[np.repeat(start[first[other]].astype(np.int32), length) + inner]
+        ends = np.cumsum(np.where(unequal, 0, size[other]))
+        steps = range(0, int(ends[-1]) if len(ends) else 0, HASHED_AT_ONCE)
+        cuts = np.append(np.unique(np.searchsorted(ends, steps)), len(other))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            some = a + np.flatnonzero(~unequal[a:b])
+            length = size[other[some]]
+            inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            ours = data[np.repeat(start[other[some]], length) + inner]
+            theirs = data[np.repeat(start[first[other[some]]], length) + inner]
             differ = ours != theirs
             if differ.any():
-                unequal[np.repeat(np.arange(len(other)), length)[differ]] = True
+                unequal[np.repeat(some, length)[differ]] = True
         first[other[unequal]] = other[unequal]
         return first
 

@@ -86,7 +86,8 @@ LISTED = [
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is bad if the label of its number says toxic or of low quality."""
+    """A page is bad if the label of its number says toxic or of low quality.
+    Every labelled page counts, also where pages share all tokens."""
     pages = table(spark, sf_dir, "pages")
     labels = (
         table(spark, sf_dir, "labels")
@@ -100,7 +101,8 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(labels, "page_id")
         .select(tokens.alias("tokens"), "bad")
     )
-    return url_rules.judge_urls(pages, url_rules.mine_rules(baskets), LISTED)
+    rules = url_rules.mine_rules(baskets, copies=True)
+    return url_rules.judge_urls(pages, rules, LISTED)
 
 
 def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

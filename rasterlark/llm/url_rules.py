@@ -12,12 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rasterlark.llm.common import stored
 
 BAD = "label:bad"
-BASKET = 16  # tokens of a URL that take part in mining, the rarest first
 INDEX_ROWS = 50_000  # up to this many rules the index is broadcast
 
 
@@ -78,22 +76,24 @@ def mine_rules(
     min_support: float = 0.001,
     min_count: int = 20,
     min_confidence: float = 0.6,
+    copies: bool = False,
 ) -> DataFrame:
     """(rule_id, antecedent, index_token, confidence, count) from (tokens, bad).
 
-    Equal baskets of one label count once, so copies carry no weight. Support
-    is the share of baskets with tokens and label, at least `min_count` of
-    them. Tokens below the support are no part of any rule; of a basket's
-    others the BASKET rarest are mined, which bounds its combinations.
+    With `copies` every row counts; else equal baskets of one label count once.
+    Support is the share of baskets with tokens and label, at least `min_count`
+    of them. Tokens below the support are no part of any rule; all others are
+    mined, so baskets that share many frequent tokens have many combinations.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = stored(
-        baskets.where("size(tokens) > 0")
-        .select(F.array_sort("tokens").alias("tokens"), "bad")
-        .distinct(),
-        "url-baskets",
+    baskets = baskets.where("size(tokens) > 0").select(
+        F.array_sort("tokens").alias("tokens"), "bad"
     )
+    if not copies:
+        baskets = baskets.distinct()
+    baskets = baskets.withColumn("basket", F.monotonically_increasing_id())
+    baskets = stored(baskets, "url-baskets")
     schema = (
         "rule_id string, antecedent array<string>, index_token string, "
         "confidence double, count long"
@@ -109,13 +109,10 @@ def mine_rules(
     )
     # A token needs the support with the label: so does every rule with it.
     counts = stored(counts.where(F.col("n_bad") >= least), "url-tokens")
-    keyed = baskets.withColumn("basket", F.xxhash64("tokens", "bad"))
-    rarest = Window.partitionBy("basket").orderBy("n", "token")
+    frequent = F.broadcast(counts) if counts.count() <= INDEX_ROWS else counts
     items = (
-        keyed.select("basket", "bad", F.explode("tokens").alias("token"))
-        .join(counts, "token")
-        .withColumn("place", F.row_number().over(rarest))
-        .where(F.col("place") <= BASKET)
+        baskets.select("basket", "bad", F.explode("tokens").alias("token"))
+        .join(frequent.select("token"), "token")
         .groupBy("basket", "bad")
         .agg(F.collect_set("token").alias("items"))
         .select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlark.llm import url_rules
-from rasterlark.llm.queries import LISTED
+from rasterlark.llm.queries import LISTED, op6_url_rules
 
 PAGE = "page_id long, url string, html string, host string, rule string, key string"
 
@@ -102,3 +102,25 @@ def test_nothing_to_mine(spark):
     rules = url_rules.mine_rules(few)
     assert rules.count() == 0
     assert url_rules.judge_urls(pages(spark, []), rules, LISTED).count() == 0
+
+
+def test_numbered_pages_of_one_template_count_each(spark, tmp_path):
+    urls = [f"http://spam.de/en/{i}" for i in range(3001)]
+    urls += [f"http://good.de/a/{i}" for i in range(3000)] + ["http://spam.de/en/99999"]
+    pages(spark, urls).write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(i, int(i < 3000), 1) for i in range(6001)]  # the last page has no label
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    frame.write.parquet(str(tmp_path / "labels.parquet"))
+    found = {r.page_id: r for r in op6_url_rules(spark, str(tmp_path)).collect()}
+    assert found[6001].verdict == "block" and found[6001].confidence == 3000 / 3001
+    assert all((r.verdict == "block") == (i < 3001 or i == 6001) for i, r in found.items())
+
+
+def test_all_tokens_of_a_wide_basket_count(spark):
+    wide = [f"t{i:02}" for i in range(20)]
+    baskets = [(wide, True)] + [([t], True) for t in wide for _ in range(4)]
+    baskets += [(["t00"], True)] * 5 + [(["t00"], False)] * 2
+    frame = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    rules = url_rules.mine_rules(frame, min_support=0.0, min_count=5, copies=True)
+    found = {tuple(r.antecedent): (r["count"], r.confidence) for r in rules.collect()}
+    assert found == {("t00",): (10, 10 / 12)} | {(t,): (5, 1.0) for t in wide[1:]}

@@ -11,6 +11,7 @@ more than a word.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -20,7 +21,7 @@ from rasterlark.llm.common import shelf
 BYTES_AT_ONCE = 8_000_000  # of texts
 REMEMBERED = 300_000  # parts a worker process keeps
 GROUP = 64  # parts in one call
-SLOTS = 1 << 20
+SLOTS = 1 << 20  # of a hash table at first; it grows with the distinct parts
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
 LATIN = 0xC8  # the first bytes of characters below U+0240 are no larger
 DOTTED = "İ".encode()
@@ -61,6 +62,24 @@ def part_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def pieces_of(text: bytes) -> Iterator[bytes]:
+    """The text, cut where parts start into pieces of at most BYTES_AT_ONCE;
+    only a part that is longer makes a longer piece."""
+    data = np.frombuffer(text, np.uint8)
+    low = 0
+    while len(text) - low > BYTES_AT_ONCE:
+        size = BYTES_AT_ONCE
+        starts = part_starts(data[low : low + size + 1], np.zeros(1, np.int64))[1:][-1:]
+        while not len(starts) and low + size < len(text):
+            size *= 2
+            starts = part_starts(data[low : low + size + 1], np.zeros(1, np.int64))[1:2]
+        if not len(starts):
+            break
+        yield text[low : low + int(starts[0])]
+        low += int(starts[0])
+    yield text[low:]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -135,6 +154,30 @@ class Encoder:
 
     # -- texts ----------------------------------------------------------------
 
+    def _heads(self, hashed: np.ndarray, slots: int) -> np.ndarray | None:
+        """For each part the first of the same hash; None if the distinct ones
+        fill more than half of that many slots, a power of two, and some are
+        left without one."""
+        slot = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        slot = (slot >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+        first = np.full(len(hashed), -1)
+        table = np.full(slots, -1)
+        open_ = np.arange(len(hashed))
+        filled = 0
+        while len(open_):
+            if 2 * filled > slots:
+                return None
+            at = slot[open_]
+            free = table[at] < 0
+            table[at[free][::-1]] = open_[free][::-1]
+            head = table[at]
+            filled += int((head == open_).sum())
+            hit = hashed[head] == hashed[open_]
+            first[open_[hit]] = head[hit]
+            open_ = open_[~hit]
+            slot[open_] = (slot[open_] + 1) % slots
+        return first
+
     def _first_of_equals(
         self, data: np.ndarray, start: np.ndarray, size: np.ndarray
     ) -> np.ndarray:
@@ -148,20 +191,9 @@ class Encoder:
         hashed = np.add.reduceat(values, start)
         del inner, values
         hashed ^= size.astype(np.uint64) << np.uint64(40)
-        slot = ((hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
-        slot = slot.astype(np.int64) % SLOTS
-        first = np.full(len(start), -1)
-        table = np.full(SLOTS, -1)
-        open_ = np.arange(len(start))
-        while len(open_):
-            at = slot[open_]
-            free = table[at] < 0
-            table[at[free][::-1]] = open_[free][::-1]
-            head = table[at]
-            hit = hashed[head] == hashed[open_]
-            first[open_[hit]] = head[hit]
-            open_ = open_[~hit]
-            slot[open_] = (slot[open_] + 1) % SLOTS
+        slots = SLOTS
+        while (first := self._heads(hashed, slots)) is None:
+            slots *= 4
         other = np.flatnonzero(first != np.arange(len(start)))
         unequal = size[other] != size[first[other]]
         if not unequal.any():
@@ -182,6 +214,11 @@ class Encoder:
         out: list[bytes] = []
         low = size = 0
         for high, text in enumerate(raw):
+            if len(text) > BYTES_AT_ONCE:
+                out += self._some(raw[low:high])
+                out.append(b"".join(self._some([piece])[0] for piece in pieces_of(text)))
+                low, size = high + 1, 0
+                continue
             if high > low and size + len(text) > BYTES_AT_ONCE:
                 out += self._some(raw[low:high])
                 low, size = high, 0

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rasterlark.llm import packing, token_files
+from rasterlark.llm import encoding, packing, token_files
 from rasterlark.llm.encoding import Encoder
 
 FILES = {True: "byte_bpe_50k.json", False: "word_bpe_49k.json"}
@@ -47,6 +47,31 @@ def test_parts_give_the_ids_of_the_whole_text(keeps_space, texts):
     assert got == [plainly(plain, t) for t in texts]
 
 
+@pytest.mark.parametrize("keeps_space", [True, False])
+def test_long_texts_and_many_distinct_parts(keeps_space, monkeypatch):
+    monkeypatch.setattr(encoding, "SLOTS", 16)
+    monkeypatch.setattr(encoding, "BYTES_AT_ONCE", 500)
+    encoder, plain = both(keeps_space)
+    texts = ["a", " ".join(map(str, range(3000))), "x" * 2000, "y " + "É" * 900 + " z. Q,\u0301\n\n  b\xa0 c " * 90]
+    texts += [None, "", "one two", "日本\u3000 " * 400 + "!"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [plainly(plain, t) for t in texts]
+    for text in texts:
+        pieces = list(encoding.pieces_of((text or "").encode()))
+        assert b"".join(pieces).decode() == (text or "")
+        for piece in pieces:
+            starts = encoding.part_starts(np.frombuffer(piece, np.uint8), np.arange(bool(piece)))
+            assert len(piece) <= 500 or len(starts) == 1
+
+
+def test_a_text_with_over_a_million_distinct_parts():
+    encoder, plain = both(True)
+    text = " ".join(map(str, range(1_300_000)))
+    assert len(text) > encoding.BYTES_AT_ONCE
+    (got,) = encoder.encode([text])
+    assert np.frombuffer(got, "<u4").tolist() == plainly(plain, text)
+
+
 def test_token_files_round_trip(spark, documents, awkward, tmp_path):
     directory = str(tmp_path / "tokens")
     path = public_tokenizers.path(FILES[True])

@@ -14,7 +14,7 @@ which two-level prefix sums give, and the totals of the queues.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from rasterlark.llm.encoding import encoder_for
 
 SEQUENCE = 2048  # tokens
 WINDOW = 32 * SEQUENCE  # tokens in which the target proportions hold
-QUEUES = 64  # sources with a queue of their own; the smaller ones share one
+CELLS = 1 << 20  # windows times queues looked at together
 BUCKET_DOCUMENTS = 500  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
 WIDTH = 2  # bytes of a stored id
@@ -57,9 +57,13 @@ def schedule(totals: np.ndarray, shares: np.ndarray, window: int = WINDOW) -> li
     A queue whose share is zero waits until the others are empty; then those
     left share by what they hold.
     """
+    return list(epochs_of(totals, shares, window))
+
+
+def epochs_of(totals: np.ndarray, shares: np.ndarray, window: int) -> Iterator[Epoch]:
+    """The same one after another: with many queues all are not kept at once."""
     totals, shares = np.asarray(totals, np.int64), np.asarray(shares, float)
     first, carried, base = np.zeros_like(totals), np.zeros_like(totals), 0
-    epochs = []
     while (left := totals - first).any():
         weight = np.where(left > 0, shares, 0.0)
         if not weight.any():
@@ -72,15 +76,14 @@ def schedule(totals: np.ndarray, shares: np.ndarray, window: int = WINDOW) -> li
         rounds = int(windows.min())
         due = np.where(active, (carried + rounds * quantum) >> FRACTION, 0)
         amount = np.minimum(due, left)
-        epochs.append(Epoch(first.copy(), amount, quantum, carried.copy(), base))
+        yield Epoch(first.copy(), amount, quantum, carried.copy(), base)
         carried = np.where(active, (carried + rounds * quantum) & ((1 << FRACTION) - 1), carried)
         first = first + amount
         base += int(amount.sum())
-    return epochs
 
 
 def place(
-    epochs: list[Epoch], queue: np.ndarray, start: np.ndarray, size: np.ndarray
+    epochs: Iterable[Epoch], queue: np.ndarray, start: np.ndarray, size: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs (row, start in row, length, place in the mixed stream) of documents
     that lie at `start` of their queues."""
@@ -98,17 +101,35 @@ def place(
             due = ((token + 1) << FRACTION) - epoch.carried[q]
             return np.maximum(-(-due // epoch.quantum[q]) - 1, 0)
 
+        # Of a queue with less than a token a window many windows hold none, so
+        # its tokens are taken one by one.
+        times = np.where(epoch.quantum[q] < 1 << FRACTION, high - low, 1)
+        if (times > 1).any():
+            at = np.repeat(np.arange(len(row)), times)
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            low, high = low[at] + inner, np.where(times[at] > 1, low[at] + inner + 1, high[at])
+            row, q = row[at], q[at]
         w0, w1 = window_of(low, q), window_of(high - 1, q)
         times = w1 - w0 + 1
         at = np.repeat(np.arange(len(row)), times)
         w = np.repeat(w0, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        before, after = epoch.served(w), epoch.served(w + 1)
-        each = np.arange(len(at))
-        begin = np.maximum(low[at], before[each, q[at]])
-        end = np.minimum(high[at], after[each, q[at]])
-        handed = np.cumsum(after - before, axis=1) - (after - before)
-        place_ = epoch.base + before.sum(1) + handed[each, q[at]] + begin - before[each, q[at]]
-        found.append((row[at], begin + first[row[at]] - start[row[at]], end - begin, place_))
+        windows, number = np.unique(w, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        step = max(1, CELLS // len(epoch.quantum))
+        for least in range(0, len(windows), step):
+            part = windows[least : least + step]
+            before, after = epoch.served(part), epoch.served(part + 1)
+            handed = np.cumsum(after - before, axis=1) - (after - before)
+            handed += epoch.base + before.sum(1)[:, None] - before
+            ends = np.searchsorted(number[order], [least, least + len(part)])
+            here = order[ends[0] : ends[1]]
+            each, own, to = number[here] - least, q[at[here]], at[here]
+            begin = np.maximum(low[to], before[each, own])
+            end = np.minimum(high[to], after[each, own])
+            place_ = handed[each, own] + begin
+            start_ = begin + first[row[to]] - start[row[to]]
+            some = begin < end
+            found.append(tuple(x[some] for x in (row[to], start_, end - begin, place_)))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -168,33 +189,27 @@ def pack(
     offset, queue.
 
     `targets` gives sources' token shares; sources without one come last.
-    None takes the shares of the corpus, so that all queues end together. The
-    QUEUES - 1 largest sources, targets first, have queues of their own, the
-    rest share one. Null is a source. Documents of a queue go in the order of a
+    None takes the shares of the corpus, so that all queues end together. Every
+    source has a queue, those with targets come first, then the larger ones.
+    Null is a source. Documents of a queue go in the order of a
     seeded hash of doc_id; equal rows are packed as often as they occur.
     """
     targets = targets or {}
-    sizes = tokens.groupBy("source").agg(F.sum("size").alias("size"))
-    named = F.lit(False)
-    for source in targets:
-        named = named | F.col("source").eqNullSafe(F.lit(source))
-    largest = (
-        sizes.orderBy((~named).cast("int"), F.desc("size"), "source").limit(QUEUES - 1).collect()
+    sizes = tokens.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    sizes.sort(key=lambda r: (r.source not in targets, -r.size, r.source is not None, r.source or ""))
+    queues = tokens.sparkSession.createDataFrame(
+        [(r.source, i) for i, r in enumerate(sizes)], "named string, queue long"
     )
-    queue = F.lit(len(largest))
-    for i, row in enumerate(largest):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(row.source)), i).otherwise(queue)
     buckets = max(1, -(-tokens.count() // BUCKET_DOCUMENTS))
-    dealt = tokens.withColumn("queue", queue).withColumn(
+    dealt = tokens.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("named"))).withColumn(
         "order", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
     )
     dealt = dealt.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored(dealt.groupBy("queue", "bucket").agg(F.sum("size").alias("part")), "pack-parts")
-    totals_found = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("part").alias("n")).collect()}
-    totals = np.array([totals_found.get(i, 0) for i in range(len(largest) + 1)], np.int64)
+    totals = np.array([r.size for r in sizes], np.int64)
     if targets:
-        shares = np.array([targets.get(r.source, 0.0) for r in largest] + [0.0])
+        shares = np.array([targets.get(r.source, 0.0) for r in sizes])
     else:
         shares = totals.astype(float)
     bases = parts.select(
@@ -207,8 +222,6 @@ def pack(
         .join(bases, ["queue", "bucket"])
         .select("doc_id", "queue", (F.col("base") + F.col("inner")).alias("at"), "size", "ids")
     )
-    epochs = schedule(totals, shares, window)
-
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -217,7 +230,7 @@ def pack(
                     part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3)
                 )
                 row, start, length, number, offset = cut(
-                    *place(epochs, queues, at, size), sequence
+                    *place(epochs_of(totals, shares, window), queues, at, size), sequence
                 )
                 ids = [
                     np.frombuffer(x, f"<u{len(x) // n}").astype("<u4")

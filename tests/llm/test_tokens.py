@@ -208,3 +208,40 @@ def test_windows_hold_the_target_shares(documents, prose):
 def test_packing_nothing(documents):
     path = public_tokenizers.path(FILES[False])
     assert packing.pack_documents(documents([]), path).count() == 0
+
+
+@pytest.mark.parametrize("with_targets", [False, True])
+def test_every_window_holds_the_share_of_each_of_many_sources(spark, monkeypatch, with_targets):
+    monkeypatch.setattr(packing, "CELLS", 700)
+    ids = np.arange(40, dtype="<u2").tobytes()
+    rows = [(i, f"s{i % 300}" if i % 300 else None, 40, bytearray(ids)) for i in range(1200)]
+    schema = "doc_id long, source string, size long, ids binary"
+    tokens = packing.stored(spark.createDataFrame(rows, schema), "t")
+    wanted = {None if i == 0 else f"s{i}": 1 + i % 2 for i in range(200)}
+    found = packing.pack(tokens, wanted if with_targets else None, sequence=2000, window=6000)
+    found = found.collect()
+    assert sorted((r.doc_id, t) for r in found for t in range(r.start, r.start + r.length)) == [
+        (i, t) for i in range(1200) for t in range(40)
+    ]
+    assert all(r.length > 0 for r in found)
+    held = defaultdict(Counter)
+    for r in found:
+        held[(r.sequence_id * 2000 + r.offset) // 6000][r.doc_id % 300] += r.length
+    for number in range(4 if with_targets else 8):
+        for i in range(300):
+            share = (1 + i % 2) * (i < 200) / 300 if with_targets else 1 / 300
+            assert abs(held[number][i] - 6000 * share) <= 2
+
+
+def test_less_than_a_token_a_window():
+    totals, shares = [3, 400, 2, 50], [0.001, 0.9, 0.0004, 0.0986]
+    epochs = packing.schedule(np.array(totals), np.array(shares), window=16)
+    got = np.full(sum(totals), -1)
+    for queue, total in enumerate(totals):
+        (row, start, length, at) = packing.place(
+            epochs, np.array([queue]), np.array([0]), np.array([total])
+        )
+        assert (length > 0).all() and length.sum() == total
+        for n, a in zip(length, at):
+            got[a : a + n] = queue
+    assert got.tolist() == one_by_one(totals, shares, 16)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ from rasterlark.llm import (
     near_duplicates,
     outliers,
     packing,
+    periodic_runs,
     search,
     suffix_dedup,
     token_files,
+    toxicity,
     url_rules,
+    vector_codes,
 )
 from rasterlark.llm.common import fold, stored, table
 from rasterlark.sinks.scratch import scratch_directory
@@ -145,5 +149,64 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict_languages(tagged, model, ["doc_id", "held_out"])
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In a tenth of the documents, words that repeat themselves from a place on."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    cycle = words[a : a + p]
+    return words[:a] + (cycle * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), planted_period)
+    longest = F.array_max(
+        F.transform(
+            "runs",
+            lambda r: F.struct(
+                r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")
+            ),
+        )
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Label rows that are broadcast; more are joined by exchange.
+LABELS_AT_ONCE = 500_000
+
+
+def op12_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels of three folds in four, scores every document. A
+    quarter of the labelled documents of those folds is for calibration."""
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    labels = stored(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    if labels.count() <= LABELS_AT_ONCE:
+        labels = F.broadcast(labels)
+    half = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 4 % 4 = 1")
+    labelled = documents.select("doc_id", "text").join(labels, "doc_id")
+    model = toxicity.learn_toxicity(labelled.select("text", "toxic", half.alias("calibrates")))
+    rows = documents.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    return toxicity.score_texts(rows, model, ["doc_id", "held_out"])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def all_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -186,7 +186,9 @@ def _sequential(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _draws(blocks: DataFrame, mode: str) -> DataFrame:
+def draws_of(blocks: DataFrame, mode: str = "hashed") -> DataFrame:
+    """Blocks(frame_id, seed, block, block_start, points, ..) with a row for each
+    of their points: sample and the draws u0..u3."""
     if mode not in ("hashed", "sequential"):
         raise ValueError(f"unknown draw mode {mode!r}")
     chunks = _chunks(blocks)
@@ -220,10 +222,13 @@ def _narrow(values: dict[str, Column]) -> list[Column]:
 
 
 def background_points(
-    frames: DataFrame, scene: SceneSpec = DEFAULT_SCENE, mode: str = "hashed"
+    frames: DataFrame,
+    scene: SceneSpec = DEFAULT_SCENE,
+    mode: str = "hashed",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Uniform noise for frames(frame_id, seed): (frame_id, point_id, x, y, z,
-    intensity)."""
+    intensity), and hashed points also the columns `keep` of their block."""
     blocks = frames.select(
         "frame_id",
         F.col("seed").cast("bigint").alias("seed"),
@@ -235,8 +240,8 @@ def background_points(
         name: between(F.col(unit), *scene.background_ranges[name])
         for name, unit in zip(("x", "y", "z", "intensity"), AXES)
     }
-    return _draws(blocks, mode).select(
-        "frame_id", F.col("sample").alias("point_id"), *_narrow(values)
+    return draws_of(blocks, mode).select(
+        "frame_id", F.col("sample").alias("point_id"), *_narrow(values), *keep
     )
 
 
@@ -261,7 +266,7 @@ def sample_points_for_box(
         F.lit(0).cast("bigint").alias("block_start"),
         num_points.cast("bigint").alias("points"),
     )
-    return _draws(blocks, "hashed").select(
+    return draws_of(blocks, "hashed").select(
         "frame_id", "draw_ord", "sample", *_narrow(_inside_box(scene))
     )
 
@@ -298,7 +303,7 @@ def object_points(
             *(f"o.{c}" for c in ("x", "y", "length", "width", "yaw")),
         )
     )
-    return _draws(blocks, mode).select(
+    return draws_of(blocks, mode).select(
         "frame_id",
         (F.col("block_start") + F.col("sample")).alias("point_id"),
         *_narrow(_inside_box(scene)),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.operators import boxes, generate, raster, render
+from rasterlark.operators import boxes, generate, kalman, matching, overlap, raster, render, scan
 from rasterlark.plans.fixtures import stream_view, view
 from rasterlark.sinks import (
     decode_png,
@@ -154,6 +154,71 @@ def box_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.box_labels(view(spark, sf_dir, "objects_v"))
 
 
+# -- boxes, points and other boxes -------------------------------------------------
+
+
+@_register
+def points_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.remove_inside(
+        view(spark, sf_dir, "points_v"), view(spark, sf_dir, "objects_v")
+    ).select("frame_id", "x", "y")
+
+
+@_register
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.box_overlaps(view(spark, sf_dir, "detections_v")).select(
+        "frame_id",
+        "id_a",
+        "id_b",
+        F.round("intersection", 6).alias("intersection"),
+        F.round("iou", 6).alias("iou"),
+    )
+
+
+@_register
+def box_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.suppress(view(spark, sf_dir, "detections_v"), least_iou=0.3).select(
+        "frame_id", "id", "class_name", "score"
+    )
+
+
+@_register
+def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of even number matched with those of odd number, frame by frame."""
+    boxes_v = view(spark, sf_dir, "detections_v")
+    pairs = matching.gated_pairs(boxes_v.where("id % 2 = 0"), boxes_v.where("id % 2 = 1"), 2.5)
+    return matching.match(pairs)
+
+
+@_register
+def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kalman.filter_tracks(view(spark, sf_dir, "tracks_v"))
+    numbers = ("x", "vx", "y", "vy", "var_place", "var_velocity")
+    return found.select("track_id", "frame_id", *(F.round(n, 6).alias(n) for n in numbers))
+
+
+# -- the sensor's view --------------------------------------------------------------
+
+
+@_register
+def visible_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of bins of a degree, what lies within a metre behind the nearest point."""
+    points = view(spark, sf_dir, "scans_v")
+    return scan.visible_points(points, azimuths=360, elevations=180, thickness=1.0).select(
+        "frame_id", "point_id", "range_mm", "azimuth", "elevation"
+    )
+
+
+@_register
+def visible_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.sample_visible_sides(view(spark, sf_dir, "objects_v"))
+
+
+@_register
+def ground_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.ground_points(view(spark, sf_dir, "frames_v"))
+
+
 # -- drawing ----------------------------------------------------------------
 
 

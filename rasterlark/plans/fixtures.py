@@ -60,6 +60,32 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "yaw": "(s_suppkey % 63)/10D - 3.1D",
         },
     ),
+    # Groups of eight boxes close together, groups 20 m apart; a third of all
+    # boxes in frame 0.
+    "detections_v": (
+        "orders",
+        {
+            "frame_id": "CASE WHEN o_custkey % 3 = 0 THEN 0L ELSE o_orderkey div 800 + 1 END",
+            "id": "o_orderkey",
+            "class_name": "CASE WHEN o_custkey % 2 = 0 THEN 'car' ELSE 'bus' END",
+            "x": "(o_orderkey div 8) % 1000 * 20D + (o_custkey % 7) * 0.7D",
+            "y": "(o_orderkey div 8) div 1000 * 20D + (o_custkey % 5) * 0.5D",
+            "length": "3.5D + (o_custkey % 4) * 0.25D",
+            "width": "1.6D + (o_orderkey % 3) * 0.2D",
+            "yaw": "(o_custkey % 63)/10D - 3.1D",
+            "score": "(o_custkey % 97)/96D",
+        },
+    ),
+    # A third of all observations in track 0; frames with gaps.
+    "tracks_v": (
+        "orders",
+        {
+            "track_id": "CASE WHEN o_custkey % 3 = 0 THEN 0L ELSE o_custkey END",
+            "frame_id": "o_orderkey",
+            "x": "o_orderkey * 0.05D + ((o_custkey*31 + o_orderkey*17) % 100)/100D",
+            "y": "((o_orderkey*7919 + o_custkey*13) % 1000)/250D",
+        },
+    ),
     "frames_v": (
         "supplier",
         {"frame_id": "s_suppkey", "seed": "s_suppkey + 7"},

@@ -8,6 +8,7 @@ DuckDB rounds in CAST, hence trunc() wherever a number is narrowed to INTEGER.
 from __future__ import annotations
 
 from rasterlark.operators.glyphs import ADVANCE, FALLBACK, glyph_segments
+from rasterlark.plans.oracle_boxes import SIDE_PLACES, SIDES, box_oracles, ground_sql
 from rasterlark.spec import (
     BACKGROUND_POINTS,
     BACKGROUND_RANGES,
@@ -597,4 +598,14 @@ SELECT CAST(epoch(window_start) AS BIGINT) AS window_start,
        CAST(trunc(least(255::FLOAT, greatest(0::FLOAT, max(intensity) * 255::FLOAT))) AS INTEGER) AS gray
 FROM windowed
 GROUP BY ALL""",
-    }
+        "visible_sides": f"WITH {OBJECTS_V},\n{SIDES.format(count=COUNT)},\n"
+        f"{draws('side_blocks')},\n{SIDE_PLACES}\n"
+        "SELECT frame_id, draw_ord, sample, side, CAST(x + cos(yaw) * lx - sin(yaw) * ly AS FLOAT) AS x,\n"
+        "CAST(y + sin(yaw) * lx + cos(yaw) * ly AS FLOAT) AS y,\n"
+        f"{_stretch('u2', *OBJECT_Z_RANGE)} AS z, {_stretch('u3', *OBJECT_INTENSITY_RANGE)} AS intensity\n"
+        "FROM on_side",
+        "ground_background": f"WITH {FRAMES_V},\n{background_blocks},\n{draws('background_blocks')},\n"
+        f"flat AS (SELECT frame_id, seed, sample AS point_id, {BACKGROUND_COLUMNS} FROM drawn),\n"
+        f"{ground_sql(hashed, SPARK_HASH_SEED)}\n"
+        "SELECT frame_id, point_id, x, y, z, intensity FROM raised",
+    } | box_oracles(POINTS_V, OBJECTS_V, SCANS_V)

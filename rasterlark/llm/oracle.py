@@ -309,6 +309,64 @@ SELECT doc_id, domain, lang, source, n_tokens, copies FROM taken WHERE copies >
     )
 
 
+# -- vector codes -------------------------------------------------------------------
+# Distances from inner products: whole numbers below 2**53 are exact as DOUBLE.
+
+
+def code_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    def nearest(name: str, book: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+  SELECT a.r, a.p, min({{'d': a.n2 - 2 * list_inner_product(a.v, b.v) + b.n2, 'e': b.e}}) AS best
+  FROM parts a JOIN {book} b ON a.p = b.p GROUP BY a.r, a.p
+)"""
+
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+  SELECT r, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS v
+  FROM kept, range({parts}) AS t(p)
+), parts AS MATERIALIZED (
+  SELECT *, list_inner_product(v, v) AS n2 FROM cut
+), book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v, n2 FROM parts WHERE r <= {entries})"""
+    ]
+    for i in range(rounds):
+        steps += [
+            nearest(f"near{i}", f"book{i}"),
+            f"""sums{i} AS (
+  SELECT p, e, i, sum(c) AS s, count(*) AS n FROM (
+    SELECT n.p, n.best.e AS e, generate_subscripts(a.v, 1) AS i, unnest(a.v)::BIGINT AS c
+    FROM near{i} n JOIN parts a ON a.r = n.r AND a.p = n.p)
+  GROUP BY p, e, i
+), mean{i} AS (
+  SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM sums{i} GROUP BY p, e
+), book{i + 1} AS MATERIALIZED (
+  SELECT *, list_inner_product(v, v) AS n2 FROM (
+    SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN mean{i} m ON b.p = m.p AND b.e = m.e)
+)""",
+        ]
+    steps += [
+        nearest("last", f"book{rounds}"),
+        f"""coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM last GROUP BY r
+), hashed AS (
+  SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (
+    SELECT p, e, generate_subscripts(v, 1) AS i, unnest(v) AS c FROM book{rounds})
+)""",
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       h AS codebooks_sha256
+FROM kept JOIN coded USING (r), hashed"""
+    )
+
+
 def all_oracles() -> dict[str, str]:
     from rasterlark.llm.outliers import CORE, core_factor
 
@@ -317,4 +375,5 @@ def all_oracles() -> dict[str, str]:
         "op4_robust_outliers": outlier_sql(factor=core_factor(CORE)),
         "op6_url_rules": URL_RULES,
         "op8_hierarchical_budget": budget_sql(),
+        "op13_vector_codes": code_sql(),
     }

@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from rasterlark.llm import periodic_runs, queries
+
+
+def brute(words, least=12):
+    """Every maximal stretch of every period, and whether the period is smallest."""
+    ids = np.unique(np.array(words, object), return_inverse=True)[1] if words else np.zeros(0, int)
+    found = []
+    for q in range(1, len(words) // 2 + 1):
+        same = np.concatenate([[0], (ids[:-q] == ids[q:]).astype(int), [0]])
+        for s, e in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)):
+            part = ids[s : e + q]
+            if len(part) >= max(least, 2 * q) and not any(
+                (part[:-p] == part[p:]).all() for p in range(1, q)
+            ):
+                found.append((int(s), len(part), q))
+    return sorted(found)
+
+
+def numbers(words):
+    return np.unique(np.array(words, object), return_inverse=True)[1].astype(np.int64)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 8])
+def test_random_words(letters):
+    rng = random.Random(letters)
+    for n in (0, 1, 11, 12, 13, 40, 200):
+        words = [str(rng.randrange(letters)).encode() for _ in range(n)]
+        ids = numbers(words) if n else np.zeros(0, np.int64)
+        assert periodic_runs.find_in(ids, n) == brute(words)
+
+
+def test_planted_runs_of_all_periods():
+    rng = random.Random(9)
+    for q in (1, 2, 5, 6, 7, 12, 13, 14, 38, 39, 90, 200):
+        unit = [f"u{i}" for i in range(q)]
+        for length in (max(12, 2 * q), max(12, 2 * q) - 1, 3 * q + 12):
+            body = (unit * (length // q + 1))[:length]
+            words = [f"a{rng.random()}" for _ in range(30)] + body + ["z", *unit[: q // 2]]
+            assert periodic_runs.find_in(numbers(words), len(words)) == brute(words)
+
+
+def test_fibonacci_words_and_nested_periods():
+    a, b = "a", "ab"
+    for _ in range(11):
+        a, b = b, b + a
+    for text in (b, ("a" * 5 + "b") * 40 + "c" + "ab" * 30, "ab" * 9 + "abc" * 9 + "abcabcd" * 7):
+        words = list(text)
+        assert periodic_runs.find_in(numbers(words), len(words)) == brute(words)
+
+
+def test_small_batches_of_transforms(monkeypatch):
+    monkeypatch.setattr(periodic_runs, "CELLS", 64)
+    words = list("abcabcabcabcxx" * 6)
+    assert periodic_runs.find_in(numbers(words), len(words)) == brute(words)
+
+
+def test_transform_is_exact():
+    rng = np.random.default_rng(1)
+    blocks, windows = rng.integers(0, 50, (5, 8)), rng.integers(0, 50, (5, 32))
+    blocks, windows = blocks.astype(np.uint64), windows.astype(np.uint64)
+    assert (periodic_runs.restore(periodic_runs.transform(windows)) == windows).all()
+    found = periodic_runs.mismatches(blocks, windows)
+    for row in range(5):
+        for o in range(25):
+            apart = blocks[row].astype(int) - windows[row, o : o + 8].astype(int)
+            assert found[row, o] == (apart**2).sum()
+
+
+def expected(key, text):
+    words = (text or "").encode().split()
+    n, h = len(words), zlib.crc32(b"" if key is None else str(key).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = brute(words)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+    return (
+        key,
+        len(runs),
+        *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4),
+        hashlib.sha256(lines.encode()).hexdigest(),
+        hashlib.sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest(),
+    )
+
+
+def test_query_equals_brute_force(spark, documents, awkward, prose, monkeypatch, tmp_path):
+    monkeypatch.setattr(periodic_runs, "WORDS_AT_ONCE", 500)
+    rows = [r if r[0] != 6 else (6, prose(3000, 5), "en", "b") for r in awkward]
+    rows += [(i, prose(60 + i, i)) for i in range(100, 160)]
+    rows += [(200, "go " * 40), (201, "a b c d e f g " * 5 + "x y " * 9), (202, "a a " * 12)]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [tuple(r) for r in queries.op11_periodic_runs(spark, str(tmp_path)).collect()]
+    wanted = [expected(r[0], r[1]) for r in rows]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+    assert sum(r[1] > 0 for r in found) > 5
+
+
+def test_empty_table(spark, documents):
+    assert periodic_runs.collapse_runs(documents([])).count() == 0

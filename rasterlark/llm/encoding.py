@@ -18,8 +18,9 @@ import numpy as np
 
 from rasterlark.llm.common import shelf
 
-BYTES_AT_ONCE = 8_000_000  # of texts
-REMEMBERED = 300_000  # parts a worker process keeps
+BYTES_AT_ONCE = 2_000_000  # of texts; hashing them takes some 25 times as many
+REMEMBERED = 40_000_000  # bytes of the parts a worker process keeps, with their ids
+PART_COST = 130  # bytes of a remembered part beside its own
 GROUP = 64  # parts in one call
 SLOTS = 1 << 20  # of a hash table at first; it grows with the distinct parts
 MARK = "\x01"  # stands between parts where the tokenizer drops white space
@@ -96,6 +97,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.known: dict[bytes, bytes] = {}
+        self.held = 0  # bytes, about
         self.common: set[bytes] = set()  # known parts that came again
         rng = np.random.default_rng(1)
         self._code = rng.integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -106,18 +108,23 @@ class Encoder:
             for token, i in vocabulary.items():
                 self.bytes[i] = len(token)
         else:
-            # Latin letters without marks of their own need no composition, only
-            # lower case, which is then the same in every library.
-            self.bare = Tokenizer.from_file(tokenizer_file)
-            self.bare.encode_special_tokens = True
-            self.bare.normalizer = None
+            self.normalizer = self.tokenizer.normalizer
             (self.mark,) = self._ids([MARK])[0]
 
     # -- parts and their ids --------------------------------------------------
 
     def _ids(self, texts: list[str], bare: bool = False) -> list[list[int]]:
-        tokenizer = self.bare if bare else self.tokenizer
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """`bare`: Latin letters without marks of their own need no composition,
+        only lower case, which is then the same in every library. One tokenizer
+        serves both, as a second one would take as much memory again."""
+        if bare:
+            self.tokenizer.normalizer = None
+        try:
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        finally:
+            if bare:
+                self.tokenizer.normalizer = self.normalizer
+        return [x.ids for x in encoded]
 
     def _alone(self, part: bytes) -> bytes:
         return np.array(self._ids([part.decode()])[0], "<u4").tobytes()
@@ -286,10 +293,12 @@ class Encoder:
         high = np.where(last >= 0, ends[last], 0)
         low = np.concatenate([[0], high[:-1]])
         stream = tokens.tobytes()
-        if len(known) > REMEMBERED:
+        self.held += sum(PART_COST + len(parts[i]) + len(ids[i]) for i in np.flatnonzero(fresh))
+        if self.held > REMEMBERED:
             self.known = {p: known[p] for p in self.common if p in known}
-            if len(self.known) > REMEMBERED // 2:
-                self.known, self.common = {}, set()
+            self.held = sum(PART_COST + len(p) + len(i) for p, i in self.known.items())
+            if self.held > REMEMBERED // 2:
+                self.known, self.common, self.held = {}, set(), 0
         return [stream[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())]
 
 

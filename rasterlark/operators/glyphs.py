@@ -134,26 +134,39 @@ def glyph_segments() -> list[tuple[int, int, int, int, int]]:
     return segments
 
 
+def glyph_pixels() -> list[tuple[int, int, int]]:
+    """(code, column, row) of the pixels of all strokes, relative to the anchor.
+    Step k of a stroke of n steps is at trunc(k * delta / n) from its start; a
+    pixel repeats where strokes meet."""
+    pixels = []
+    for code, c0, r0, c1, r1 in glyph_segments():
+        steps = max(abs(c1 - c0), abs(r1 - r0), 1)
+        for k in range(steps + 1):
+            places = (a + int(k * (b - a) / steps) for a, b in ((c0, c1), (r0, r1)))
+            pixels.append((code, *places))
+    return pixels
+
+
 def glyph_table(texts: DataFrame) -> DataFrame:
-    """(code, dc0, dr0, dc1, dr1) from one literal."""
-    words = " ".join(",".join(map(str, segment)) for segment in glyph_segments())
+    """(code, dc, dr) of each pixel, from one literal."""
+    words = " ".join(",".join(map(str, pixel)) for pixel in glyph_pixels())
     numbers = (
         f"cast(split_part(word, ',', {i}) as int) AS {name}"
-        for i, name in enumerate(("code", "dc0", "dr0", "dc1", "dr1"), start=1)
+        for i, name in enumerate(("code", "dc", "dr"), start=1)
     )
     one_row = texts.sparkSession.range(1, numPartitions=1)
     return one_row.selectExpr(f"explode(split('{words}', ' ')) AS word").selectExpr(*numbers)
 
 
-def glyph_strokes(texts: DataFrame) -> DataFrame:
-    """Lines of the texts: other columns of `texts` plus c0, r0, c1, r1.
+def glyph_places(texts: DataFrame) -> DataFrame:
+    """Pixels of the texts: other columns of `texts` plus row and col (BIGINT).
 
     `texts` has anchor_col, anchor_row (BIGINT; left end of the baseline) and
-    label. The stroke table is the constant above, so it is broadcast.
+    label. The table of pixels is the constant above, so it is broadcast.
     """
     keep = [c for c in texts.columns if c not in ("anchor_col", "anchor_row", "label")]
     spelled = texts.selectExpr(
-        *keep, "anchor_col", "anchor_row", "posexplode(split(label, '')) AS (place, letter)"
+        *keep, "anchor_col", "anchor_row", "posexplode_outer(split(label, '')) AS (place, letter)"
     ).selectExpr(
         *keep,
         f"anchor_col + place * {ADVANCE} AS pen_col",
@@ -162,9 +175,5 @@ def glyph_strokes(texts: DataFrame) -> DataFrame:
         f"WHEN letter <> '' THEN {ord(FALLBACK)} END AS code",
     )
     return spelled.join(F.broadcast(glyph_table(texts)), "code").selectExpr(
-        *keep,
-        "pen_col + dc0 AS c0",
-        "pen_row + dr0 AS r0",
-        "pen_col + dc1 AS c1",
-        "pen_row + dr1 AS r1",
+        *keep, "pen_row + dr AS row", "pen_col + dc AS col"
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rasterlark.functions import class_color, corner_pixels, pack_bgr, unpack_bgr
 from rasterlark.functions.color import Color
 from rasterlark.operators.boxes import label_text
-from rasterlark.operators.glyphs import glyph_strokes
+from rasterlark.operators.glyphs import glyph_places
 from rasterlark.operators.raster import (
     DEFAULT_GRID,
     pack_cell,
@@ -42,9 +42,15 @@ LINE_THICKNESS = 2
 PIXEL_GROWTH = 200
 
 
-def trace(
-    lines: DataFrame, spec: GridSpec, thickness: int, short: bool = False
-) -> DataFrame:
+def _in_grid(places: DataFrame, spec: GridSpec) -> DataFrame:
+    """Places row, col (BIGINT) that lie in the grid, as px_row and px_col."""
+    keep = [c for c in places.columns if c not in ("row", "col")]
+    return places.filter(
+        f"row BETWEEN 0 AND {spec.height - 1} AND col BETWEEN 0 AND {spec.width - 1}"
+    ).selectExpr(*keep, "int(row) AS px_row", "int(col) AS px_col")
+
+
+def trace(lines: DataFrame, spec: GridSpec, thickness: int) -> DataFrame:
     """Pixels of the lines (c0, r0) to (c1, r1) that lie in the grid.
 
     Adds px_row, px_col and drops the end points. Step k of a line of n steps
@@ -53,13 +59,16 @@ def trace(
     pixel number is not drawn. Places are BIGINT until they are known to be in
     the grid, so no line can overflow.
 
-    Only the steps that can be inside the grid are expanded, except for `short`
-    lines of a few pixels. The way to the first of them is taken once per line;
-    what is left per pixel is small.
+    Only the steps that can be inside the grid are expanded. The way to the first
+    of them is taken once per line; what is left per pixel is small.
     """
     ends = ("c0", "r0", "c1", "r1")
     keep = [c for c in lines.columns if c not in ends]
-    directed = lines.filter(" AND ".join(f"{e} IS NOT NULL" for e in ends)).selectExpr(
+    # A line without a pixel number has no places, and the last filter drops them.
+    # Here and in all explodes of drawing no earlier filter is stated, and the
+    # outer form keeps Spark from adding one on the exploded array: carried along
+    # as constraints, such filters took most of the planning.
+    directed = lines.selectExpr(
         *keep,
         "bigint(c0) AS c0",
         "bigint(r0) AS r0",
@@ -67,20 +76,7 @@ def trace(
         "bigint(r1) - r0 AS dr",
         "greatest(abs(bigint(c1) - c0), abs(bigint(r1) - r0), 1) AS steps",
     )
-    if short:
-        stepped = directed.selectExpr(
-            *keep,
-            "dc",
-            "dr",
-            "steps",
-            "c0 AS col_at",
-            "r0 AS row_at",
-            "0L AS col_rest",
-            "0L AS row_rest",
-            "explode(sequence(0L, steps)) AS step",
-        )
-    else:
-        stepped = _cut(directed, spec, thickness, keep)
+    stepped = _cut(directed, spec, thickness, keep)
     placed = stepped.selectExpr(
         *keep,
         "row_at + (row_rest + dr * step) div steps AS row",
@@ -95,9 +91,7 @@ def trace(
             "row + CASE WHEN flat THEN wide ELSE 0 END AS row",
             "col + CASE WHEN flat THEN 0 ELSE wide END AS col",
         )
-    return placed.filter(
-        f"row BETWEEN 0 AND {spec.height - 1} AND col BETWEEN 0 AND {spec.width - 1}"
-    ).selectExpr(*keep, "int(row) AS px_row", "int(col) AS px_col")
+    return _in_grid(placed.drop("flat"), spec)
 
 
 def _reach(axis: str, low: int, high: int) -> str:
@@ -137,10 +131,10 @@ def _cut(directed: DataFrame, spec: GridSpec, thickness: int, keep: list[str]) -
     line = "array(struct(c0, r0, dc, dr, steps))"
     for stage in stages:
         line = f"transform({line}, l -> struct({stage}))"
-    return directed.selectExpr(*keep, f"inline(filter({line}, l -> l.length >= 0))").selectExpr(
+    return directed.selectExpr(*keep, f"inline_outer(filter({line}, l -> l.length >= 0))").selectExpr(
         *keep,
         *("dc", "dr", "steps", "col_at", "row_at", "col_rest", "row_rest"),
-        "explode(sequence(0L, length)) AS step",
+        "explode_outer(sequence(0L, length)) AS step",
     )
 
 
@@ -175,7 +169,7 @@ def _placed(
         F.transform(F.array(F.lit(0)), lambda _: drawn).alias("drawn"),
     )
     return spread(corners, "frame_id", "draw_ord", growth=PIXEL_GROWTH).selectExpr(
-        "frame_id", "draw_ord", "inline(drawn)"
+        "frame_id", "draw_ord", "inline_outer(drawn)"
     )
 
 
@@ -185,7 +179,7 @@ def _outlines(placed: DataFrame, spec: GridSpec) -> DataFrame:
         for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))
     )
     lines = placed.selectExpr(
-        "frame_id", "draw_ord", "bgr", f"inline(array({', '.join(edges)}))"
+        "frame_id", "draw_ord", "bgr", f"inline_outer(array({', '.join(edges)}))"
     )
     return trace(lines, spec, LINE_THICKNESS)
 
@@ -199,7 +193,7 @@ def _letters(placed: DataFrame, spec: GridSpec) -> DataFrame:
         "bigint(r0) AS anchor_row",
         "label",
     )
-    return trace(glyph_strokes(texts), spec, thickness=1, short=True)
+    return _in_grid(glyph_places(texts), spec)
 
 
 def box_outline(

@@ -14,6 +14,7 @@ from contextlib import ExitStack
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterlark.sinks.files import absolute, create_directory, file_name, whole_file
 from rasterlark.spec import OBJECT_STRUCT
@@ -44,27 +45,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield row
 
 
-def _line_maker(per_line: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = None
+def _make_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A line for each run of rows with one frame and first place."""
+    document = None
 
-        def text() -> pa.RecordBatch:
-            line = json.dumps(document, ensure_ascii=False)
-            return pa.RecordBatch.from_pydict({"value": pa.array([line])})
+    def text() -> pa.RecordBatch:
+        line = json.dumps(document, ensure_ascii=False)
+        return pa.RecordBatch.from_pydict({"value": pa.array([line])})
 
-        for row in _rows(batches):
-            same = document is not None and document["frame_id"] == row["frame_id"]
-            if not same or len(document["objects"]) == per_line:
+    for batch in batches:
+        for row in batch.to_pylist():
+            of = row["frame_id"], row["first"]
+            if document is None or of != (document["frame_id"], document["first"]):
                 if document is not None:
                     yield text()
-                first = document["first"] + per_line if same else 0
-                document = {"frame_id": row["frame_id"], "first": first,
+                document = {"frame_id": row["frame_id"], "first": row["first"],
                             "total": row["total"], "objects": []}
             document["objects"].append({f: row[f] for f in FIELDS})
-        if document is not None:
-            yield text()
-
-    return make
+    if document is not None:
+        yield text()
 
 
 def write_object_lines(
@@ -72,17 +71,38 @@ def write_object_lines(
 ) -> None:
     """Replaces `path` by JSON lines: few, large files.
 
-    Each line holds up to `objects_per_line` objects of a frame in drawing
-    order, the place of its first object and the number of the frame's objects,
-    so no line grows without bound and a missing one shows when reading.
+    Each line holds `objects_per_line` objects of a frame in drawing order, the
+    last one the rest, with the place of its first object and the number of the
+    frame's objects, so no line grows without bound and a missing one shows when
+    reading. draw_ord must be unique within a frame.
+
+    A frame is cut into ranges of draw_ord, whose sizes added up give each object
+    its place; lines go by place. So a frame with very many objects is many tasks.
     """
-    rows = _checked(objects)
-    totals = rows.groupBy("frame_id").agg(F.count("*").alias("total"))
+    per_line = f"{objects_per_line}L"
+    keys = ["frame_id", "span"]
+    rows = _checked(objects).withColumn("span", F.expr(f"draw_ord div {per_line}"))
+    frame = Window.partitionBy("frame_id")
+    ahead = frame.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    spans = spans.select(
+        *keys,
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
+        F.sum("n").over(frame).alias("total"),
+    )
+    inner = Window.partitionBy(*keys).orderBy("draw_ord")
+    twice = "raise_error(concat('frame ', frame_id, ' has draw_ord ', draw_ord, ' twice'))"
+    placed = (
+        rows.join(spans, keys)
+        .withColumns({"rank": F.row_number().over(inner), "last": F.lag("draw_ord").over(inner)})
+        .withColumn("place", F.expr(f"IF(last = draw_ord, {twice}, before + rank - 1)"))
+        .withColumn("first", F.expr(f"place div {per_line} * {per_line}"))
+    )
     lines = (
-        rows.join(totals, "frame_id")
-        .repartition("frame_id")
-        .sortWithinPartitions("frame_id", "draw_ord")
-        .mapInArrow(_line_maker(objects_per_line), "value STRING")
+        placed.select("frame_id", "first", "place", "total", *FIELDS)
+        .repartition("frame_id", "first")
+        .sortWithinPartitions("frame_id", "first", "place")
+        .mapInArrow(_make_lines, "value STRING")
     )
     lines.write.mode("overwrite").option("lineSep", "\n").format("text").save(path)
 

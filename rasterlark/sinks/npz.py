@@ -16,6 +16,7 @@ import pyarrow as pa
 from numpy.lib import format as npy
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterlark.sinks.files import absolute, create_directory, file_name, whole_file
 
@@ -108,12 +109,13 @@ def write_npz(points: DataFrame, directory: str) -> tuple[int, int]:
         F.expr(f"coalesce(bigint(point_id), {refuse})").alias("point_id"),
         *(F.col(f).cast("double" if double else "float").alias(f) for f in FIELDS),
     )
-    sizes = rows.groupBy("frame_id").agg(F.count("*").alias("rows"))
+    # The header of an archive states the number of rows. The count is taken over
+    # the exchange and order that the files need anyway; Spark spills large frames.
+    frame = Window.partitionBy("frame_id").orderBy("point_id")
+    frame = frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     written = (
-        rows.join(sizes, "frame_id")
+        rows.withColumn("rows", F.count("*").over(frame))
         .select("frame_id", "point_id", *FIELDS, "rows")
-        .repartition("frame_id")
-        .sortWithinPartitions("frame_id", "point_id")
         .mapInArrow(_writer(directory, double), "files BIGINT, rows BIGINT")
         .agg(F.coalesce(F.sum("files"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)))
         .first()

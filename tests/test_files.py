@@ -165,6 +165,23 @@ def test_documents_of_many_objects(spark, tmp_path):
     assert bag(read_objects(spark, lines, multi_line=False)) == bag(ranked.select(*got.columns))
 
 
+def test_lines_of_a_frame_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Nearly all objects in one frame: no task makes more than its share of lines."""
+    objects = many_objects(spark, 4000).unionByName(
+        many_objects(spark, 5).withColumn("frame_id", F.lit("small"))
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_object_lines(objects, str(tmp_path / "lines"), objects_per_line=50)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.text(str(tmp_path / "lines")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 45
+    got = read_objects(spark, str(tmp_path / "lines"), multi_line=False)
+    ranked = objects.withColumn("draw_ord", F.expr("draw_ord div 3"))
+    assert bag(got) == bag(ranked.select(*got.columns))
+
+
 def test_missing_and_double_lines_fail(spark, tmp_path):
     write_object_lines(many_objects(spark), str(tmp_path / "all"), objects_per_line=10)
     lines = [r.value for r in spark.read.text(str(tmp_path / "all")).collect()]

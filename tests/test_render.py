@@ -6,7 +6,7 @@ import pytest
 from conftest import plan
 
 from rasterlark import CLASS_COLORS, GridSpec, draw_objects, painted_pixels, points_to_bev, render_frames
-from rasterlark.operators.glyphs import ADVANCE, GLYPHS, glyph_segments, glyph_strokes
+from rasterlark.operators.glyphs import ADVANCE, GLYPHS, glyph_pixels, glyph_places, glyph_segments
 from rasterlark.operators.render import MAX_DRAW_ORD, box_outline, label_strokes, trace
 
 SPEC = GridSpec.of((0.0, 6.0), (-2.0, 2.0), 0.1)
@@ -189,16 +189,34 @@ def test_label_strokes_against_the_glyph_table(spark):
         [("t", 5, 30, "a:é"), ("empty", 5, 30, " ")],
         "name STRING, anchor_col BIGINT, anchor_row BIGINT, label STRING",
     )
-    got = sorted((r.name, r.c0, r.r0, r.c1, r.r1) for r in glyph_strokes(texts).collect())
+    got = sorted((r.name, r.col, r.row) for r in glyph_places(texts).collect())
     expected = sorted(
-        ("t", 5 + at * ADVANCE + c0, 30 + r0, 5 + at * ADVANCE + c1, 30 + r1)
+        ("t", 5 + at * ADVANCE + col, 30 + row)
         for at, letter in enumerate("a:?")
-        for code, c0, r0, c1, r1 in glyph_segments()
+        for code, col, row in glyph_pixels()
         if code == ord(letter)
     )
     assert got == expected
 
 
+def test_pixels_of_strokes():
+    pixels = {}
+    for code, *place in glyph_pixels():
+        pixels.setdefault(chr(code), []).append(tuple(place))
+    assert pixels["-"] == [(c, -3) for c in range(7)]
+    assert pixels["|"] == [(3, r) for r in range(-9, 4)]
+    assert pixels["/"] == [(int(k * 6 / 9), -k) for k in range(10)]
+
+
+@pytest.mark.parametrize("drawing", [box_outline, label_strokes, render_frames])
+def test_planning_carries_no_large_constraints(spark, points, drawing):
+    """Filters on exploded arrays were what planning spent its time on."""
+    objects = spark.createDataFrame(OBJECTS, SCHEMA)
+    table = points([(3.0, 0.0, 0.5, "a")])
+    frame = drawing(table, objects) if drawing is render_frames else drawing(objects)
+    assert "size(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_image_is_the_same_from_points_and_from_a_raster(spark, points):
     table = points([(3.0, 0.0, 0.5, "a"), (0.05, 1.95, 0.9, "a"), (1.0, 1.0, 0.7, "c")])
     objects = spark.createDataFrame(OBJECTS, SCHEMA)

@@ -164,10 +164,11 @@ def predict_languages(
     learned, get `und`, score 0 and empty lists. Repeated rows stay repeated.
     """
     spark = documents.sparkSession
-    shipped = spark.sparkContext.broadcast(model)
+    # Plain arrays: workers may lack this package, and with it the model's class.
+    shipped = spark.sparkContext.broadcast((model.languages, model.log_p))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, log_p = shipped.value.languages, shipped.value.log_p
+        languages, log_p = shipped.value
         p = np.exp(log_p)
         for batch in batches:
             names, scores, sets, shares = [], [], [], []

@@ -47,6 +47,11 @@ class Pieces:
     ids: np.ndarray
     longest: int
 
+    def plain(self) -> tuple:
+        """The fields, to be broadcast: workers may lack this package, and with it
+        this class, which tasks make anew."""
+        return self.pieces, self.log_p, self.log_stop, self.keys, self.ids, self.longest
+
     @property
     def starts(self) -> np.ndarray:
         return np.array([p.startswith(b" ") for p in self.pieces])
@@ -263,15 +268,16 @@ def estimate(types: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
     """Re-estimates the weights on distinct words, each counted once, because it
     is new words that are spelt. Only sums per piece reach the driver."""
     for _ in range(rounds):
-        shipped = types.sparkSession.sparkContext.broadcast(pieces)
+        shipped = types.sparkSession.sparkContext.broadcast(pieces.plain())
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, words = np.zeros(len(shipped.value.pieces)), 0
+            pieces = Pieces(*shipped.value)
+            sums, words = np.zeros(len(pieces.pieces)), 0
             for batch in batches:
                 whole = batch.column(0).to_pylist()
                 words += len(whole)
                 for low in range(0, len(whole), WORDS_AT_ONCE):
-                    sums += expected_counts(whole[low : low + WORDS_AT_ONCE], shipped.value)
+                    sums += expected_counts(whole[low : low + WORDS_AT_ONCE], pieces)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -322,14 +328,15 @@ def score_texts(documents: DataFrame, pieces: Pieces, frequent: int = FREQUENT)
     # The share of words seen once estimates how often a word is new.
     spelt = (once + 1) / (word_tokens + 2)
     base_total = tokens + distinct + 1
-    shipped = spark.sparkContext.broadcast(pieces)
+    shipped = spark.sparkContext.broadcast(pieces.plain())
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(*shipped.value)
         for batch in batches:
             words, n = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             whole = words.to_pylist()
             marginal = [
-                log_marginals(whole[low : low + WORDS_AT_ONCE], shipped.value)
+                log_marginals(whole[low : low + WORDS_AT_ONCE], pieces)
                 for low in range(0, len(whole), WORDS_AT_ONCE)
             ]
             logs = np.concatenate(marginal) if marginal else np.zeros(0)

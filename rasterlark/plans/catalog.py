@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlark.operators import boxes, generate, kalman, matching, overlap, raster, render, scan
+from rasterlark.operators import boxes, generate, kalman, matching, overlap, raster, render, scan, tracking
 from rasterlark.plans.fixtures import stream_view, view
 from rasterlark.sinks import (
     decode_png,
@@ -197,6 +197,13 @@ def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", "frame_id", *(F.round(n, 6).alias(n) for n in numbers))
 
 
+@_register
+def tracked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.track_objects(view(spark, sf_dir, "sightings_v")).select(
+        "scene_id", "frame_id", "id", "track", "hits", "confirmed"
+    )
+
+
 # -- the sensor's view --------------------------------------------------------------
 
 

@@ -86,6 +86,17 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "y": "((o_orderkey*7919 + o_custkey*13) % 1000)/250D",
         },
     ),
+    # Scenes of 100 frames with five objects far apart, a quarter not seen.
+    "sightings_v": (
+        "orders",
+        {
+            "scene_id": "o_orderkey div 500",
+            "frame_id": "o_orderkey % 500 div 5",
+            "id": "IF(o_custkey % 4 = 0, NULL, o_orderkey)",
+            "x": "o_orderkey % 5 * 50D + (o_orderkey % 500 div 5) * 0.5D + (o_custkey % 7) * 0.05D",
+            "y": "o_orderkey % 5 * 10D - (o_orderkey % 500 div 5) * 0.2D + (o_custkey % 5) * 0.05D",
+        },
+    ),
     "frames_v": (
         "supplier",
         {"frame_id": "s_suppkey", "seed": "s_suppkey + 7"},

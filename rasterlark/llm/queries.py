@@ -197,9 +197,12 @@ def op12_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = stored(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
     if labels.count() <= LABELS_AT_ONCE:
         labels = F.broadcast(labels)
-    half = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 4 % 4 = 1")
+    quarter = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 4 % 4 = 1")
     labelled = documents.select("doc_id", "text").join(labels, "doc_id")
-    model = toxicity.learn_toxicity(labelled.select("text", "toxic", half.alias("calibrates")))
+    held = quarter.alias("calibrates")
+    model = toxicity.learn_toxicity(
+        labelled.select(F.col("doc_id").alias("key"), "text", "toxic", held)
+    )
     rows = documents.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
     return toxicity.score_texts(rows, model, ["doc_id", "held_out"])
 

@@ -10,13 +10,12 @@ against the length of the text; the weights of these thresholds are calibrated
 on labelled documents that the dictionaries have not seen.
 
 Words are counted over all labelled documents. The windows for the ordinary
-dictionary and the documents for calibration are samples of bounded size, those
-with the smallest hash of their content.
+dictionary and the documents for calibration are samples of about a given size,
+drawn by a hash of document and place at the rate that gives it.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -34,9 +33,9 @@ LEVEL = 9  # of compression: the lazy search finds short matches
 ORDINARY_BYTES = 110_000
 TOXIC_BYTES = 4_000
 PIECE = 8  # words of a training window
-SAMPLE_WINDOWS = 100_000  # training windows that reach the driver
+SAMPLE_BYTES = 5_000_000  # of training windows that reach the driver, about
 SAMPLE_WINDOW_BYTES = 256  # longer ones are not sampled
-SAMPLE_DOCUMENTS = 20_000  # calibration documents whose features reach the driver
+SAMPLE_DOCUMENTS = 20_000  # whose features reach the driver for calibration, about
 PECULIAR_WORDS = 100
 PECULIAR_LENGTH = 64  # characters of a peculiar word at most
 PECULIAR_RATE = 6.0  # times the ordinary rate
@@ -123,33 +122,33 @@ def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> tuple[f
     return tuple((weights / scale).tolist())
 
 
-def sample_windows(texts: DataFrame, count: int = SAMPLE_WINDOWS) -> list[bytes]:
-    """The `count` windows of PIECE words with the smallest hashes, of one column
-    `text`. A task holds no more than it hands on."""
+def sample_windows(texts: DataFrame, size: int = SAMPLE_BYTES) -> list[bytes]:
+    """Windows of PIECE words of (key, text), about `size` bytes in all. Each
+    window has the same chance, drawn from its document's key and its place, so
+    frequent wording comes often, and no task hands on more than its share."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    below = min(1.0, size / total) * 2.0**32
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[int, bytes]] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = (text or "").lower().encode("utf-8", "replace").split()
+            kept = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = (text.as_py() or "").lower().encode("utf-8", "replace").split()
+                start = zlib.crc32(str(key).encode())
                 for low in range(0, len(words), PIECE):
-                    window = b" " + b" ".join(words[low : low + PIECE]) + b" "
-                    if len(window) <= SAMPLE_WINDOW_BYTES:
-                        item = (-zlib.crc32(window), window)
-                        if len(kept) < count:
-                            heapq.heappush(kept, item)
-                        elif item > kept[0]:
-                            heapq.heapreplace(kept, item)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "hash": pa.array([-h for h, _ in kept], pa.int64()),
-                "piece": pa.array([w for _, w in kept], pa.binary()),
-            }
-        )
+                    if zlib.crc32(low.to_bytes(8, "little"), start) < below:
+                        window = b" " + b" ".join(words[low : low + PIECE]) + b" "
+                        if len(window) <= SAMPLE_WINDOW_BYTES:
+                            kept.append((key if key is None else str(key), low, window))
+            columns = list(zip(*kept)) if kept else [[], [], []]
+            kinds = (pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "place", "piece"]
+            )
 
-    found = texts.select("text").mapInArrow(windows, "hash long, piece binary")
-    rows = found.orderBy("hash", "piece").limit(count).select("piece").toArrow()
-    return rows.column(0).to_pylist()
+    found = texts.select("key", "text").mapInArrow(windows, "key string, place long, piece binary")
+    pieces = found.toArrow().sort_by([("place", "ascending"), ("key", "ascending"), ("piece", "ascending")])
+    return pieces.column(2).to_pylist()
 
 
 def peculiar_words(labelled: DataFrame) -> list[tuple[str, int]]:
@@ -176,11 +175,11 @@ def peculiar_words(labelled: DataFrame) -> list[tuple[str, int]]:
 
 
 def learn_toxicity(labelled: DataFrame) -> Model:
-    """From (text, toxic, calibrates): documents with label 0 or 1; the boolean
-    says whether a document is for calibration or for the dictionaries. Rows
-    without label are not looked at. Without documents of both labels for
+    """From (key, text, toxic, calibrates): documents with label 0 or 1; the
+    boolean says whether a document is for calibration or for the dictionaries,
+    samples are drawn by the key. Rows without label are not looked at. Without documents of both labels for
     calibration every text gets about the share of toxic ones."""
-    labelled = labelled.where("toxic IN (0, 1)").select("text", "toxic", "calibrates")
+    labelled = labelled.where("toxic IN (0, 1)").select("key", "text", "toxic", "calibrates")
     seen = labelled.where("NOT calibrates")
     ordinary = _train(ORDINARY_BYTES, sample_windows(seen.where("toxic = 0")), k=32, d=6)
     peculiar = peculiar_words(seen)
@@ -189,13 +188,14 @@ def learn_toxicity(labelled: DataFrame) -> Model:
     drawn.sort(key=lambda x: zlib.crc32(f"{x[0]} {x[1]}".encode()))
     samples = [f" {word} ".encode() for _, word in drawn]
     toxic = _train(TOXIC_BYTES, samples, k=16, d=8)
-    held = labelled.where("calibrates").orderBy(F.xxhash64("text"), "text", "toxic")
+    held = labelled.where("calibrates")
+    rate = min(1.0, SAMPLE_DOCUMENTS / max(1, held.count()))
+    drawn = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 32)) < rate * 2.0**32
     rows = _featured(
-        held.limit(SAMPLE_DOCUMENTS).select(F.struct("toxic").alias("kept"), "text"),
-        ordinary,
-        toxic,
+        held.where(drawn).select(F.struct("key", "toxic").alias("kept"), "text"), ordinary, toxic
     )
-    rows = rows.select("kept.toxic", "features").collect()
+    rows = rows.select("kept.key", "kept.toxic", "features").collect()
+    rows.sort(key=lambda r: (r.key is None, str(r.key), r.toxic, r.features))
     features = np.array([r.features for r in rows], float).reshape(-1, FEATURES)
     labels = np.array([r.toxic for r in rows], float)
     return Model(ordinary, toxic, fit(features, labels))

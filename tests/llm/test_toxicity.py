@@ -24,9 +24,9 @@ def texts(prose, n, seed=0):
 
 @pytest.fixture(scope="module")
 def model(spark, prose):
-    rows = [(t, x, i % 5 < 2) for i, (t, x) in enumerate(texts(prose, 400))]
-    rows += [(None, 0, True), ("", 1, False), ("no label", None, False), ("odd", 7, True)]
-    frame = spark.createDataFrame(rows, "text string, toxic int, calibrates boolean")
+    rows = [(i, t, x, i % 5 < 2) for i, (t, x) in enumerate(texts(prose, 400))]
+    rows += [(900, None, 0, True), (901, "", 1, False), (902, "no label", None, False), (None, "odd", 7, True)]
+    frame = spark.createDataFrame(rows, "key long, text string, toxic int, calibrates boolean")
     return toxicity.learn_toxicity(frame.repartition(3))
 
 
@@ -42,6 +42,18 @@ def test_held_out_accuracy(spark, prose, model):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in found.values())
 
 
+def test_samples_of_windows_have_their_size(spark, prose):
+    rows = [(i, prose(500, i)) for i in range(40)] + [(i, "the same " * 400) for i in range(40, 60)]
+    frame = spark.createDataFrame(rows, "key long, text string")
+    total = sum(len(t) for _, t in rows)
+    whole = toxicity.sample_windows(frame.repartition(3), 10 * total)
+    words = sorted(w for _, t in rows for w in t.lower().encode().split())
+    assert sorted(w for p in whole for w in p.split()) == words
+    part = toxicity.sample_windows(frame.repartition(3), total // 10)
+    assert 0.5 * total / 10 < sum(map(len, part)) < 1.6 * total / 10
+    assert part == toxicity.sample_windows(frame.repartition(5), total // 10)
+
+
 def test_only_what_differs_is_in_the_toxic_dictionary(model):
     assert all(f" {word} ".encode() in model.toxic for word in BAD)
 
@@ -67,9 +79,9 @@ def test_awkward_texts(spark, documents, awkward, model):
     assert len(empty) == 1
 
 
-@pytest.mark.parametrize("rows", [[], [("a b", 1, True)], [("a b", 0, False), ("c", None, True)]])
+@pytest.mark.parametrize("rows", [[], [(1, "a b", 1, True)], [(1, "a b", 0, False), (2, "c", None, True)]])
 def test_little_to_learn_from(spark, rows, documents):
-    frame = spark.createDataFrame(rows, "text string, toxic int, calibrates boolean")
+    frame = spark.createDataFrame(rows, "key long, text string, toxic int, calibrates boolean")
     learnt = toxicity.learn_toxicity(frame)
     found = toxicity.score_texts(documents([(1, "a b c"), (2, None)]), learnt, ["doc_id"])
     assert {r.doc_id for r in found.collect() if 0 <= r.score <= 1} == {1, 2}

@@ -155,6 +155,13 @@ def box_pairs(
     return pairs.select("frame_id", "a", "b")
 
 
+def _once(rows: DataFrame, keep: list[str], **values: str) -> DataFrame:
+    """The columns `keep` and values, which are worked out once: as an array of one
+    element, out of which Spark does not copy them into later filters."""
+    made = ", ".join(f"{value} AS {name}" for name, value in values.items())
+    return rows.selectExpr(*keep, f"inline_outer(array(struct({made})))")
+
+
 def with_intersection(pairs: DataFrame) -> DataFrame:
     """Adds `intersection`, the common area of the boxes a and b.
 
@@ -165,28 +172,25 @@ def with_intersection(pairs: DataFrame) -> DataFrame:
     function of the boxes, so nothing jumps where edges touch or coincide.
     """
     keep = pairs.columns
-    seen = pairs.selectExpr(
-        *keep,
-        "a.half_length AS h",
-        "a.half_width AS w",
-        "a.cos_yaw * (b.cx - a.cx) + a.sin_yaw * (b.cy - a.cy) AS ox",
-        "a.cos_yaw * (b.cy - a.cy) - a.sin_yaw * (b.cx - a.cx) AS oy",
-        "(a.cos_yaw * b.cos_yaw + a.sin_yaw * b.sin_yaw) AS c",
-        "(a.cos_yaw * b.sin_yaw - a.sin_yaw * b.cos_yaw) AS s",
-    )
-    corners = seen.selectExpr(
-        *keep,
-        "h",
-        "w",
-        *(
-            f"struct(ox + {i}D * c * b.half_length - {j}D * s * b.half_width AS x, "
-            f"oy + {i}D * s * b.half_length + {j}D * c * b.half_width AS y) AS k{k}"
-            for k, (i, j) in enumerate(((1, 1), (-1, 1), (-1, -1), (1, -1)))  # counter-clockwise
-        ),
+    seen = _once(
+        pairs,
+        keep,
+        h="a.half_length",
+        w="a.half_width",
+        ox="a.cos_yaw * (b.cx - a.cx) + a.sin_yaw * (b.cy - a.cy)",
+        oy="a.cos_yaw * (b.cy - a.cy) - a.sin_yaw * (b.cx - a.cx)",
+        c="a.cos_yaw * b.cos_yaw + a.sin_yaw * b.sin_yaw",
+        s="a.cos_yaw * b.sin_yaw - a.sin_yaw * b.cos_yaw",
     )
+    signs = ((1, 1), (-1, 1), (-1, -1), (1, -1))  # counter-clockwise
+    places: dict[str, str] = {}
+    for k, (i, j) in enumerate(signs):
+        places[f"x{k}"] = f"ox + {i}D * c * b.half_length - {j}D * s * b.half_width"
+        places[f"y{k}"] = f"oy + {i}D * s * b.half_length + {j}D * c * b.half_width"
+    corners = _once(seen, [*keep, "h", "w"], **places)
     edges = ", ".join(
-        f"struct(k{k}.x AS x, k{k}.y AS y, k{(k + 1) % 4}.x - k{k}.x AS dx, k{(k + 1) % 4}.y - k{k}.y AS dy)"
-        for k in range(4)
+        f"struct(x{k} AS x, y{k} AS y, x{n} - x{k} AS dx, y{n} - y{k} AS dy)"
+        for k, n in ((0, 1), (1, 2), (2, 3), (3, 0))
     )
 
     def clamped(value: str, low: str, high: str) -> str:
@@ -213,7 +217,7 @@ def with_intersection(pairs: DataFrame) -> DataFrame:
         f"aggregate({turned}, 0D, (total, e) -> "
         "total + e.back * (w * (e.over - e.under) + (1D - e.under - e.over) * e.middle))"
     )
-    return corners.selectExpr(*keep, f"greatest(0D, {area}) AS intersection")
+    return _once(corners, keep, intersection=f"greatest(0D, {area})")
 
 
 def _overlapping(pairs: DataFrame, least_iou: float) -> DataFrame:

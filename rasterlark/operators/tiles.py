@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE_LEVEL = 3  # tiles of 8 m: most boxes are smaller
-SMALLEST_LEVEL = -20
+SMALLEST_LEVEL, HIGHEST_LEVEL = -20, 1024
 BROADCAST_ROWS = 200_000  # of a box index, about 20 MB
 HOT_ROWS = 20_000  # rows of a tile that one task looks at
 MOST_PARTS = 1024  # of a hot tile
@@ -54,8 +54,10 @@ def with_bounds(boxes: DataFrame, base: int = BASE_LEVEL, margin: float = 0.0) -
             "x + half_x AS high_x",
             "y - half_y AS low_y",
             "y + half_y AS high_y",
-            # A box without extent has no logarithm, which greatest skips.
-            f"int(greatest({lowest}L, ceil(log2(greatest(half_x, half_y) * {2 + SLACK!r}D)))) AS own_level",
+            # A box without extent has no logarithm, which greatest skips; the
+            # highest level is one tile for all numbers.
+            f"int(least({HIGHEST_LEVEL}L, greatest({lowest}L, "
+            f"ceil(log2(greatest(half_x, half_y) * {2 + SLACK!r}D))))) AS own_level",
         )
     )
 

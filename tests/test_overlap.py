@@ -98,6 +98,13 @@ def test_edges_and_margin(spark):
     assert kept == {(-0.5, 1.0), (-0.5, 1.25), (-0.5, -1.0)}
 
 
+def test_boxes_as_large_as_numbers_go(spark):
+    boxes = spark.createDataFrame([(0, 1, 0.0, 0.0, 1.7e308, 1.7e308, 0.7), (1, 2, 1e300, 0.0, 2.0, 2.0, 0.0)], BOX)
+    rows = [(0, 3.0, -1e200), (1, 3.0, 0.0), (1, 1e300, 0.5)]
+    points = spark.createDataFrame(rows, "frame_id long, x double, y double")
+    assert [tuple(r) for r in overlap.remove_inside(points, boxes).collect()] == [rows[1]]
+
+
 def test_points_are_not_exchanged_and_never_looped_over(spark):
     points = spark.range(1000).selectExpr("id % 3 AS frame_id", "id * 0.01D AS x", "id * 0.02D AS y")
     boxes = spark.createDataFrame(random_boxes(20, 2), BOX)

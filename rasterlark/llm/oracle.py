@@ -31,10 +31,10 @@ QUALIFY row_number() OVER best <= 10
 # -- robust outliers ----------------------------------------------------------
 
 FEATURES = [
-    "ln(word_chars / n_words) / 0.04",
-    "ln(1 + 50 * n_symbols / word_chars) / 0.1",
-    "ln(1 + n_dup_lines) / 0.7",
-    "sqrt(n_repeat_words / n_words) / 0.2",
+    "ln(word_chars / n_words) / 0.06",
+    "ln(1 + 50 * n_symbols / word_chars) / 0.25",
+    "ln(1 + n_dup_lines) / 0.5",
+    "sqrt(n_repeat_words / n_words) / 0.12",
 ]
 COUNTS = f"""
 rows_ AS (
@@ -72,51 +72,73 @@ rows_ AS (
 
 
 def outlier_sql(
-    least: int = 200, core: float = 0.75, factor: float = 1.4847, steps: int = 3, cut: float = 64
+    half: float, most: float, inside: float, cut: float, steps: int = 8, prior: int = 20
 ) -> str:
-    """The scatter is inverted here by elimination on the rows of the group
-    table, the distance is a quadratic form with the inverse."""
+    """`half` and `most` make the scatters of the core and of the rows `inside`
+    consistent. The scatter is inverted here by elimination on the rows of the
+    group table, its determinant is the product of the pivots, the distance is a
+    quadratic form with the inverse, and cores are summed up from rows."""
     n = len(FEATURES)
     pairs = [(i, j) for i in range(n) for j in range(i + 1)]
-    name = "coalesce(lang, chr(0)) || chr(1) || coalesce(source, chr(0))"
+    xs = ", ".join(f"x{i}" for i in range(n))
+    means = ", ".join(f"m{i}" for i in range(n))
+    name = "coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '')"
     parts = [
         COUNTS,
-        f"""named AS (SELECT *, {name} AS own FROM counts),
-large AS (
-  SELECT own FROM named WHERE NOT base_failed GROUP BY own HAVING count(*) >= {least}
-), vectors AS (
-  SELECT unnest(CASE WHEN l.own IS NULL THEN ['*'] ELSE ['*', l.own] END) AS grp,
-    {", ".join(f"{f} AS x{i}" for i, f in enumerate(FEATURES))}
-  FROM named LEFT JOIN large l USING (own) WHERE NOT base_failed
+        f"named AS MATERIALIZED (SELECT *, {name} AS own FROM counts)",
+        f"""vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS v, * FROM (
+    SELECT unnest(['*', own]) AS grp, coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+      {", ".join(f"{f} AS x{i}" for i, f in enumerate(FEATURES))}
+    FROM named WHERE NOT base_failed)
 )""",
     ]
     for i in range(n):
+        ranks = ", ".join(
+            f"min(CASE WHEN 4 * upto >= {q} * all_ THEN (bin + 0.5) / 4 END) AS r{i}_{q}"
+            for q in (1, 2, 3)
+        )
         parts.append(
-            f"""median{i} AS (
-  SELECT grp, (min(bin) + 0.5) / 4 AS m{i} FROM (
+            f"""rank{i} AS (
+  SELECT grp, {ranks} FROM (
     SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS upto,
       sum(count(*)) OVER (PARTITION BY grp) AS all_
     FROM (SELECT grp, floor(x{i} * 4) AS bin FROM vectors) GROUP BY grp, bin)
-  WHERE 2 * upto >= all_ GROUP BY grp
+  GROUP BY grp
 )"""
         )
     parts.append(
-        "e0 AS (SELECT * FROM median0"
-        + "".join(f" JOIN median{i} USING (grp)" for i in range(1, n))
+        "ranks AS MATERIALIZED (SELECT * FROM rank0"
+        + "".join(f" JOIN rank{i} USING (grp)" for i in range(1, n))
         + ")"
     )
-    parts[-1] = parts[-1].replace(
-        "SELECT *",
-        "SELECT *, " + ", ".join(f"{float(i == j)} AS c{i}{j}" for i, j in pairs),
+    unit = ", ".join(f"{float(i == j)} AS c{i}{j}" for i, j in pairs)
+    wide = ", ".join(
+        f"1 + pow((r{i}_3 - r{i}_1) / 1.349, 2) AS c{i}{j}" if i == j else f"0.0 AS c{i}{j}"
+        for i, j in pairs
     )
+    medians = ", ".join(f"r{i}_2 AS m{i}" for i in range(n))
+    fields = ", ".join(f"'x{i}': x{i}" for i in range(n))
+    starts = [
+        f"SELECT grp, 0 AS s, {medians}, {unit} FROM ranks",
+        f"SELECT grp, 1, {medians}, {wide} FROM ranks",
+    ]
+    for s in (2, 3):
+        starts.append(
+            f"SELECT grp, {s}, {', '.join(f'd.x{i}' for i in range(n))}, {unit} FROM ("
+            f"SELECT grp, min({{'k': md5(key || '/{s}'), {fields}}}) AS d FROM vectors GROUP BY grp)"
+        )
+    parts.append("e0 AS MATERIALIZED (" + " UNION ALL ".join(starts) + ")")
 
-    def inverse(step: int) -> None:
-        """Adds v_ij, the inverse, by elimination: a CTE for each pivot."""
+    def inverse(target: str, source: str, keys: str) -> None:
+        """Adds v_ij, the inverse, and det, by elimination: a CTE for each pivot."""
         cell = {(i, j): f"c{max(i, j)}{min(i, j)}" for i in range(n) for j in range(n)}
         columns = [f"{cell[i, j]} AS a{i}{j}" for i in range(n) for j in range(n)]
         columns += [f"{float(i == j)} AS v{i}{j}" for i in range(n) for j in range(n)]
-        means = ", ".join(f"m{i}" for i in range(n))
-        parts.append(f"i{step}_0 AS (SELECT grp, {means}, {', '.join(columns)} FROM e{step})")
+        parts.append(
+            f"{target}_0 AS MATERIALIZED (SELECT {keys}, {means}, 0.0 AS det, "
+            f"{', '.join(columns)} FROM {source})"
+        )
         for p in range(n):
             new = []
             for kind in "av":
@@ -126,44 +148,70 @@ large AS (
                         value = row if i == p else f"{kind}{i}{j} - a{i}{p} * {row}"
                         new.append(f"{value} AS {kind}{i}{j}")
             parts.append(
-                f"i{step}_{p + 1} AS (SELECT grp, {means}, {', '.join(new)} FROM i{step}_{p})"
+                f"{target}_{p + 1} AS MATERIALIZED (SELECT {keys}, {means}, "
+                f"det + ln(a{p}{p}) AS det, {', '.join(new)} FROM {target}_{p})"
             )
 
     form = " + ".join(
         f"v{i}{j} * (x{i} - m{i}) * (x{j} - m{j})" for i in range(n) for j in range(n)
     )
+
+    def moments(factor: float) -> str:
+        of = [f"sum(w * x{i}) / sum(w) AS m{i}" for i in range(n)]
+        of += [
+            f"{factor!r} * (sum(w * x{i} * x{j}) / sum(w) - sum(w * x{i}) / sum(w) "
+            f"* (sum(w * x{j}) / sum(w))) + {int(i == j)} AS c{i}{j}"
+            for i, j in pairs
+        ]
+        return ", ".join(of)
+
     for step in range(steps):
-        inverse(step)
+        inverse(f"i{step}", f"e{step}", "grp, s")
         parts.append(
-            f"""b{step} AS (
-  SELECT grp, {", ".join(f"x{i}" for i in range(n))}, floor(log2(0.001 + {form}) * 16) AS bin
+            f"""b{step} AS MATERIALIZED (
+  SELECT grp, s, {xs}, floor(log2(0.001 + {form}) * 16) AS bin
   FROM vectors JOIN i{step}_{n} USING (grp)
-), t{step} AS (
-  SELECT grp, min(bin) AS bound FROM (
-    SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS upto,
-      sum(count(*)) OVER (PARTITION BY grp) AS all_
-    FROM b{step} GROUP BY grp, bin)
-  WHERE upto >= {core} * all_ GROUP BY grp
-), e{step + 1} AS (
-  SELECT grp, {", ".join(f"avg(x{i}) AS m{i}" for i in range(n))},
-    {", ".join(f"{factor} * covar_pop(x{i}, x{j}) + {int(i == j)} AS c{i}{j}" for i, j in pairs)}
-  FROM b{step} JOIN t{step} USING (grp) WHERE bin <= bound GROUP BY grp
+), t{step} AS MATERIALIZED (
+  SELECT grp, s, bin,
+    greatest(0.0, least(1.0, (least(all_, (all_ + {n + 1}) // 2) - upto + n) / n)) AS w
+  FROM (SELECT grp, s, bin, count(*) AS n,
+      sum(count(*)) OVER (PARTITION BY grp, s ORDER BY bin) AS upto,
+      sum(count(*)) OVER (PARTITION BY grp, s) AS all_
+    FROM b{step} GROUP BY grp, s, bin)
+), e{step + 1} AS MATERIALIZED (
+  SELECT grp, s, {moments(half)} FROM b{step} JOIN t{step} USING (grp, s, bin) GROUP BY grp, s
 )"""
         )
-    inverse(steps)
-    final = ", ".join(
-        f"CASE WHEN NOT base_failed THEN {f} END AS x{i}" for i, f in enumerate(FEATURES)
-    )
+    inverse("core", f"e{steps}", "grp, s")
     parts.append(
-        f"""judged AS (
-  SELECT named.*, coalesce(l.own, '*') AS grp, {final} FROM named LEFT JOIN large l USING (own)
+        f"""best AS MATERIALIZED (
+  SELECT * FROM core_{n}
+  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(det, 6), s) = 1
+), near AS MATERIALIZED (
+  SELECT grp, {xs}, CASE WHEN {form} <= {inside!r} THEN 1 ELSE 0 END AS w
+  FROM vectors JOIN best USING (grp)
+), again AS MATERIALIZED (
+  SELECT grp, count(*) AS n, greatest(0, count(*) - {n}) AS free, {moments(most)}
+  FROM near GROUP BY grp
+), drawn AS MATERIALIZED (
+  SELECT g.grp, g.free / (g.free + {float(prior)}) AS k,
+    {", ".join(f"k * g.m{i} + (1 - k) * a.m{i} AS m{i}" for i in range(n))},
+    {", ".join(
+        f"k * g.c{i}{j} + (1 - k) * a.c{i}{j} + k * (1 - k) * (g.m{i} - a.m{i}) * (g.m{j} - a.m{j})"
+        f" AS c{i}{j}" for i, j in pairs)}
+  FROM again g JOIN again a ON a.grp = '*' WHERE g.grp <> '*'
 )"""
     )
+    inverse("final", "drawn", "grp")
+    last = ", ".join(
+        f"CASE WHEN NOT base_failed THEN {f} END AS x{i}" for i, f in enumerate(FEATURES)
+    )
+    parts.append(f"judged AS (SELECT *, own AS grp, {last} FROM named)")
     return (
         "WITH " + ",\n".join(parts) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce({form} <= {cut}, true) AS kept
-FROM judged LEFT JOIN i{steps}_{n} USING (grp)"""
+  NOT base_failed AND coalesce({form} <= {cut!r}, true) AS kept
+FROM judged LEFT JOIN final_{n} USING (grp)"""
     )
 
 
@@ -368,11 +416,16 @@ FROM kept JOIN coded USING (r), hashed"""
 
 
 def all_oracles() -> dict[str, str]:
-    from rasterlark.llm.outliers import CORE, core_factor
+    from rasterlark.llm import outliers
 
     return {
         "op1_exact_top_k": TOP_K,
-        "op4_robust_outliers": outlier_sql(factor=core_factor(CORE)),
+        "op4_robust_outliers": outlier_sql(
+            half=outliers.core_factor(0.5),
+            most=outliers.core_factor(outliers.INSIDE),
+            inside=outliers.chi_squared_quantile(outliers.INSIDE),
+            cut=outliers.CUT,
+        ),
         "op6_url_rules": URL_RULES,
         "op8_hierarchical_budget": budget_sql(),
         "op13_vector_codes": code_sql(),

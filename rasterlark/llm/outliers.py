@@ -2,10 +2,13 @@
 
 Each document is a vector of transformed text statistics. For every group of
 language and source, the minimum covariance determinant estimates centre and
-scatter from the most central part of its documents: concentration steps take
-the documents nearest to the current estimate, by Mahalanobis distance, and
-estimate again. Documents too far from the final estimate are rejected. All of
-it is DataFrame expressions; matrices are columns of the group table.
+scatter: from several starts, concentration steps take the half of the group
+that is nearest to the current estimate, by Mahalanobis distance, and estimate
+again until nothing changes; the start whose core has the smallest determinant
+wins. Its estimate is made again from all documents that lie within it, and
+drawn towards that of all documents the fewer documents the group has. Documents
+too far from the final estimate are rejected. All of it is DataFrame
+expressions; matrices are columns of the group table.
 """
 
 from __future__ import annotations
@@ -21,41 +24,50 @@ from rasterlark.llm.common import stored
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-CORE = 0.75  # share of a group that the estimate rests on
-STEPS = 3  # concentration steps
-MIN_GROUP = 200  # documents; smaller groups use the estimate of all documents
-GROUP_ROWS = 50_000  # up to so many groups the estimates are broadcast
-CUT = 64.0  # squared distance beyond which a document is rejected
+STARTS = 4
+STEPS = 8  # concentration steps at most; they end when nothing changes
+PRIOR = 20  # weight, in documents, of the estimate of all documents
+GROUP_ROWS = 50_000  # up to so many estimates are broadcast
+INSIDE = 0.975  # share of a normal group that the second estimate rests on
+REJECT = 0.999  # share of a normal group that is not rejected
 #: Feature: expression over the counts, and the deviation that counts as noise.
 #: The noise is added to the scatter, because in most groups hardly any central
-#: document has a symbol or a repeated line. Length is no feature: a text is not
-#: worse for being long.
+#: document has a symbol or a repeated line; each feature alone can still reach
+#: the cut. Length is no feature: a text is not worse for being long.
 FEATURES = {
-    "word_length": ("ln(word_chars / n_words)", 0.04),
-    "symbols": ("ln(1 + 50 * n_symbols / word_chars)", 0.1),
-    "dup_lines": ("ln(1 + n_dup_lines)", 0.7),
-    "repeats": ("sqrt(n_repeat_words / n_words)", 0.2),
+    "word_length": ("ln(word_chars / n_words)", 0.06),
+    "symbols": ("ln(1 + 50 * n_symbols / word_chars)", 0.25),
+    "dup_lines": ("ln(1 + n_dup_lines)", 0.5),
+    "repeats": ("sqrt(n_repeat_words / n_words)", 0.12),
 }
 SIZE = len(FEATURES)
 ALL = "*"  # name of the group of all documents
 
 
-def core_factor(share: float) -> float:
-    """By how much the scatter of the nearest `share` of a normal sample in four
-    dimensions falls short; chi-squared in closed form."""
+def chi_squared_below(x: float, terms: int) -> float:
+    """Share of chi-squared with 2 * terms degrees of freedom below x."""
+    total, term = 0.0, 1.0
+    for k in range(terms):
+        total += term
+        term *= x / 2 / (k + 1)
+    return 1.0 - math.exp(-x / 2) * total
 
-    def below(x: float, terms: int) -> float:
-        total, term = 0.0, 1.0
-        for k in range(terms):
-            total += term
-            term *= x / 2 / (k + 1)
-        return 1.0 - math.exp(-x / 2) * total
 
+def chi_squared_quantile(share: float, terms: int = SIZE // 2) -> float:
     low, high = 0.0, 100.0
     for _ in range(100):
         middle = (low + high) / 2
-        low, high = (middle, high) if below(middle, SIZE // 2) < share else (low, middle)
-    return share / below(low, SIZE // 2 + 1)
+        low, high = (middle, high) if chi_squared_below(middle, terms) < share else (low, middle)
+    return low
+
+
+def core_factor(share: float) -> float:
+    """By how much the scatter of the nearest `share` of a normal sample in four
+    dimensions falls short; chi-squared in closed form."""
+    return share / chi_squared_below(chi_squared_quantile(share), SIZE // 2 + 1)
+
+
+CUT = chi_squared_quantile(REJECT)  # squared distance beyond which a document is rejected
 
 
 def text_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,6 +172,9 @@ def text_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
 
 
 PAIRS = [(i, j) for i in range(SIZE) for j in range(i + 1)]
+XS = [f"x{i}" for i in range(SIZE)]
+MEANS = [f"m{i}" for i in range(SIZE)]
+CELLS = [f"c{i}{j}" for i, j in PAIRS]
 
 
 def distance_sql() -> str:
@@ -189,114 +204,196 @@ def _with_group(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame
     return rows.join(estimates, "group")
 
 
-def _first_estimates(vectors: DataFrame) -> DataFrame:
-    """Medians, to a quarter of the noise, by counting; scatter the noise only."""
+def _first_estimates(vectors: DataFrame, groups: int) -> DataFrame:
+    """STARTS estimates a group: the medians with the noise for scatter, the
+    medians with the spread between the quartiles, and two documents, those with
+    the least keys, with the noise. Ranks come from counts of values to a quarter
+    of the noise."""
     long = vectors.select(
         "group",
-        F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 4) for i in range(SIZE)))).alias("i", "bin"),
+        F.posexplode(F.array(*(F.floor(F.col(x) * 4) for x in XS))).alias("i", "bin"),
     )
     bins = long.groupBy("group", "i", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("group", "i").orderBy("bin")
-    medians = (
-        bins.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("group", "i")))
-        .where("2 * upto >= all")
-        .groupBy("group")
-        .agg(
-            *(
-                F.min(F.when(F.col("i") == i, (F.col("bin") + 0.5) / 4)).alias(f"m{i}")
-                for i in range(SIZE)
-            )
+    ranks = bins.withColumn("upto", F.sum("n").over(upto)).withColumn(
+        "all", F.sum("n").over(Window.partitionBy("group", "i"))
+    )
+
+    def rank(i: int, quarters: int):
+        reached = (F.col("i") == i) & (4 * F.col("upto") >= quarters * F.col("all"))
+        return F.min(F.when(reached, (F.col("bin") + 0.5) / 4))
+
+    ranks = ranks.groupBy("group").agg(
+        *(rank(i, 2).alias(f"m{i}") for i in range(SIZE)),
+        *((rank(i, 3) - rank(i, 1)).alias(f"spread{i}") for i in range(SIZE)),
+    )
+    least = vectors.groupBy("group").agg(
+        *(
+            F.min(F.struct(F.md5(F.concat("key", F.lit(f"/{s}"))).alias("key"), *XS)).alias(f"d{s}")
+            for s in (2, 3)
         )
     )
-    return medians.select(
-        "*", *(F.lit(float(i == j)).alias(f"c{i}{j}") for i, j in PAIRS)
+
+    def start(number, means, spread=None):
+        diagonal = ["1D" if spread is None else f"(1 + pow({spread}{i} / 1.349D, 2))" for i in range(SIZE)]
+        cells = [f"{diagonal[i] if i == j else '0D'} AS c{i}{j}" for i, j in PAIRS]
+        places = ", ".join(f"'{m}', {v}" for m, v in zip(MEANS, means))
+        places += "".join(f", '{c.split(' AS ')[1]}', {c.split(' AS ')[0]}" for c in cells)
+        return F.expr(f"named_struct('start', {number}, {places})")
+
+    starts = F.array(
+        start(0, MEANS),
+        start(1, MEANS, "spread"),
+        start(2, [f"d2.{x}" for x in XS]),
+        start(3, [f"d3.{x}" for x in XS]),
     )
+    return _with_group(ranks, least, groups).select("group", F.inline(starts))
+
+
+def _moments(weight: str) -> list:
+    """Weighted sums of what means and scatters are made of."""
+    return [
+        F.expr(f"sum({weight})").alias("w"),
+        *(F.expr(f"sum({weight} * s{i})").alias(f"s{i}") for i in range(SIZE)),
+        *(F.expr(f"sum({weight} * q{i}{j})").alias(f"q{i}{j}") for i, j in PAIRS),
+    ]
+
+
+def _estimate(sums: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Means, and scatters that are consistent for a normal sample plus the noise."""
+    factor = core_factor(share)
+    cells = [
+        f"{factor!r}D * (q{i}{j} / w - s{i} / w * (s{j} / w)) + {int(i == j)} AS c{i}{j}"
+        for i, j in PAIRS
+    ]
+    return sums.selectExpr(*keys, *(f"s{i} / w AS m{i}" for i in range(SIZE)), *cells)
+
+
+def _sums() -> list:
+    return [
+        *(F.sum(f"x{i}").alias(f"s{i}") for i in range(SIZE)),
+        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS),
+    ]
 
 
 def _concentrate(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    """One step: mean and scatter of the CORE nearest documents of each group.
-    Distances are counted in classes of a sixteenth of an octave, so the bound
-    is a count as well and no group is sorted."""
-    measured = _with_group(vectors, _factor(estimates), groups).select(
-        "group",
-        *(f"x{i}" for i in range(SIZE)),
-        F.expr(f"CAST(floor(log2(0.001 + {distance_sql()}) * 16) AS INT)").alias("bin"),
+    """One step from every start: mean and scatter of the nearest half.
+
+    Distances are counted in classes of a sixteenth of an octave, with the sums
+    of each class, so one pass over the vectors is enough and no group is sorted.
+    The class in which the half ends counts with the share that is still needed,
+    so a class of equal rows cannot fill the core."""
+    classes = (
+        _with_group(vectors, _factor(estimates), groups)
+        .withColumn("bin", F.expr(f"CAST(floor(log2(0.001 + {distance_sql()}) * 16) AS INT)"))
+        .groupBy("group", "start", "bin")
+        .agg(F.count("*").alias("n"), *_sums())
     )
-    bins = measured.groupBy("group", "bin").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("group").orderBy("bin")
-    bound = (
-        bins.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("group")))
-        .where(F.col("upto") >= CORE * F.col("all"))
-        .groupBy("group")
-        .agg(F.min("bin").alias("bound"))
+    each = Window.partitionBy("group", "start")
+    weighed = (
+        classes.withColumn("upto", F.sum("n").over(each.orderBy("bin")))
+        .withColumn("all", F.sum("n").over(each))
+        .withColumn("core", F.expr(f"least(all, (all + {SIZE + 1}) DIV 2)"))
+        .withColumn("part", F.expr("greatest(0D, least(1D, (core - upto + n) / n))"))
+    )
+    sums = weighed.withColumn("w", F.expr("part * n")).groupBy("group", "start").agg(
+        F.sum("w").alias("w"), *_moments("part")[1:]
     )
-    core = _with_group(measured, bound, groups).where("bin <= bound")
-    sums = core.groupBy("group").agg(
-        *(F.avg(f"x{i}").alias(f"m{i}") for i in range(SIZE)),
-        *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS),
+    return _estimate(sums, ["group", "start"], 0.5)
+
+
+def _settled(before: DataFrame, after: DataFrame) -> bool:
+    names = [*MEANS, *CELLS]
+    old = before.select("group", "start", *(F.col(n).alias(f"old_{n}") for n in names))
+    moved = " OR ".join(f"abs({n} - old_{n}) > 1e-9 * (1 + abs({n}))" for n in names)
+    return after.join(old, ["group", "start"]).where(moved).isEmpty()
+
+
+def minimum_determinant(vectors: DataFrame, groups: int) -> DataFrame:
+    """(group, n, m0.., c00, ..) from (group, key, x0..): for each group the core
+    estimate of the smallest determinant, made again from all rows within it."""
+    estimates = stored(_first_estimates(vectors, groups), "outlier-estimates")
+    places = vectors.select("group", *XS)
+    for _ in range(STEPS):
+        before = estimates
+        estimates = stored(_concentrate(places, before, groups * STARTS), "outlier-estimates")
+        if _settled(before, estimates):
+            break
+    # Starts that end in one core differ by rounding only; the first one is taken.
+    size = F.round(F.expr(" + ".join(f"2 * ln(l{i}{i})" for i in range(SIZE))), 6)
+    rest = [*MEANS, *(f"l{i}{j}" for i, j in PAIRS)]
+    best = (
+        _factor(estimates)
+        .groupBy("group")
+        .agg(F.min(F.struct(size.alias("size"), "start", *rest)).alias("best"))
+        .select("group", *(F.col(f"best.{n}") for n in rest))
     )
-    factor = core_factor(CORE)
-    return sums.select(
+    inside = f"CASE WHEN {distance_sql()} <= {chi_squared_quantile(INSIDE)!r}D THEN 1 ELSE 0 END"
+    marked = _with_group(places, best, groups).select("group", *XS, F.expr(inside).alias("part"))
+    sums = marked.selectExpr(
         "group",
-        *(f"m{i}" for i in range(SIZE)),
-        *(F.expr(f"{factor!r}D * c{i}{j} + {int(i == j)}").alias(f"c{i}{j}") for i, j in PAIRS),
+        "part",
+        *(f"x{i} AS s{i}" for i in range(SIZE)),
+        *(f"x{i} * x{j} AS q{i}{j}" for i, j in PAIRS),
     )
+    sums = sums.groupBy("group").agg(F.count("*").alias("n"), *_moments("part"))
+    return _estimate(sums, ["group", "n"], INSIDE)
+
+
+def _drawn(estimates: DataFrame) -> DataFrame:
+    """Estimates of the groups, mixed with that of all documents: as if PRIOR
+    more documents had been like those of all. A group needs more documents than
+    there are features to have a scatter of its own."""
+    everything = estimates.where(F.col("group") == ALL).first()
+    if everything is None:
+        return estimates.where("false").drop("n")
+    own = f"(greatest(0, n - {SIZE}) / (greatest(0, n - {SIZE}) + {PRIOR}D))"
+    gap = {i: f"(m{i} - ({everything[f'm{i}']!r}D))" for i in range(SIZE)}
+    means = [f"m{i} - (1 - {own}) * {gap[i]} AS m{i}" for i in range(SIZE)]
+    cells = [
+        f"{own} * c{i}{j} + (1 - {own}) * ({everything[f'c{i}{j}']!r}D) "
+        f"+ {own} * (1 - {own}) * {gap[i]} * {gap[j]} AS c{i}{j}"
+        for i, j in PAIRS
+    ]
+    return estimates.where(F.col("group") != ALL).selectExpr("group", *means, *cells)
 
 
 def judge(documents: DataFrame) -> DataFrame:
-    """Counts of `text_statistics` plus base_failed, distance2, group and kept.
+    """Counts of `text_statistics` plus base_failed, group, distance2 and kept.
 
     base_failed: fewer than MIN_WORDS words, or more than half of them repeat.
     The others are judged by the estimate of their language and source, made of
-    the documents that pass; null is a language or source of its own. Groups
-    with fewer than MIN_GROUP such documents are judged by the estimate of all.
+    the documents that pass and drawn towards that of all; null is a language or
+    source of its own. Repeated rows count each.
     """
     counts = stored(text_statistics(documents), "outlier-counts")
+    places = [
+        F.expr(f"CASE WHEN NOT base_failed THEN {formula} / {noise!r}D END").alias(f"x{i}")
+        for i, (formula, noise) in enumerate(FEATURES.values())
+    ]
     named = counts.withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    ).withColumn(
-        "own", F.to_json(F.array("lang", "source"), {"ignoreNullFields": "false"})
-    )
-    passed = named.where("NOT base_failed")
-    sizes = passed.groupBy("own").count().where(F.col("count") >= MIN_GROUP)
-    large = stored(sizes.select("own", F.col("own").alias("large")), "outlier-groups")
-    groups = large.count() + 1
-    if groups <= GROUP_ROWS:
-        large = F.broadcast(large)
-    vectors = passed.join(large, "own", "left").select(
-        "large",
-        *(
-            F.expr(f"{formula} / {noise!r}D").alias(f"x{i}")
-            for i, (formula, noise) in enumerate(FEATURES.values())
-        ),
-    )
-    # Every document counts for all, and for its own group if that is large.
-    both = F.explode(F.array_compact(F.array(F.lit(ALL), F.col("large"))))
+    ).withColumn("group", F.to_json(F.array("lang", "source"), {"ignoreNullFields": "false"}))
+    named = named.select("*", *places)
+    # Every document counts for its own group and for all.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
     vectors = stored(
-        vectors.select(both.alias("group"), *(f"x{i}" for i in range(SIZE))), "outlier-vectors"
-    )
-    estimates = stored(_first_estimates(vectors), "outlier-estimates")
-    for _ in range(STEPS):
-        estimates = stored(_concentrate(vectors, estimates, groups), "outlier-estimates")
-    judged = named.join(large, "own", "left").select(
-        "*",
-        F.coalesce("large", F.lit(ALL)).alias("group"),
-        *(
-            F.expr(f"CASE WHEN NOT base_failed THEN {formula} / {noise!r}D END").alias(f"x{i}")
-            for i, (formula, noise) in enumerate(FEATURES.values())
+        named.where("NOT base_failed").select(
+            F.explode(F.array(F.lit(ALL), F.col("group"))).alias("group"), key, *XS
         ),
+        "outlier-vectors",
     )
-    factors = _factor(estimates)
+    groups = vectors.select("group").distinct().count()
+    estimates = stored(minimum_determinant(vectors, groups), "outlier-estimates")
+    factors = _factor(_drawn(estimates))
     if groups <= GROUP_ROWS:
         factors = F.broadcast(factors)
-    return judged.join(factors, "group", "left").select(
+    return named.join(factors, "group", "left").select(
         *counts.columns,
         "base_failed",
         "group",
         F.expr(distance_sql()).alias("distance2"),
-        F.expr(f"NOT base_failed AND coalesce({distance_sql()} <= {CUT}D, true)").alias("kept"),
+        F.expr(f"NOT base_failed AND coalesce({distance_sql()} <= {CUT!r}D, true)").alias("kept"),
     )

@@ -14,13 +14,10 @@ WITH sound AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), usual AS (
-  SELECT len(x) AS d FROM sound GROUP BY d ORDER BY count(*) DESC, d LIMIT 1
-), v AS (
-  SELECT vec_id, x FROM sound WHERE len(x) = (SELECT d FROM usual)
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  FROM sound q JOIN sound c
+    ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
 )
 SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
 FROM pairs WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)

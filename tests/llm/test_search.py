@@ -16,15 +16,16 @@ def brute(rows, queries, k=10):
         for i, v in rows
         if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)
     ]
-    sizes = [len(v) for _, v in sound]
-    usual = min(set(sizes), key=lambda d: (-sizes.count(d), d)) if sizes else 0
-    sound = [(i, v) for i, v in sound if len(v) == usual]
     out = set()
     for q in {i for i, _ in sound if queries(i)}:
         mine = min(v for i, v in sound if i == q)
-        scored = [(-sum(a * b for a, b in zip(mine, v)), i) for i, v in sound if i != q]
+        scored = [
+            (-sum(a * b for a, b in zip(mine, v)), i)
+            for i, v in sound
+            if i != q and len(v) == len(mine)
+        ]
         for rank, (score, i) in enumerate(sorted(scored)[:k], 1):
-            out.add((q, rank, i, -score))
+            out.add((q, rank, i, max(-(2**63), min(2**63 - 1, -score))))
     return out
 
 
@@ -52,6 +53,33 @@ def test_ties_copies_and_awkward_rows(spark):
     assert run(spark, rows, "vec_id % 10 = 0") == brute(rows, lambda i: i % 10 == 0)
 
 
+def test_every_length_has_its_own_search(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=i % 4).tolist()) for i in range(120)] + [(5, []), (20, [9.0, 9.0])]
+    assert run(spark, rows, "vec_id % 5 = 0") == brute(rows, lambda i: i % 5 == 0)
+
+
+def test_large_components(spark, monkeypatch):
+    """The longest vectors are the likeliest hits; products that 64 bits do not
+    hold are ranked exactly."""
+    monkeypatch.setattr(search, "STRETCH", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(100)]
+    rows += [(100 + i, (rng.normal(size=6) * 10.0 ** rng.integers(0, 36)).tolist()) for i in range(100)]
+    rows += [(300 + i, [9e5 + i] * 6) for i in range(20)] + [(330, [2e6] * 6), (331, [-3e38] * 6)]
+    rows += [(332, [0.0] * 6), (340, [3.3e38] * 6), (341, [3.3e38] * 6), (342, [3.2e38] * 6)]
+    assert run(spark, rows, "vec_id % 5 = 0") == brute(rows, lambda i: i % 5 == 0)
+
+
+def test_largest_doubles(spark):
+    vectors = [[1.7e308, 1.0], [1.6e308, 1.0], [-1.7e308, 0.0], [1.0, 1.0], [0.0, 0.0]]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    whole = search.integer_vectors(frame)
+    found = search.top_k(whole, whole.where("vec_id = 0"), 10).orderBy("rank").collect()
+    most, least = 2**63 - 1, -(2**63)
+    assert [(r.vec_id, r.score) for r in found] == [(1, most), (3, most), (4, 0), (2, least)]
+
+
 @pytest.mark.parametrize("rows", [[], [(100, [1.0, 2.0])], [(100, None)]])
 def test_too_few_vectors(spark, rows):
     assert run(spark, rows, "vec_id % 100 = 0") == set()
@@ -61,7 +89,7 @@ def test_bound_is_never_below_the_product():
     rng = np.random.default_rng(4)
     x = rng.integers(-900, 900, (50, 12))
     rotation = np.linalg.qr(rng.normal(size=(12, 12)))[0]
-    block = search.Block(np.arange(50), x, rotation, 3)
-    lead = block.rotated[:, : block.lead] @ block.rotated[:, : block.lead].T
-    bound = lead + block.rest[:, None] * block.rest[None, :]
+    own = search.Vectors(np.arange(50), x / search.SCALE, rotation)
+    lead = own.rotated[:, : own.lead] @ own.rotated[:, : own.lead].T
+    bound = lead + own.rest[:, None] * own.rest[None, :]
     assert (bound + 1e-6 >= x @ x.T).all()

@@ -239,7 +239,7 @@ WITH RECURSIVE {URL_TOKENS}, marks AS (
   SELECT doc_id AS page_id, bool_or(coalesce(toxic = 1 OR quality = 0, false)) AS bad
   FROM labels GROUP BY doc_id
 ), baskets AS (
-  SELECT DISTINCT list_sort(tokens) AS tokens, bad FROM tokens JOIN marks USING (page_id)
+  SELECT list_sort(tokens) AS tokens, bad FROM tokens JOIN marks USING (page_id)
   WHERE len(tokens) > 0
 ), numbered AS (SELECT row_number() OVER () AS b, * FROM baskets
 ), least AS (SELECT greatest(20, ceil(0.001 * count(*))) AS n FROM numbered
@@ -250,16 +250,18 @@ WITH RECURSIVE {URL_TOKENS}, marks AS (
 ), items AS (
   SELECT b, bad, token FROM (SELECT b, bad, unnest(tokens) AS token FROM numbered)
     JOIN single USING (token)
-  QUALIFY row_number() OVER (PARTITION BY b ORDER BY n, token) <= 16
 ), sets AS (
   SELECT b, bad, [token] AS ante, token AS last FROM items
   UNION ALL
   SELECT s.b, s.bad, list_append(s.ante, i.token), i.token
   FROM sets s JOIN items i ON s.b = i.b AND i.token > s.last
-), rules AS (
+), passing AS (
   SELECT ante, count(*) FILTER (bad) / count(*) AS confidence FROM sets GROUP BY ante
   HAVING count(*) FILTER (bad) >= (SELECT n FROM least)
     AND count(*) FILTER (bad) / count(*) >= 0.6
+), rules AS (
+  SELECT * FROM passing p WHERE NOT EXISTS (
+    SELECT 1 FROM passing s WHERE len(s.ante) < len(p.ante) AND list_has_all(p.ante, s.ante))
 ), fitting AS (
   SELECT page_id, url, min({{'c': -confidence, 'rule': array_to_string(ante, chr(10))}}) AS best
   FROM tokens JOIN rules ON list_has_all(tokens, ante) GROUP BY page_id, url

@@ -105,7 +105,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(labels, "page_id")
         .select(tokens.alias("tokens"), "bad")
     )
-    rules = url_rules.mine_rules(baskets, copies=True)
+    rules = url_rules.mine_rules(baskets)
     return url_rules.judge_urls(pages, rules, LISTED)
 
 

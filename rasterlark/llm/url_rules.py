@@ -2,7 +2,7 @@
 
 Labelled URLs become baskets of tokens; frequent-pattern growth finds token
 combinations, and those that imply the bad label with enough support and
-confidence are rules. A rule is indexed under its rarest token, so a URL is
+confidence, while no part of them does, are rules. A rule is indexed under its rarest token, so a URL is
 compared only with rules that share it. Listed host and path rules go first.
 """
 
@@ -76,14 +76,17 @@ def mine_rules(
     min_support: float = 0.001,
     min_count: int = 20,
     min_confidence: float = 0.6,
-    copies: bool = False,
+    copies: bool = True,
 ) -> DataFrame:
     """(rule_id, antecedent, index_token, confidence, count) from (tokens, bad).
 
     With `copies` every row counts; else equal baskets of one label count once.
     Support is the share of baskets with tokens and label, at least `min_count`
-    of them. Tokens below the support are no part of any rule; all others are
-    mined, so baskets that share many frequent tokens have many combinations.
+    of them. Rules are the least combinations that pass: what holds all tokens of
+    a combination that passes is blocked by it already. Tokens that occur in the
+    same baskets are mined as one, since combinations of them have equal counts,
+    and each of them stands in for the others in a rule of its own: pages of one
+    template that share any number of tokens add no combinations.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -103,16 +106,22 @@ def mine_rules(
     if not total:
         return spark.createDataFrame([], schema)
     least = max(min_count, -int(-min_support * total // 1))
-    tokens = baskets.select(F.explode("tokens").alias("token"), "bad")
+    tokens = baskets.select("basket", F.explode("tokens").alias("token"), "bad")
+    # Two 64-bit hashes of the set of baskets tell whether two sets are equal.
     counts = tokens.groupBy("token").agg(
-        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad")
+        F.count("*").alias("n"),
+        F.sum(F.col("bad").cast("long")).alias("n_bad"),
+        F.bit_xor(F.xxhash64("basket")).alias("set1"),
+        F.bit_xor(F.xxhash64("basket", F.lit("second"))).alias("set2"),
     )
     # A token needs the support with the label: so does every rule with it.
     counts = stored(counts.where(F.col("n_bad") >= least), "url-tokens")
+    same = ["n", "n_bad", "set1", "set2"]
+    first = counts.groupBy(*same).agg(F.min("token").alias("first"))
+    counts = stored(counts.join(first, same).select("token", "n", "first"), "url-tokens")
     frequent = F.broadcast(counts) if counts.count() <= INDEX_ROWS else counts
     items = (
-        baskets.select("basket", "bad", F.explode("tokens").alias("token"))
-        .join(frequent.select("token"), "token")
+        tokens.join(frequent.where("token = first").select("token"), "token")
         .groupBy("basket", "bad")
         .agg(F.collect_set("token").alias("items"))
         .select(
@@ -135,11 +144,13 @@ def mine_rules(
     plain = patterns.where(~F.array_contains("items", BAD)).select(
         key.alias("rule_id"), F.col("freq").alias("all")
     )
-    rules = (
+    passing = stored(
         bad.join(plain, "rule_id")
         .withColumn("confidence", F.col("count") / F.col("all"))
-        .where(F.col("confidence") >= min_confidence)
+        .where(F.col("confidence") >= min_confidence),
+        "url-passing",
     )
+    rules = _stand_ins(_least(passing), counts)
     index = (
         rules.select("rule_id", F.explode("items").alias("token"))
         .join(counts, "token")
@@ -151,6 +162,57 @@ def mine_rules(
     )
 
 
+def _least(passing: DataFrame) -> DataFrame:
+    """The combinations of which no part passes. Level by level, a combination
+    goes if one with a token less passes or has gone itself."""
+    longest = passing.agg(F.max(F.size("items"))).first()[0] or 0
+    kept = passing.where("size(items) = 1")
+    blocked = kept.select("rule_id")
+    for size in range(2, longest + 1):
+        level = passing.where(F.size("items") == size)
+        parts = level.select(
+            F.col("rule_id").alias("whole"),
+            F.explode(
+                F.transform("items", lambda t: F.concat_ws("\n", F.array_remove("items", t)))
+            ).alias("rule_id"),
+        )
+        above = stored(
+            parts.join(blocked, "rule_id").select(F.col("whole").alias("rule_id")).distinct(),
+            "url-blocked",
+        )
+        fresh = level.join(above, "rule_id", "left_anti")
+        kept = kept.unionByName(fresh)
+        blocked = above.unionByName(fresh.select("rule_id"))
+    return kept
+
+
+def _stand_ins(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each rule once for each choice of tokens of the same baskets."""
+    classes = stored(
+        counts.groupBy("first").agg(F.array_sort(F.collect_set("token")).alias("members")),
+        "url-classes",
+    )
+    longest = rules.agg(F.max(F.size("items"))).first()[0] or 0
+    for place in range(longest):
+        rules = (
+            rules.withColumn("first", F.get("items", F.lit(place)))
+            .join(classes, "first", "left")
+            .withColumn("member", F.explode_outer("members"))
+            .withColumn(
+                "items",
+                F.when(
+                    F.col("member").isNotNull(),
+                    F.transform(
+                        "items", lambda t, i: F.when(i == place, F.col("member")).otherwise(t)
+                    ),
+                ).otherwise(F.col("items")),
+            )
+            .drop("first", "members", "member")
+        )
+    rules = rules.withColumn("items", F.array_sort("items"))
+    return stored(rules.withColumn("rule_id", F.concat_ws("\n", "items")), "url-least-rules")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, listed: list[HostRule]) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule, confidence) per page.
 

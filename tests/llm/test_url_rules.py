@@ -53,9 +53,11 @@ def test_tokens(spark):
     assert found[2] == []
 
 
-def mined_by_hand(baskets, least, confidence):
+def mined_by_hand(baskets, least, confidence, copies):
     rules = {}
-    distinct = {(tuple(sorted(t)), b) for t, b in baskets if t}
+    distinct = [(tuple(sorted(t)), b) for t, b in baskets if t]
+    if not copies:
+        distinct = set(distinct)
     for size in range(1, 5):
         counts = {}
         for tokens, bad in distinct:
@@ -65,20 +67,65 @@ def mined_by_hand(baskets, least, confidence):
         for chosen, (n, m) in counts.items():
             if m >= least and m / n >= confidence:
                 rules[chosen] = (m, m / n)
-    return rules
+    return {
+        chosen: found for chosen, found in rules.items()
+        if not any(set(part) < set(chosen) for part in rules)
+    }
 
 
-def test_mined_rules_are_those_of_all_combinations(spark):
+@pytest.mark.parametrize("copies", [False, True])
+def test_mined_rules_are_the_least_of_all_combinations(spark, copies):
     baskets = []
     for i in range(60):
         tokens = [f"a{i % 2}", f"b{i % 3}", f"c{i % 5}", f"u{i}"]
         baskets.append((tokens[: 3 + (i % 4 > 0)], i % 6 == 0 or i % 10 == 3))
     baskets += [baskets[0]] * 50 + [([], True)]
     frame = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
-    rules = url_rules.mine_rules(frame, min_support=0.0, min_count=3, min_confidence=0.6)
+    rules = url_rules.mine_rules(
+        frame, min_support=0.0, min_count=3, min_confidence=0.8, copies=copies
+    )
+    found = {tuple(r.antecedent): (r["count"], r.confidence) for r in rules.collect()}
+    expected = mined_by_hand(baskets, 3, 0.8, copies)
+    assert max(map(len, expected)) > 1 and found == expected
+
+
+def test_pages_of_one_template_add_no_combinations(spark):
+    """Thirty tokens shared, half of the baskets bad: 2**30 combinations, all of
+    the same counts. Two more tokens, also always together, make it a rule."""
+    shared = [f"t{i:02}" for i in range(30)]
+    baskets = [(shared, i % 2 == 0) for i in range(40)]
+    baskets += [([*shared, "x", "y"], True)] * 20 + [(["x", "y"], False)] * 40
+    frame = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    rules = url_rules.mine_rules(frame, min_support=0.0, min_count=20, min_confidence=0.9)
     found = {tuple(r.antecedent): (r["count"], r.confidence) for r in rules.collect()}
-    expected = mined_by_hand(baskets, 3, 0.6)
-    assert len(expected) > 3 and found == expected
+    assert found == {(t, z): (20, 1.0) for t in shared for z in "xy"}
+
+
+def test_sql_of_the_same_rules_where_labels_depend_on_urls(spark, tmp_path):
+    import duckdb
+
+    from rasterlark.llm.oracle import all_oracles
+
+    urls, bad = [], []
+    for i in range(1500):
+        site, part, odd = f"s{i % 6}", "abcde"[i % 5], "?promo=1" if i % 7 == 0 else ""
+        urls.append(f"http://{site}.de/{part}/{i}{odd}")
+        bad.append(int((i % 6 == 1 and i % 5 == 2) or (i % 7 == 0 and i % 6 in (3, 4)) or i % 90 == 8))
+    urls += ["http://s1.de/c/9", "http://s3.net/b/?promo=2", None, "none", "http://s1.de/c/9"]
+    pages(spark, urls).write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(i, b, 1) for i, b in enumerate(bad)]
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    frame.write.parquet(str(tmp_path / "labels.parquet"))
+    connection = duckdb.connect()
+    for name in ("pages", "labels"):
+        connection.execute(
+            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')"
+        )
+    key = lambda r: tuple((x is not None, x) for x in r)
+    found = sorted(map(tuple, op6_url_rules(spark, str(tmp_path)).collect()), key=key)
+    expected = sorted(connection.sql(all_oracles()["op6_url_rules"]).fetchall(), key=key)
+    assert found == expected
+    assert len({r[5] for r in found if r[5]}) == 3
 
 
 def test_mined_rules_decide_where_no_listed_rule_fits(spark):

@@ -19,11 +19,14 @@ MIX_SHARE = 0.9  # of the words that arrive at the mixing stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which one language has most of the text; documents
-    without a letter and even mixtures go. The label column is left as it is."""
+    """Keeps documents of which a language or a mixture of languages is found;
+    those without a letter go. Without any label nothing is learned, and all
+    documents stay. The label column is left as it is."""
     model = languages.learn_languages(docs.where(fold(F.col("doc_id"), 3) != 1))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     tagged = languages.predict_languages(docs, model, COLUMNS)
-    return tagged.where("lang_pred <> 'und' AND score > 0.5").select(*COLUMNS)
+    return tagged.where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,17 @@ def test_stages_in_order(spark, documents, prose):
     assert sorted(pieces) == ids["source_mixing"]
 
 
+def test_language_stage_keeps_mixtures_and_unlabelled_tables(spark, documents):
+    sounds = {"x": "ka lo mi", "y": "zun bre ost", "z": "wiq fap duj"}
+    pure = [(i, f"{t} " * 30, lang) for i, (lang, t) in enumerate(list(sounds.items()) * 30)]
+    even = " ".join(f"{t} " * 30 for t in sounds.values())
+    rows = [*pure, (1000, even, "x"), (1001, even, None), (1002, "12 34", "x"), (1003, None, "x")]
+    kept = corpus_pipeline.language_id(spark, documents(rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(90), 1000, 1001]
+    unlabelled = documents([(i, t, None) for i, t, *_ in rows])
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == len(rows)
+
+
 def test_stages_take_awkward_and_no_documents(spark, documents, awkward):
     for rows in (awkward, []):
         docs = documents(rows)

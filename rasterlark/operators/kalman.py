@@ -2,10 +2,11 @@
 
 The state of a track after an observation depends on all before it. But what a
 stretch of observations does to the state in front of it is itself a small
-object, and two such objects in a row combine to one, associatively. So a track
-is cut into chunks of frames: every chunk becomes one object, in parallel; a
-short pass over the chunks of each track gives the state in front of each; and
-then every chunk is filtered from there, in parallel again.
+object, and two such objects in a row combine to one, associatively. So a long
+track is cut into parts, rows of chunks of frames: every part becomes one object,
+in parallel; a short pass over the parts of each track gives the state in front
+of each; and then every part is filtered from there, in parallel again. A track
+of few observations is one part, however many frames lie between them.
 
 Both axes have the same noise, so they share the variances.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 from rasterlark.operators.overlap import stored
 
 CHUNK_FRAMES = 4096
+PART_ROWS = 4096  # observations from which a track is cut again
+BROADCAST_ROWS = 200_000  # up to so many chunks of long tracks are broadcast
 
 
 @dataclass(frozen=True)
@@ -102,13 +105,26 @@ def combine(one: Stretches, two: Stretches) -> Stretches:
     )
 
 
+def reduce_groups(parts: Stretches, group: np.ndarray) -> Stretches:
+    """The stretches of each group in a row as one, neighbours combined in
+    rounds, those of all groups at once. `group` ascends."""
+    while True:
+        new = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+        kept = np.flatnonzero((np.arange(len(group)) - start) % 2 == 0)
+        if len(kept) == len(group):
+            return parts
+        followed = np.append(~new[1:], False)[kept]
+        pairs = kept[followed]
+        joined = combine(tuple(p[pairs] for p in parts), tuple(p[pairs + 1] for p in parts))
+        parts, group = tuple(p[kept] for p in parts), group[kept]
+        for p, j in zip(parts, joined):
+            p[followed] = j
+
+
 def reduce_all(parts: Stretches) -> Stretches:
-    """All stretches in a row as one, neighbours combined in rounds."""
-    while len(parts[0]) > 1:
-        even = len(parts[0]) // 2 * 2
-        joined = combine(tuple(p[0:even:2] for p in parts), tuple(p[1:even:2] for p in parts))
-        parts = tuple(np.concatenate([j, p[even:]]) for j, p in zip(joined, parts))
-    return parts
+    """All stretches in a row as one."""
+    return reduce_groups(parts, np.zeros(len(parts[0]), np.int64))
 
 
 def pass_through(state: State, flat: list[float]) -> State:
@@ -128,35 +144,164 @@ def pass_through(state: State, flat: list[float]) -> State:
 # -- tracks -------------------------------------------------------------------------
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in rows that come sorted, whole across batches."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(new).tolist()
-        if held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all():
-            starts = starts[1:]
-            stop = starts[0] if starts else len(batch)
-            held.append(batch.iloc[:stop])
-            if not starts:
+STATE = ["s_x", "s_vx", "s_y", "s_vy", "s_p", "s_c", "s_v"]
+FILTERED = ["x", "vx", "y", "vy", "var_place", "cov", "var_velocity"]
+
+
+def long_tracks(known: DataFrame, part_rows: int) -> DataFrame:
+    """(track_id, chunk, part, before, next_part, last) of the chunks of tracks
+    with more than `part_rows` observations: the part that a chunk belongs to,
+    the last frame of the part before, the next part and the part's last frame.
+    A part begins with the chunk in which `part_rows` more observations are full."""
+    along = Window.partitionBy("track_id").orderBy("chunk")
+    chunks = known.groupBy("track_id", "chunk").agg(
+        F.count("*").alias("n"), F.max("frame_id").alias("last")
+    )
+    dealt = chunks.select(
+        "track_id",
+        "chunk",
+        "last",
+        F.expr(f"(sum(n) OVER (PARTITION BY track_id ORDER BY chunk) - n) DIV {part_rows}").alias("part"),
+        F.sum("n").over(Window.partitionBy("track_id")).alias("n"),
+    ).where(F.col("n") > part_rows)
+    whole = Window.partitionBy("track_id", "part")
+    # Frames ascend along a track, so the last frame before a part is the
+    # largest of the chunks of smaller parts.
+    between = along.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = dealt.select(
+        "track_id",
+        "chunk",
+        "part",
+        F.max("last").over(between).alias("before"),
+        F.lead("part").over(along).alias("next_part"),
+        "last",
+    )
+    return chunks.select(
+        "track_id",
+        "chunk",
+        "part",
+        F.min(F.struct("chunk", "before")).over(whole)["before"].alias("before"),
+        F.max(F.struct("chunk", "next_part")).over(whole)["next_part"].alias("next_part"),
+        F.max("last").over(whole).alias("last"),
+    )
+
+
+def _sum_up(motion: Motion):
+    """One row for each part: the state after the first observation if the track
+    begins there, and the stretch of all others."""
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, frame = None, 0
+
+        def result(rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r["track_id"] for r in rows], kind),
+                    pa.array([r["part"] for r in rows], pa.int64()),
+                    pa.array([r["next_part"] for r in rows], pa.int64()),
+                    pa.array([r["last"] for r in rows], pa.int64()),
+                    pa.array([r["first"] for r in rows], pa.list_(pa.float64())),
+                    pa.array(
+                        [r["stretch"] and np.concatenate([p.reshape(-1) for p in r["stretch"]]) for r in rows],
+                        pa.list_(pa.float64()),
+                    ),
+                ],
+                ["track_id", "part", "next_part", "last", "first", "stretch"],
+            )
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            kind = batch.schema.field("track_id").type
+            columns = {n: batch.column(n).to_pylist() for n in ("track_id", "part", "before", "next_part", "last")}
+            keys = list(zip(columns["track_id"], columns["part"]))
+            frames = batch.column("frame_id").to_numpy()
+            places = np.stack([batch.column(n).to_numpy() for n in "xy"], 1)
+            old = [(held["track_id"], held["part"]) if held else None, *keys[:-1]]
+            new = np.array([one != two for one, two in zip(keys, old)])
+            previous = np.concatenate([[frame], frames[:-1]])
+            use, done = np.ones(len(frames), bool), []
+            groups = [held] if held else []  # those with a row here or held from before
+            for at in np.flatnonzero(new).tolist():
+                group = {n: columns[n][at] for n in columns} | {"first": None, "stretch": None}
+                if group["before"] is None:
+                    group["first"] = list(first_state(*places[at].tolist(), motion))
+                    use[at] = False
+                else:
+                    previous[at] = group["before"]
+                groups.append(group)
+            which = (np.cumsum(new) - (0 if held else 1))[use]
+            parts = single((frames - previous)[use], places[use], motion)
+            parts = reduce_groups(parts, which)
+            for k, number in enumerate(np.unique(which).tolist()):
+                group, part = groups[number], tuple(p[k : k + 1] for p in parts)
+                group["stretch"] = combine(group["stretch"], part) if group["stretch"] else part
+            *done, held = groups
+            frame = int(frames[-1])
+            if done:
+                yield result(done, kind)
         if held:
-            yield pd.concat(held)
-        for low, high in zip(starts[:-1], starts[1:]):
-            yield batch.iloc[low:high]
-        held = [batch.iloc[starts[-1] :]]
-    if held:
-        yield pd.concat(held)
+            yield result([held], kind)
 
+    return sum_up
 
-STATE = ["s_x", "s_vx", "s_y", "s_vy", "s_p", "s_c", "s_v"]
-FILTERED = ["x", "vx", "y", "vy", "var_place", "cov", "var_velocity"]
+
+def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state in front of the next part, for each part of the tracks in order."""
+    state, of = None, None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if of != row["track_id"]:
+                state, of = None, row["track_id"]
+            if row["first"] is not None:
+                state = tuple(row["first"])
+            if row["stretch"] is not None:
+                state = pass_through(state, row["stretch"])
+            out.append(state)
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(n) for n in ("track_id", "next_part")),
+                    *(pa.array(column, pa.float64()) for column in zip(*out)),
+                ],
+                ["track_id", "part", *STATE],
+            )
+
+
+def _run(motion: Motion):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, of, frame = None, None, 0
+        for batch in batches:
+            out = []
+            names = ["track_id", "part", "frame_id", "x", "y", "before", *STATE]
+            for track, part, at, x, y, before, *front in zip(
+                *(batch.column(n).to_pylist() for n in names)
+            ):
+                if of != (track, part):
+                    of = track, part
+                    state, frame = (None if before is None else tuple(front)), before
+                state = step(state, at - frame, x, y, motion) if state else first_state(x, y, motion)
+                frame = at
+                out.append(state)
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(n) for n in ("track_id", "frame_id")),
+                        *(pa.array(column, pa.float64()) for column in zip(*out)),
+                    ],
+                    ["track_id", "frame_id", *FILTERED],
+                )
+
+    return run
 
 
 def filter_tracks(
-    observations: DataFrame, motion: Motion = Motion(), chunk_frames: int = CHUNK_FRAMES
+    observations: DataFrame,
+    motion: Motion = Motion(),
+    chunk_frames: int = CHUNK_FRAMES,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """(track_id, frame_id, x, y, vx, vy, var_place, var_velocity): the state of
     each track after each of its observations (track_id, frame_id, x, y).
@@ -164,7 +309,7 @@ def filter_tracks(
     frame_id counts frames and may have gaps, over which the state moves on. A
     track starts at rest at its first place. Observations of one frame come in
     the order of x, then y, and nothing moves between them. Rows with a null or
-    NaN go. Filtered from (track, chunk of frames), so a long track is many tasks.
+    NaN go. Filtered from (track, part of the track), so a long track is many tasks.
     """
     track = observations.schema["track_id"].dataType.simpleString()
     known = observations.where(
@@ -177,92 +322,27 @@ def filter_tracks(
         F.col("y").cast("double").alias("y"),
         F.expr(f"floor(frame_id / {chunk_frames}D)").alias("chunk"),
     )
-    keys, order = ["track_id", "chunk"], ["track_id", "chunk", "frame_id", "x", "y"]
-    # One row for each chunk; only these are ordered along a track.
-    along = Window.partitionBy("track_id").orderBy("chunk")
-    chunks = known.groupBy(*keys).agg(F.max("frame_id").alias("last"))
-    chunks = stored(
-        chunks.select(
-            *keys,
-            F.lag("last").over(along).alias("before"),
-            F.lead("chunk").over(along).alias("next_chunk"),
-            "last",
-        ),
-        "track-chunks",
-    )
-
-    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _groups(batches, keys):
-            frames, places = rows["frame_id"].to_numpy(), rows[["x", "y"]].to_numpy()
-            before = rows["before"].iloc[0]
-            first = None
-            if pd.isna(before):
-                first = first_state(*map(float, places[0]), motion)
-                before, frames, places = frames[0], frames[1:], places[1:]
-            flat = None
-            if len(frames):
-                parts = single(np.diff(frames, prepend=int(before)), places, motion)
-                flat = np.concatenate([p.reshape(-1) for p in reduce_all(parts)]).tolist()
-            yield pd.DataFrame(
-                {
-                    "track_id": [rows["track_id"].iloc[0]],
-                    "chunk": [rows["chunk"].iloc[0]],
-                    "next_chunk": [int(rows["next_chunk"].iloc[0])],
-                    "last": [int(rows["last"].iloc[0])],
-                    "first": [list(first) if first else None],
-                    "stretch": [flat],
-                }
-            )
-
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, of = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if of != row.track_id:
-                    state, of = None, row.track_id
-                if row.first is not None:
-                    state = tuple(row.first)
-                if row.stretch is not None:
-                    state = pass_through(state, list(row.stretch))
-                out.append((row.track_id, row.next_chunk, row.last, *state))
-            yield pd.DataFrame(out, columns=[*keys, "before", *STATE])
-
-    state_schema = f"track_id {track}, chunk long, before long, " + ", ".join(
-        f"{s} double" for s in STATE
-    )
-    followed = chunks.where("next_chunk IS NOT NULL")
-    inner = known.join(followed, keys).repartition(*keys).sortWithinPartitions(*order)
-    summed = inner.mapInPandas(
-        stretches,
-        f"track_id {track}, chunk long, next_chunk long, last long, first array<double>, "
+    keys, order = ["track_id", "part"], ["track_id", "part", "frame_id", "x", "y"]
+    chunks = stored(long_tracks(known, part_rows), "track-chunks")
+    few = chunks.count() <= BROADCAST_ROWS
+
+    def with_chunks(which: DataFrame, how: str) -> DataFrame:
+        return known.join(F.broadcast(which) if few else which, ["track_id", "chunk"], how)
+
+    inner = with_chunks(chunks.where("next_part IS NOT NULL"), "inner")
+    inner = inner.repartition(*keys).sortWithinPartitions(*order)
+    summed = inner.mapInArrow(
+        _sum_up(motion),
+        f"track_id {track}, part long, next_part long, last long, first array<double>, "
         "stretch array<double>",
     )
-    fronts = summed.repartition("track_id").sortWithinPartitions(*keys)
-    fronts = stored(fronts.mapInPandas(states, state_schema), "track-states")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, of, frame = None, None, 0
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if of != (row.track_id, row.chunk):
-                    of = row.track_id, row.chunk
-                    state = None
-                    if not pd.isna(row.s_x):
-                        state = tuple(getattr(row, s) for s in STATE)
-                        frame = int(row.before)
-                if state is None:
-                    state = first_state(row.x, row.y, motion)
-                else:
-                    state = step(state, row.frame_id - frame, row.x, row.y, motion)
-                frame = row.frame_id
-                out.append((row.track_id, frame, *state))
-            yield pd.DataFrame(out, columns=["track_id", "frame_id", *FILTERED])
-
-    placed = known.join(fronts, keys, "left").repartition(*keys).sortWithinPartitions(*order)
-    found = placed.mapInPandas(
-        run, f"track_id {track}, frame_id long, " + ", ".join(f"{f} double" for f in FILTERED)
+    in_front = summed.repartition("track_id").sortWithinPartitions(*keys)
+    states = ", ".join(f"{s} double" for s in STATE)
+    fronts = stored(in_front.mapInArrow(_fronts, f"track_id {track}, part long, {states}"), "track-states")
+    begun = chunks.select("track_id", "chunk", "part", "before").join(fronts, keys, "left")
+    placed = with_chunks(begun, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    found = placed.repartition(*keys).sortWithinPartitions(*order).mapInArrow(
+        _run(motion), f"track_id {track}, frame_id long, " + ", ".join(f"{f} double" for f in FILTERED)
     )
     return found.select(
         "track_id", "frame_id", "x", "y", "vx", "vy", "var_place", "var_velocity"

@@ -162,6 +162,53 @@ def test_equals_the_recursion(spark, chunk_frames):
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize("chunk_frames, part_rows", [(64, 50), (1, 1), (7, 20), (4096, 2000)])
+def test_parts_equal_the_recursion(spark, chunk_frames, part_rows):
+    """Parts over several Arrow batches, several parts in one, frames beyond 2^53."""
+    rng, motion = random.Random(8), kalman.Motion(0.5, 0.03, 4.0)
+    rows = []
+    for track, base, count in (("a", 0, 400), ("b", 2**55 + 1, 150), ("c", 7, 12), ("d", -900, 1)):
+        at = base
+        for i in range(count):
+            at += rng.choice([0, 1, 1, 2, 40, 300])
+            rows.append((track, at, 0.3 * i + rng.gauss(0, 1), rng.gauss(0, 3)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        table = spark.createDataFrame(rows, OBSERVED).repartition(5)
+        found = kalman.filter_tracks(table, motion, chunk_frames, part_rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows)
+    for track in "abcd":
+        expected = recursion([r for r in rows if r[0] == track], motion)
+        own = sorted(tuple(r)[1:] for r in found if r.track_id == track)
+        wanted = sorted((e[0], e[1], e[3], e[2], e[4], e[5], e[7]) for e in expected)
+        assert [o[0] for o in own] == [w[0] for w in wanted]
+        assert np.allclose([o[1:] for o in own], [w[1:] for w in wanted], rtol=0, atol=1e-8)
+
+
+def test_only_long_tracks_are_cut(spark):
+    """Observations far apart lie in a chunk each; they are one part all the same."""
+    rows = spark.range(6000).selectExpr("id % 300 AS track_id", "id * 5000 AS frame_id", "id DIV 4 AS chunk")
+    assert kalman.long_tracks(rows, 20).isEmpty()
+    long = spark.range(1000).selectExpr("-1L AS track_id", "id * 5000 AS frame_id", "id AS chunk")
+    parts = kalman.long_tracks(rows.union(long), 300).orderBy("chunk").collect()
+    assert [(r.track_id, r.part) for r in parts] == [(-1, i // 300) for i in range(1000)]
+    assert {(r.part, r.before, r.next_part, r.last) for r in parts} == {
+        (0, None, 1, 299 * 5000), (1, 299 * 5000, 2, 599 * 5000), (2, 599 * 5000, 3, 899 * 5000), (3, 899 * 5000, None, 999 * 5000),
+    }
+
+
+def test_stretches_of_groups_combine_at_once():
+    rng, motion = np.random.default_rng(3), kalman.Motion()
+    group = np.repeat([2, 5, 6, 9], [1, 7, 4, 2])
+    parts = kalman.single(rng.integers(1, 5, len(group)), rng.normal(size=(len(group), 2)), motion)
+    found = kalman.reduce_groups(parts, group)
+    for k, number in enumerate(np.unique(group)):
+        alone = kalman.reduce_all(tuple(p[group == number] for p in parts))
+        assert all(np.allclose(a, b[k : k + 1], atol=1e-12) for a, b in zip(alone, found))
+
+
 def test_stretches_combine_in_any_order():
     rng, motion = np.random.default_rng(1), kalman.Motion()
     parts = kalman.single(rng.integers(1, 5, 9), rng.normal(size=(9, 2)), motion)

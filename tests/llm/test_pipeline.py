@@ -45,6 +45,23 @@ def test_stages_in_order(spark, documents, prose):
     assert sorted(pieces) == ids["source_mixing"]
 
 
+def test_passages_of_over_fifty_words_go(spark, documents):
+    """Passages of 51 words, shorter than the 400 bytes of op7, in texts that are
+    otherwise their own; shorter common phrases stay."""
+    word = lambda k: "".join("aeioubdfgklmnprst"[(k * 7919 // 17**i) % 17] for i in range(5))
+    passage = " ".join(word(k) for k in range(51))
+    phrase = " ".join(word(k) for k in range(60, 80))
+    own = [" ".join(word(1000 * i + k) for k in range(100, 200)) for i in range(1, 30)]
+    rows = [(i, f"{t} {passage} {t[::-1]}" if i < 6 else f"{t} {phrase} {t[::-1]}") for i, t in enumerate(own)]
+    assert 250 < len(passage) < 400
+    kept = {r.doc_id: r.text for r in corpus_pipeline.repeat_removal(spark, documents(rows), SF).collect()}
+    for i, text in rows:
+        if i < 6:
+            assert kept[i].replace(" ", "") == (own[i] + own[i][::-1]).replace(" ", "")
+        else:
+            assert kept[i] == text
+
+
 def test_language_stage_keeps_mixtures_and_unlabelled_tables(spark, documents):
     sounds = {"x": "ka lo mi", "y": "zun bre ost", "z": "wiq fap duj"}
     pure = [(i, f"{t} " * 30, lang) for i, (lang, t) in enumerate(list(sounds.items()) * 30)]

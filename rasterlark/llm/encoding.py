@@ -63,13 +63,14 @@ def part_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def pieces_of(text: bytes) -> Iterator[bytes]:
-    """The text, cut where parts start into pieces of at most BYTES_AT_ONCE;
-    only a part that is longer makes a longer piece."""
+def pieces_of(text: bytes, at_once: int | None = None) -> Iterator[bytes]:
+    """The text, cut where parts start into pieces of at most `at_once` bytes,
+    by default BYTES_AT_ONCE; only a part that is longer makes a longer piece."""
     data = np.frombuffer(text, np.uint8)
+    at_once = at_once or BYTES_AT_ONCE
     low = 0
-    while len(text) - low > BYTES_AT_ONCE:
-        size = BYTES_AT_ONCE
+    while len(text) - low > at_once:
+        size = at_once
         starts = part_starts(data[low : low + size + 1], np.zeros(1, np.int64))[1:][-1:]
         while not len(starts) and low + size < len(text):
             size *= 2
@@ -87,15 +88,18 @@ class Encoder:
     `keeps_space`: white space is part of the ids, as in byte-level vocabularies
     whose tokens hold as many characters as bytes; else the tokenizer drops
     white space and case. Strings of special tokens in a text are ordinary text.
+    `share`: it works with that part of BYTES_AT_ONCE and REMEMBERED, in less
+    memory and more time.
     """
 
-    def __init__(self, tokenizer_file: str, keeps_space: bool) -> None:
+    def __init__(self, tokenizer_file: str, keeps_space: bool, share: float = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
+        self.share = share
         self.known: dict[bytes, bytes] = {}
         self.held = 0  # bytes, about
         self.common: set[bytes] = set()  # known parts that came again
@@ -220,13 +224,14 @@ class Encoder:
         raw = [t.encode() if isinstance(t, str) else (t or b"") for t in texts]
         out: list[bytes] = []
         low = size = 0
+        at_once = max(1, int(BYTES_AT_ONCE * self.share))
         for high, text in enumerate(raw):
-            if len(text) > BYTES_AT_ONCE:
+            if len(text) > at_once:
                 out += self._some(raw[low:high])
-                out.append(b"".join(self._some([piece])[0] for piece in pieces_of(text)))
+                out.append(b"".join(self._some([piece])[0] for piece in pieces_of(text, at_once)))
                 low, size = high + 1, 0
                 continue
-            if high > low and size + len(text) > BYTES_AT_ONCE:
+            if high > low and size + len(text) > at_once:
                 out += self._some(raw[low:high])
                 low, size = high, 0
             size += len(text)
@@ -294,17 +299,18 @@ class Encoder:
         low = np.concatenate([[0], high[:-1]])
         stream = tokens.tobytes()
         self.held += sum(PART_COST + len(parts[i]) + len(ids[i]) for i in np.flatnonzero(fresh))
-        if self.held > REMEMBERED:
+        remembered = REMEMBERED * self.share
+        if self.held > remembered:
             self.known = {p: known[p] for p in self.common if p in known}
             self.held = sum(PART_COST + len(p) + len(i) for p, i in self.known.items())
-            if self.held > REMEMBERED // 2:
+            if self.held > remembered / 2:
                 self.known, self.common, self.held = {}, set(), 0
         return [stream[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())]
 
 
-def encoder_for(tokenizer_file: str, keeps_space: bool) -> Encoder:
+def encoder_for(tokenizer_file: str, keeps_space: bool, share: float = 1) -> Encoder:
     """One encoder for each worker process: later tasks use what it remembers."""
     made = shelf().setdefault("encoders", {})
-    if (tokenizer_file, keeps_space) not in made:
-        made[tokenizer_file, keeps_space] = Encoder(tokenizer_file, keeps_space)
-    return made[tokenizer_file, keeps_space]
+    if (tokenizer_file, keeps_space, share) not in made:
+        made[tokenizer_file, keeps_space, share] = Encoder(tokenizer_file, keeps_space, share)
+    return made[tokenizer_file, keeps_space, share]

@@ -33,6 +33,7 @@ BUCKET_DOCUMENTS = 500  # documents whose order one task decides
 FRACTION = 10  # bits of a token's fraction in deficits
 WIDTH = 2  # bytes of a stored id
 ROWS_AT_ONCE = 2000
+LEAN = 0.25
 
 
 @dataclass(frozen=True)
@@ -147,14 +148,19 @@ def cut(row, start, length, place_, sequence: int = SEQUENCE):
 
 
 def tokenize(
-    documents: DataFrame, tokenizer_file: str, end_id: int, width: int = WIDTH
+    documents: DataFrame, tokenizer_file: str, end_id: int, width: int = WIDTH, remember: bool = True
 ) -> DataFrame:
-    """(doc_id, source, size, ids): ids of `width` bytes each, the end included."""
+    """(doc_id, source, size, ids): ids of `width` bytes each, the end included.
+
+    `remember`: worker processes keep the tokenizer and the parts it has encoded
+    for later tasks, idle ones too. Without, memory is held by running tasks
+    alone, and these work in LEAN of the encoder's memory, with more time.
+    """
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer_file, keeps_space=False)
+        encoder = encoder_for(tokenizer_file, keeps_space=False, share=1 if remember else LEAN)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(low, ROWS_AT_ONCE)
@@ -174,7 +180,7 @@ def tokenize(
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(encode, drop_shelf=False), f"doc_id {kind}, source string, size long, ids binary")
+    return rows.mapInArrow(tidy(encode, drop_shelf=not remember), f"doc_id {kind}, source string, size long, ids binary")
 
 
 def pack(
@@ -262,7 +268,9 @@ def pack_documents(
     tokenizer_file: str,
     end_id: int = 1,
     targets: dict[str | None, float] | None = None,
+    remember: bool = True,
 ) -> DataFrame:
     """Encodes doc_id, source and text once, then packs. A null text is empty:
-    its one token is the end."""
-    return pack(stored(tokenize(documents, tokenizer_file, end_id), "pack-tokens"), targets)
+    its one token is the end. `remember`: as for `tokenize`."""
+    tokens = tokenize(documents, tokenizer_file, end_id, remember=remember)
+    return pack(stored(tokens, "pack-tokens"), targets)

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import difference
-from rasterlark.llm import near_duplicates, oracle, queries
+from rasterlark.llm import common, near_duplicates, oracle, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,8 +81,53 @@ def test_stages_take_awkward_and_no_documents(spark, documents, awkward):
         assert (docs.count() > 0) == bool(rows)
 
 
+def test_packing_leaves_nothing_in_idle_workers(spark, documents, prose, monkeypatch):
+    """Idle worker processes share an executor's memory with those that encode."""
+    monkeypatch.setattr(common, "SHELF", "shelf_of_this_test")
+
+    def look(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kept": ["shelf_of_this_test" in sys.modules]})
+
+    docs = documents([(i, prose(60, i)) for i in range(30)])
+    corpus_pipeline.sequence_packing(spark, docs, SF)  # all documents are encoded by now
+    workers = spark.range(0, 16, 1, 16).mapInArrow(look, "kept boolean").collect()
+    assert len(workers) == 16 and not any(r.kept for r in workers)
+
+
+def test_stages_hand_documents_over_in_small_batches(spark, documents):
+    def batches_of(docs):
+        def count(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+        return [r.rows for r in docs.coalesce(1).mapInArrow(count, "rows int").collect()]
+
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    docs = documents([(i, f"text {i}") for i in range(2500)])
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "source_mixing":  # no Python there
+                spark.conf.set(corpus_pipeline.BATCH, before)
+                stage(spark, docs.limit(0), SF)
+                assert max(batches_of(docs)) <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(corpus_pipeline.BATCH, 64)
+        corpus_pipeline.language_id(spark, docs.limit(0), SF)
+        assert spark.conf.get(corpus_pipeline.BATCH) == "64"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
 def test_whole_pipeline_on_the_tables(spark):
+    before = spark.conf.get(corpus_pipeline.BATCH)
     found = corpus_pipeline.run(spark, SF)
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
     assert found.columns[:2] == ["doc_id", "start"]
     total = found.selectExpr("sum(length) AS n", "max(sequence_id) AS last").first()
     assert total.n > 0 and total.last == (total.n - 1) // 2048

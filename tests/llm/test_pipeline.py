@@ -107,7 +107,7 @@ def test_stages_hand_documents_over_in_small_batches(spark, documents):
             for batch in batches:
                 yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
 
-        return [r.rows for r in docs.coalesce(1).mapInArrow(count, "rows int").collect()]
+        return [r.rows for r in docs.coalesce(1).mapInArrow(count, "rows long").collect()]
 
     before = spark.conf.get(corpus_pipeline.BATCH)
     docs = documents([(i, f"text {i}") for i in range(2500)])

@@ -47,6 +47,21 @@ def test_parts_give_the_ids_of_the_whole_text(keeps_space, texts):
     assert got == [plainly(plain, t) for t in texts]
 
 
+def test_a_share_of_the_memory_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(encoding, "BYTES_AT_ONCE", 4000)
+    monkeypatch.setattr(encoding, "REMEMBERED", 40_000)
+    path, plain = public_tokenizers.path(FILES[False]), both(False)[1]
+    texts = [" ".join(map(str, range(100 * i, 100 * i + 150))) for i in range(40)]
+    texts += [None, "É" * 1500 + " word " * 700]
+    lean, seen = Encoder(path, False, share=0.25), []
+    some = lean._some
+    monkeypatch.setattr(lean, "_some", lambda part: (seen.append((sum(map(len, part)), len(part))), some(part))[1])
+    got = [np.frombuffer(x, "<u4").tolist() for x in lean.encode(texts)]
+    assert got == [plainly(plain, t) for t in texts]
+    assert all(size <= 1000 for size, n in seen if n > 1)
+    assert lean.held <= 10_000
+
+
 @pytest.mark.parametrize("keeps_space", [True, False])
 def test_long_texts_and_many_distinct_parts(keeps_space, monkeypatch):
     monkeypatch.setattr(encoding, "SLOTS", 16)

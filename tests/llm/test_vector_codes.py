@@ -96,6 +96,11 @@ def test_components_beyond_64_bits(spark):
     assert all(r[3] == 0 for r in check(spark, rows, entries=7) if r[0] < 5)
 
 
+def test_errors_beyond_64_bits(spark):
+    rows = [(i, [float(i), 2.0, 3e300, -1.0], i % 2) for i in range(5)] + [(9, [1.0, 2.0, 3.0, 4.0], 2)]
+    assert all(r[2] and r[3] is None and r[4] is None for r in check(spark, rows, entries=1))
+
+
 def test_slices_hold_every_nearest_entry():
     rng = np.random.default_rng(2)
     book = rng.integers(-20, 20, (200, 5))

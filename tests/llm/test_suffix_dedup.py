@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlark.llm import suffix_dedup
 
@@ -67,6 +68,41 @@ def test_short_strings_and_many_segments(documents, prose, monkeypatch):
     assert run(documents(list(enumerate(texts))), 24, 8) == brute(texts, 24)
 
 
+def test_places_of_one_anchor_are_split_over_tasks(spark, documents, prose, monkeypatch):
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.files.maxPartitionBytes": "16k",  # many tasks that write places
+        "spark.sql.files.openCostInBytes": "16k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",  # as for many shared anchors
+        "spark.sql.shuffle.partitions": "20",
+    }
+    old = {key: spark.conf.get(key) for key in settings}
+    tasks = []
+
+    def watched(frame, purpose):
+        if purpose == "suffix-members":
+            placed = frame.withColumn("task", F.spark_partition_id())
+            tasks.extend((r.anchor, r.task) for r in placed.collect())
+        return stored(frame, purpose)
+
+    stored = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    texts = shared(prose)[:20] + [prose(40, 500 + i) + "ab" * 400 + prose(40, 600 + i) for i in range(60)]
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert run(documents(list(enumerate(texts))).repartition(8)) == brute(texts, 400)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    anchor, places = Counter(a for a, _ in tasks).most_common(1)[0]
+    most = max(Counter(t for a, t in tasks if a == anchor).values())
+    assert places > 1000 and most < places / 2
+
+
 def test_awkward_texts(documents, awkward):
     texts = [r[1] for r in awkward]
     assert run(documents(awkward)) == brute(texts, 400)
